@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["clouds", "clips_q"]
+MODULES = ["clouds", "clips_q", "matching"]
 
 
 class Registry:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.ranking import position_in_order
@@ -16,20 +17,18 @@ def new_frames(df: DataFrame, done: DataFrame) -> DataFrame:
 def materialize_frames(df: DataFrame, path: str) -> DataFrame:
     """Append the frames missing under ``path`` (one folder per sequence) and read the whole table back."""
     spark = df.sparkSession
-    todo = df
-    if _exists(spark, path):
-        todo = new_frames(df, read_frame_tables(spark, path, df.schema))
-    # one task per (sequence, frame bucket): files stay large without one task holding a long sequence
+    try:
+        todo = new_frames(df, spark.read.parquet(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        todo = df
+    # tasks by (sequence, run of frames): files stay large without one task holding a long sequence
     todo = todo.repartition("seq_id", F.floor(F.col("frame_id") / 64))
     todo.write.mode("append").partitionBy("seq_id").parquet(path)
     return read_frame_tables(spark, path, df.schema)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_frame_tables(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.parquet(path)
