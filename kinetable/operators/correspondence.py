@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.space import dist2, norm3
-from ..plans.knn import knn_join
+from ..plans.knn import DIRECT, knn_join
 from ..plans.lineage import cut
+from ..plans.ranking import top_k
 from ..schema import FRAME
 
 IDW_EPS = 1e-8
@@ -76,19 +77,29 @@ def correspondence_quality(a: DataFrame, b: DataFrame, joints_a: DataFrame, join
     return both.select(*keys, F.when(F.col("pn") == F.col("qn"), score).otherwise(0.0).alias("quality"))
 
 
+def pack_joints(joints: DataFrame, keys: list[str]) -> DataFrame:
+    """The few joints of each frame as one array in joint order."""
+    return joints.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "x", "y", "z"))).alias("js"))
+
+
+def cloud_size(points: DataFrame, keys: list[str]) -> DataFrame:
+    return points.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"c{c}") for c in "xyz"],
+        norm3(*[F.max(c) - F.min(c) for c in "xyz"]).alias("extent"))
+
+
+def feature(many: int = 5000, few_joints: int = 8):
+    """Feature array of a row with x, y, z, js, n and extent."""
+    js = F.when(F.col("n") > many, F.slice("js", 1, few_joints)).otherwise(F.col("js"))
+    return F.concat(F.array("x", "y", "z"), F.transform(js, lambda q: F.exp(F.lit(-3.0) * (
+        norm3(F.col("x") - q["x"], F.col("y") - q["y"], F.col("z") - q["z"]) / (F.col("extent") + F.lit(IDW_EPS))))))
+
+
 def bone_coordinates(points: DataFrame, joints: DataFrame, keys: list[str] = FRAME, many: int = 5000, few_joints: int = 8) -> DataFrame:
     """Feature array: position, then exp(-3 d / extent) for every joint in joint order.
     Frames with more than ``many`` vertices use only the first ``few_joints`` joints."""
-    size = points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        norm3(*[F.max(c) - F.min(c) for c in "xyz"]).alias("extent"))
-    j = joints.join(size, keys).where((F.col("n") <= many) | (F.col("k") < few_joints))
-    packed = j.groupBy(*keys, "extent").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y", "z"))).alias("js"))
-    return points.join(packed, keys).withColumn("feature", F.concat(
-        F.array("x", "y", "z"),
-        F.transform("js", lambda q: F.exp(F.lit(-3.0) * (
-            norm3(F.col("x") - q["x"], F.col("y") - q["y"], F.col("z") - q["z"]) / (F.col("extent") + F.lit(IDW_EPS))))),
-    )).drop("js", "extent")
+    about = pack_joints(joints, keys).join(cloud_size(points, keys).select(*keys, "n", "extent"), keys)
+    return points.join(about, keys).withColumn("feature", feature(many, few_joints)).drop("js", "extent", "n")
 
 
 def _feature_d2(a: str, b: str):
@@ -96,60 +107,65 @@ def _feature_d2(a: str, b: str):
 
 
 def bone_guided_remap(template: DataFrame, current: DataFrame, template_joints: DataFrame, current_joints: DataFrame,
-                      keys: list[str], k: int = 3, large: int = 8000) -> DataFrame:
+                      keys: list[str], k: int = 3, large: int = 8000, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Template vertices moved to the weighted mean of the ``k`` current points nearest in feature space.
 
-    A feature distance is never below the distance in space, and the extra terms add at most 1 per joint, so:
-    the feature distances of the k spatially nearest points give an upper bound, and every current point within
-    that spatial radius is compared exactly.  Templates with more than ``large`` vertices use the nearest point.
+    Templates with more than ``large`` vertices use the nearest point in space.  ``sizes`` are upper bounds of the
+    vertices per key in ``template`` and ``current``; without them one aggregate over each side finds them.
     """
     n = template.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = n.where(F.col("_n") > large).select(*keys)
-    small = n.where(F.col("_n") <= large).select(*keys)
-    t_small = template.join(small, keys, "left_semi")
-    ta = bone_coordinates(t_small, template_joints, keys).select(*keys, "vertex_id", "x", "y", "z", F.col("feature").alias("fa"))
-    cb = bone_coordinates(current.join(small, keys, "left_semi"), current_joints, keys).select(
-        *keys, F.col("vertex_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"),
-        F.col("feature").alias("fb"))
-    near = feature_candidates(ta, cb, keys, k)
-    w = 1 / (F.sqrt("fd2") + F.lit(IDW_EPS))
-    mixed = near.withColumn("w", w).groupBy(*keys, "vertex_id").agg(
-        *[(F.sum(F.col("w") * F.col(f"o{c}")) / F.sum("w")).alias(c) for c in "xyz"])
-    t_big = template.join(big, keys, "left_semi")
-    direct = nearest(t_big, current.join(big, keys, "left_semi"), keys).select(
-        *keys, "vertex_id", F.col("bx").alias("x"), F.col("by").alias("y"), F.col("bz").alias("z"))
-    return mixed.unionByName(direct)
-
-
-def feature_candidates(ta: DataFrame, cb: DataFrame, keys: list[str], k: int, batch: int = 16) -> DataFrame:
-    """The ``k`` nearest points in feature space.
-
-    The search widens in space: take the nearest ``m`` points, rank them by feature distance, and accept a
-    vertex once its k-th feature distance is not above its m-th spatial distance (nothing farther in space can
-    be nearer in feature space).  The others repeat with 4 m.  Each round works on the open vertices only.
-    """
-    from ..plans.ranking import top_k
+    if sizes is None:
+        m = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = tuple(df.agg(F.max("_n")).first()[0] or 0 for df in (n, m))
+    some_large, some_small = sizes[0] > large, True
+    t_small, c_small = template, current
+    if some_large:
+        small = n.where(F.col("_n") <= large).select(*keys)
+        t_small, c_small = (df.join(small, keys, "left_semi") for df in (template, current))
+        some_small = not small.isEmpty()
+    out = None
+    if some_small:
+        ta = bone_coordinates(t_small, template_joints, keys).select(*keys, "vertex_id", "x", "y", "z", F.col("feature").alias("fa"))
+        cb = bone_coordinates(c_small, current_joints, keys).select(
+            *keys, F.col("vertex_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"),
+            F.col("feature").alias("fb"))
+        near = feature_nearest(ta, cb, keys, k, sizes[1])
+        out = near.withColumn("w", 1 / (F.sqrt("fd2") + F.lit(IDW_EPS))).groupBy(*keys, "vertex_id").agg(
+            *[(F.sum(F.col("w") * F.col(f"o{c}")) / F.sum("w")).alias(c) for c in "xyz"])
+    if some_large:
+        big = n.where(F.col("_n") > large).select(*keys)
+        direct = nearest(template.join(big, keys, "left_semi"), current.join(big, keys, "left_semi"), keys).select(
+            *keys, "vertex_id", F.col("bx").alias("x"), F.col("by").alias("y"), F.col("bz").alias("z"))
+        out = direct if out is None else out.unionByName(direct)
+    return out
 
+
+def feature_nearest(ta: DataFrame, cb: DataFrame, keys: list[str], k: int, largest: int, batch: int = 32) -> DataFrame:
+    """The ``k`` nearest points in feature space, exactly.
+
+    Small frames are compared whole.  Otherwise the search widens in space: take the nearest ``m`` points, rank
+    them by feature distance, and accept a vertex once its k-th feature distance is below its m-th spatial
+    distance (a feature distance is never below the distance in space, so nothing farther can win).  The others
+    repeat with 4 m.  Each round works on the open vertices only.
+    """
+    rank = lambda pairs: top_k(pairs.withColumn("fd2", _feature_d2("fa", "fb")).drop("fa", "fb"),
+                               [*keys, "vertex_id"], ["fd2", "other_id"], k)
+    if largest <= DIRECT:
+        return rank(ta.select(*keys, "vertex_id", "fa").join(cb, keys))
     ta, cb = cut(ta, "remap-a"), cut(cb, "remap-b")
     points = cb.select(*keys, "other_id", F.col("ox").alias("x"), F.col("oy").alias("y"), F.col("oz").alias("z"))
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    most = sizes.agg(F.max("_all")).first()[0] or 0
     todo, accepted, m = ta, None, max(batch, k)
     while True:
-        near = knn_join(todo, points, keys, m, right_id="other_id")
-        reach = near.groupBy(*keys, "left_id").agg(F.max("d2").alias("reach"), F.count(F.lit(1)).alias("_seen"))
-        both = (near.select(*keys, F.col("left_id").alias("vertex_id"), F.col("right_id").alias("other_id"))
-                .join(todo.select(*keys, "vertex_id", "fa"), [*keys, "vertex_id"])
-                .join(cb, [*keys, "other_id"])
-                .withColumn("fd2", _feature_d2("fa", "fb")).drop("fa", "fb"))
-        best = top_k(both, [*keys, "vertex_id"], ["fd2", "other_id"], k)
-        worst = best.groupBy(*keys, "vertex_id").agg(F.max("fd2").alias("worst"), F.count(F.lit(1)).alias("_got"))
-        verdict = (worst.join(reach.withColumnRenamed("left_id", "vertex_id"), [*keys, "vertex_id"]).join(sizes, keys)
-                   .select(*keys, "vertex_id",
-                           ((F.col("worst") < F.col("reach")) | (F.col("_seen") == F.col("_all"))).alias("sure")))
-        if m >= most:
-            round_ = best
-            return round_ if accepted is None else accepted.unionByName(round_)
+        near = knn_join(todo, points, keys, m, right_id="other_id", largest=largest)
+        near = cut(near.select(*keys, F.col("left_id").alias("vertex_id"), F.col("right_id").alias("other_id"), "d2"), "remap-near")
+        best = rank(near.drop("d2").join(todo.select(*keys, "vertex_id", "fa"), [*keys, "vertex_id"]).join(cb, [*keys, "other_id"]))
+        if m >= largest:
+            return best if accepted is None else accepted.unionByName(best)
+        reach = near.groupBy(*keys, "vertex_id").agg(F.max("d2").alias("reach"), F.count(F.lit(1)).alias("_seen"))
+        worst = best.groupBy(*keys, "vertex_id").agg(F.max("fd2").alias("worst"))
+        sure = (F.col("worst") < F.col("reach")) | (F.col("_seen") == F.col("_all"))
+        verdict = worst.join(reach, [*keys, "vertex_id"]).join(sizes, keys).select(*keys, "vertex_id", sure.alias("sure"))
         state = cut(best.join(verdict, [*keys, "vertex_id"]), "remap")
         good = state.where("sure").drop("sure")
         accepted = good if accepted is None else accepted.unionByName(good)
@@ -172,43 +188,65 @@ def unify_anchor(points: DataFrame, template: DataFrame) -> DataFrame:
     return matched.select(*FRAME, "vertex_id", *[F.col(f"b{c}").alias(c) for c in "xyz"])
 
 
-def unify_chain(points: DataFrame, joints: DataFrame, rest: DataFrame, keep_above: float = 0.8) -> DataFrame:
+def unify_chain(points: DataFrame, joints: DataFrame, rest: DataFrame, keep_above: float = 0.8, large: int = 8000) -> DataFrame:
     """Outward from each sequence's rest frame; the frame unified last is the template of the next one.
 
     A frame of equal size and quality above ``keep_above`` keeps its points, any other is remapped by
     :func:`bone_guided_remap`.  The steps depend on each other, so the loop runs over the distance from the rest
-    frame; both directions and all sequences advance together in each step.
+    frame; both directions and all sequences advance together in each step.  Whatever does not depend on the
+    chain (features and sizes of the original frames, joint movements) is prepared for all frames at once and
+    stored by step, so a step reads only its own frames.
     """
     keys = ["seq_id", "side"]
+    at = ["step", *keys]
     r = rest.select("seq_id", F.col("frame_id").alias("_rest"))
-    lens = points.groupBy("seq_id").agg(F.max("frame_id").alias("_last"))
-    steps = r.join(lens, "seq_id").agg(F.max(F.greatest(F.col("_last") - F.col("_rest"), F.col("_rest")))).first()[0]
-    offset = (F.col("frame_id") - F.col("_rest"))
-
-    def sided(df):
-        """Rows of each frame with its side (+1 / -1) and distance from the rest frame; the rest is on both."""
-        return df.join(r, "seq_id").withColumn("step", F.abs(offset)).withColumn(
-            "side", F.explode(F.when(offset > 0, F.array(F.lit(1))).when(offset < 0, F.array(F.lit(-1)))
-                              .otherwise(F.array(F.lit(1), F.lit(-1))))).drop("_rest")
-
-    p, j = cut(sided(points), "chain-points"), cut(sided(joints), "chain-joints")
-    prev = p.where("step = 0").select(*keys, "vertex_id", "x", "y", "z")
-    done = [points.join(r, "seq_id").where(F.col("frame_id") == F.col("_rest")).select(*FRAME, "vertex_id", "x", "y", "z")]
+    offset = F.col("frame_id") - F.col("_rest")
+    sides = F.when(offset > 0, F.array(F.lit(1))).when(offset < 0, F.array(F.lit(-1))).otherwise(F.array(F.lit(1), F.lit(-1)))
+    sided = lambda df: df.join(r, "seq_id").withColumn("step", F.abs(offset).cast("int")).withColumn("side", F.explode(sides)).drop("_rest")
+
+    p, j = sided(points), sided(joints)
+    sizes, packed = cloud_size(p, at), pack_joints(j, at)
+    moves = j.join(j.select((F.col("step") + 1).alias("step"), *keys, "k", *[F.col(c).alias(f"o{c}") for c in "xyz"]), [*at, "k"]).groupBy(
+        *at).agg(F.avg(norm3(*[F.col(c) - F.col(f"o{c}") for c in "xyz"])).alias("joint_move"))
+    about = sizes.join(packed, at).join(moves, at, "left")
+    frames = cut(about.join(p.select(*at, "frame_id").distinct(), at), "chain-frames", by="step")
+    p = cut(p.join(frames.select(*at, "n", "extent", "js"), at).select(
+        *at, "frame_id", F.col("vertex_id").alias("other_id"), *[F.col(c).alias(f"o{c}") for c in "xyz"],
+        feature().alias("fb")), "chain-points", by="step")
+    steps, largest = frames.agg(F.max("step"), F.max("n")).first()
+
+    def originals(df):
+        return df.select(*keys, "frame_id", F.col("other_id").alias("vertex_id"), *[F.col(f"o{c}").alias(c) for c in "xyz"])
+
+    prev = originals(p.where("step = 0"))
+    done = [prev.where("side = 1").select(*FRAME, "vertex_id", "x", "y", "z")]
     for step in range(1, (steps or 0) + 1):
-        cur, cur_j = p.where(F.col("step") == step), j.where(F.col("step") == step)
-        prev_j = j.where(F.col("step") == step - 1)
-        alive = cur.select(*keys, "frame_id").distinct()
-        prev_now = prev.join(alive.select(*keys), keys, "left_semi")
-        verdict = cut(correspondence_quality(prev_now, cur, prev_j, cur_j, keys), "chain-quality")
-        good = verdict.where(F.col("quality") > keep_above)
-        kept = cur.join(good, keys, "left_semi").select(*keys, "vertex_id", "x", "y", "z")
-        poor = verdict.where(F.col("quality") <= keep_above).select(*keys)
-        if not poor.isEmpty():
-            semi = lambda df: df.join(poor, keys, "left_semi")
-            moved = bone_guided_remap(semi(prev_now), semi(cur), semi(prev_j), semi(cur_j), keys)
-            kept = kept.unionByName(moved.select(*keys, "vertex_id", "x", "y", "z"))
-        prev = cut(kept, "chain")
-        done.append(prev.join(alive, keys).select(*FRAME, "vertex_id", "x", "y", "z"))
+        here = frames.where(F.col("step") == step).select(
+            *keys, "frame_id", F.col("n").alias("cn"), *[F.col(f"c{c}").alias(f"o{c}") for c in "xyz"], "joint_move")
+        js = frames.where(F.col("step") == step - 1).select(*keys, "js")
+        shift = norm3(*[F.col(f"c{c}") - F.col(f"o{c}") for c in "xyz"])
+        score = F.when(F.col("n") == F.col("cn"), 0.7 * F.exp(-F.col("joint_move")) + 0.3 * F.exp(-shift * 5)).otherwise(0.0)
+        verdict = cloud_size(prev, keys).join(here, keys).join(js, keys).select(
+            *keys, "frame_id", "n", "extent", "js", (score > keep_above).alias("keep"))
+        current = p.where(F.col("step") == step).drop("step", "frame_id")
+        kept = originals(current.join(verdict.where("keep").select(*keys, "frame_id"), keys))
+        poor = prev.drop("frame_id").join(verdict.where(~F.col("keep")), keys)
+        ta = poor.select(*keys, "frame_id", "vertex_id", "x", "y", "z", feature().alias("fa"))
+        if largest > large:
+            n = poor.select(*keys, "vertex_id", "x", "y", "z", "n", "frame_id")
+            points_now = current.select(*keys, F.col("other_id").alias("vertex_id"), *[F.col(f"o{c}").alias(c) for c in "xyz"])
+            hit = nearest(n.where(F.col("n") > large), points_now, keys)
+            moved = hit.select(*keys, "vertex_id", *[F.col(f"b{c}").alias(c) for c in "xyz"])
+            ta = ta.join(n.where(F.col("n") <= large).select(*keys).distinct(), keys, "left_semi")
+        else:
+            moved = None
+        near = feature_nearest(ta.drop("frame_id"), current, keys, 3, largest)
+        mixed = near.withColumn("w", 1 / (F.sqrt("fd2") + F.lit(IDW_EPS))).groupBy(*keys, "vertex_id").agg(
+            *[(F.sum(F.col("w") * F.col(f"o{c}")) / F.sum("w")).alias(c) for c in "xyz"])
+        moved = mixed if moved is None else mixed.unionByName(moved)
+        moved = moved.join(verdict.select(*keys, "frame_id"), keys)
+        prev = cut(kept.unionByName(moved.select(*keys, "frame_id", "vertex_id", "x", "y", "z")), "chain")
+        done.append(prev.select(*FRAME, "vertex_id", "x", "y", "z"))
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)

@@ -23,29 +23,33 @@ from ..functions.space import dist2
 from .lineage import cut
 from .ranking import top_k
 
-LEAF = 256
+LEAF = 64     # right points a left cell may still face when the points are compared
+DIRECT = 256  # keys with at most this many right points are compared without refinement
 MAX_LEVEL = 24
 _A, _B = ["ax", "ay", "az"], ["bx", "by", "bz"]
 
 
 def knn_join(left: DataFrame, right: DataFrame, keys: list[str], k: int, left_id: str = "vertex_id",
-             right_id: str = "vertex_id", exclude_self: bool = False, leaf: int = LEAF) -> DataFrame:
+             right_id: str = "vertex_id", exclude_self: bool = False, leaf: int = LEAF, direct: int = DIRECT, largest: int | None = None) -> DataFrame:
     """keys, left_id, rank (1..k), right_id, d2 and the right position (rx, ry, rz).
 
-    Fewer than k right points give that many rows.  ``exclude_self`` skips pairs with equal ids.
+    Fewer than k right points give that many rows.  ``exclude_self`` skips pairs with equal ids.  ``largest`` is
+    an upper bound of the right points per key; without it one aggregate over the right side finds it.
     """
     lhs = left.select(*keys, F.col(left_id).alias("left_id"), *[F.col(a).alias(f"l{a}") for a in "xyz"])
     rhs = right.select(*keys, F.col(right_id).alias("right_id"), *[F.col(a).alias(f"r{a}") for a in "xyz"])
     need = k + 1 if exclude_self else k
-    largest = rhs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= leaf:
-        candidates = lhs.join(rhs, keys)
+    if largest is None:
+        largest = rhs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= direct:
+        candidates = lhs.join(rhs, keys).withColumn("reach", F.lit(float("inf")))
     else:
         candidates = _refined_candidates(lhs, rhs, keys, need, leaf)
     if exclude_self:
         candidates = candidates.where(F.col("left_id") != F.col("right_id"))
     d2 = dist2(*[F.col(f"l{a}") for a in "xyz"], *[F.col(f"r{a}") for a in "xyz"])
-    scored = candidates.select(*keys, "left_id", "right_id", d2.alias("d2"), "rx", "ry", "rz")
+    scored = candidates.select(*keys, "left_id", "right_id", d2.alias("d2"), "rx", "ry", "rz", "reach").where(
+        F.col("d2") <= F.col("reach")).drop("reach")
     return top_k(scored, [*keys, "left_id"], ["d2", "right_id"], k, rank="rank")
 
 
@@ -59,7 +63,7 @@ def _with_cells(df: DataFrame, side: str, box: DataFrame, keys: list[str]) -> Da
     for a in "xyz":
         at = F.floor((F.col(f"{side}{a}") - F.col(f"_min_{a}")) / F.col("_h")).cast("int")
         placed = placed.withColumn(f"{side}c{a}", F.least(F.greatest(at, F.lit(0)), F.lit(top)))
-    return placed.drop("_h", "_min_x", "_min_y", "_min_z")
+    return placed.drop("_min_x", "_min_y", "_min_z")
 
 
 def _boxes(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,7 +79,7 @@ def _refined_candidates(lhs: DataFrame, rhs: DataFrame, keys: list[str], need: i
     rhs = top_k(rhs, [*keys, "rx", "ry", "rz"], ["right_id"], need)
     box = _boxes(lhs, rhs, keys)
     lhs = cut(_with_cells(lhs, "l", box, keys), "knn-left")
-    rhs = cut(_with_cells(rhs, "r", box, keys), "knn-right")
+    rhs = cut(_with_cells(rhs, "r", box, keys).drop("_h"), "knn-right")
 
     root = [F.lit(0).alias(c) for c in _A + _B]
     open_pairs = lhs.select(*keys).distinct().join(rhs.select(*keys).distinct(), keys).select(*keys, *root)
@@ -90,11 +94,14 @@ def _refined_candidates(lhs: DataFrame, rhs: DataFrame, keys: list[str], need: i
             finished.append((level, state.where(done)))
         if not flags[1]:
             break
-        open_pairs = state.where(~done).drop("held")
+        open_pairs = state.where(~done).drop("held", "bound")
     out = None
     for level, pairs in finished:
         near = pairs.join(_at_level(rhs, "r", _B, level), [*keys, *_B]).drop(*_B, "held")
-        met = near.join(_at_level(lhs, "l", _A, level), [*keys, *_A]).drop(*_A)
+        # the cells' own bound, in space units with room for rounding, drops most candidates before they are ranked
+        size = F.col("_h") * float(1 << (MAX_LEVEL - level)) * 1.000001
+        reach = F.coalesce(F.col("bound") * size * size, F.lit(float("inf")))
+        met = near.join(_at_level(lhs, "l", _A, level), [*keys, *_A]).withColumn("reach", reach).drop(*_A, "_h", "bound")
         out = met if out is None else out.unionByName(met)
     return out
 
@@ -125,4 +132,4 @@ def _refine(pairs: DataFrame, lhs: DataFrame, rhs: DataFrame, keys: list[str], n
         .where(F.col("bound").isNull() | (F.col("gap") <= F.col("bound")))
         .withColumn("held", F.sum("n").over(of_a))
     )
-    return kept.select(*keys, *[F.col(c).alias(n) for c, n in zip(a_child + b_child, _A + _B)], "held")
+    return kept.select(*keys, *[F.col(c).alias(n) for c, n in zip(a_child + b_child, _A + _B)], "held", "bound")

@@ -23,13 +23,17 @@ def state_dir(spark: SparkSession) -> str:
     return f"{_LOCAL_DIR[app]}/{app}"
 
 
-def cut(df: DataFrame, label: str = "state") -> DataFrame:
-    """Write ``df`` once and continue from the written table.
+def cut(df: DataFrame, label: str = "state", by: str | None = None) -> DataFrame:
+    """Write ``df`` once and continue from the written table; ``by`` keeps one folder per value, so a loop that
+    reads one value per step does not scan the others.
 
     The table survives the loss of executors, stops the plan from growing with every loop step, and gives
     the optimizer exact sizes, so whether a side is broadcast is decided on its true size.
     """
     spark = df.sparkSession
     path = f"{state_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by:
+        df.repartition(by, *[c for c in ("seq_id", "vertex_id") if c in df.columns]).write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -39,7 +39,7 @@ def knn(spark, sf):
 def knn_refined(spark, sf):
     """The same join with small leaves, so the cell refinement is exercised on the whole table."""
     p = br.points(spark, sf)
-    return knn_join(p, next_frames(p), FRAME, 3, leaf=24).select(
+    return knn_join(p, next_frames(p), FRAME, 3, leaf=24, direct=24).select(
         *FRAME, "left_id", "right_id", F.col("rank").cast("long").alias("rank"), rnd("d2").alias("d2"))
 
 
@@ -51,8 +51,7 @@ from a join b on a.frame_id=b.frame_id) where rk=1""",
     b="select frame_id, vertex_id, x, y, z from li_points where seq_id='R'"))
 def knn_lineitem(spark, sf):
     """Nearest neighbour between two large sequences in every shared frame."""
-    p = br.lineitem_points(spark, sf).drop("z").join(
-        br.lineitem_points(spark, sf).select(*FRAME, "vertex_id", "z"), [*FRAME, "vertex_id"])
+    p = br.lineitem_points(spark, sf)
     a, b = p.where("seq_id = 'A'").drop("seq_id"), p.where("seq_id = 'R'").drop("seq_id")
     return knn_join(a, b, ["frame_id"], 1).select("frame_id", "left_id", "right_id", rnd("d2", 4).alias("d2"))
 

@@ -1,4 +1,8 @@
-"""The derived tables of ``sources.bridges`` as SQL text, put together on demand."""
+"""The derived tables of ``sources.bridges`` as SQL text, put together on demand.
+
+Ids are running counts, not ``row_number() - 1``: DuckDB 2.0.0 loses the row with id 0 when a range filter on such
+a difference is pushed below the window.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ _CODE = "case event_type when 'click' then 0 when 'error' then 1 when 'purchase'
 VIEWS = {
     "points": """
 select event_type as seq_id, cast(date_diff('day', TIMESTAMP '2024-01-01', ts) as bigint) as frame_id,
-       row_number() over (partition by event_type, date_diff('day', TIMESTAMP '2024-01-01', ts) order by event_id) - 1 as vertex_id,
+       count(*) over (partition by event_type, date_diff('day', TIMESTAMP '2024-01-01', ts) order by event_id rows unbounded preceding) - 1 as vertex_id,
        value as x, cast(user_id as double) as y, cast(json_extract_string(props, '$.k') as double) as z
 from events""",
     "li_points": """
@@ -24,7 +28,7 @@ select cast(f.label as bigint) as seq_id, f.fr as frame_id, r.k as k,
        cast(f.embedding[3*r.k+1] as double) as x, cast(f.embedding[3*r.k+2] as double) as y,
        cast(f.embedding[3*r.k+3] as double) as z,
        least(1.0, abs(cast(f.embedding[64] as double))*(r.k+1)) as intensity
-from (select label, vec_id, embedding, row_number() over (partition by label order by vec_id) - 1 as fr from embeddings) f,
+from (select label, vec_id, embedding, count(*) over (partition by label order by vec_id rows unbounded preceding) - 1 as fr from embeddings) f,
      range(0, 21) r(k)""",
     "bones": """
 select k, case when k=0 then -1 else cast(floor((k-1)/2.0) as bigint) end as parent
@@ -112,4 +116,4 @@ def sql(body: str, **extra: str) -> str:
     visit(body)
     if not needed:
         return body.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({views[n].strip()})" for n in needed) + "\n" + body.strip()
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({views[n].strip()})" for n in needed) + "\n" + body.strip()
