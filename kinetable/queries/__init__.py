@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["clouds", "clips_q", "matching", "tracks"]
+MODULES = ["clouds", "clips_q", "matching", "tracks", "skinning"]
 
 
 class Registry:

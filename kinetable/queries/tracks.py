@@ -246,7 +246,7 @@ where b.frame_id=a.frame_id+s.v group by 1, 2, 3)) where rk=1"""))
 def best_candidate(spark, sf):
     """Candidates for a frame are the five frames after it."""
     k = br.keypoints(spark, sf)
-    s = k.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(5))).cast("long")).withColumn(
+    s = k.withColumn("sample", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long")))).withColumn(
         "frame_id", F.col("frame_id") - F.col("sample"))
     return tr.best_candidate(k, s).select(*FRAME, "sample", rnd("cost").alias("cost"))
 
