@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.rotation import det3, matvec3
@@ -109,7 +109,7 @@ def transform_validity(transforms: DataFrame) -> DataFrame:
     return transforms.groupBy("seq_id").agg(F.avg(ok.cast("double")).alias("validity"), F.count(F.lit(1)).alias("n"))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def rotation_from_covariance(h: pd.Series) -> pd.Series:
     """Proper rotation that best turns the source into the target, from the 3x3 covariance source x target."""
     if len(h) == 0:

@@ -14,12 +14,15 @@ from ..plans.ranking import top_k
 from .correspondence import IDW_EPS, joint_distances, knn_graph
 
 VERTEX = ["seq_id", "vertex_id"]
-_ROW = Window.partitionBy(*VERTEX)
+
+
+def _row_sum(c: str = "w"):
+    return F.sum(c).over(Window.partitionBy(*VERTEX))
 
 
 def normalize_weights(w: DataFrame) -> DataFrame:
     """Divide by the row sum; rows that sum to less than 1e-8 are left as they are."""
-    total = F.sum("w").over(_ROW)
+    total = _row_sum()
     return w.withColumn("_t", total).withColumn("w", F.when(F.col("_t") < 1e-8, F.col("w")).otherwise(F.col("w") / F.col("_t"))).drop("_t")
 
 
@@ -33,7 +36,7 @@ def weight_sum_report(w: DataFrame, tolerance: float = 1e-6) -> DataFrame:
 def sparsify_weights(w: DataFrame, k: int = 4, eps: float = 1e-8) -> DataFrame:
     """The ``k`` largest weights of each vertex, renormalised (``eps`` is added to the divisor; 0 for the plain form)."""
     kept = top_k(w, VERTEX, [F.desc("w"), "k"], k)
-    total = F.sum("w").over(_ROW) + F.lit(eps)
+    total = _row_sum() + F.lit(eps)
     return kept.withColumn("_t", total).withColumn("w", F.when(F.col("_t") > 0, F.col("w") / F.col("_t")).otherwise(F.col("w"))).drop("_t")
 
 
@@ -64,11 +67,11 @@ def distance_weights(rest: DataFrame, joints: DataFrame, kind: str = "exp", k: i
     d = joint_distances(rest, joints, ["seq_id"])
     if kind == "exp":
         raw = d.select(*VERTEX, "k", F.exp(F.col("d") * -2.0).alias("w"))
-        full = raw.withColumn("w", F.col("w") / (F.sum("w").over(_ROW) + F.lit(1e-8)))
+        full = raw.withColumn("w", F.col("w") / (_row_sum() + F.lit(1e-8)))
         return sparsify_weights(full, k, 1e-8)
     if kind == "inverse":
         raw = top_k(d.select(*VERTEX, "k", (1 / (F.col("d") + 1e-3)).alias("w")), VERTEX, [F.desc("w"), "k"], k)
-        total = F.sum("w").over(_ROW)
+        total = _row_sum()
         fallback = F.when(F.col("k") == 0, 1.0).otherwise(0.0)
         return raw.withColumn("_t", total).withColumn(
             "w", F.when(F.col("_t") > 1e-8, F.col("w") / F.col("_t")).otherwise(fallback)).drop("_t")
@@ -108,7 +111,8 @@ def heat_weights(rest: DataFrame, joints: DataFrame, dt: float = 0.01, k: int =
         state = own.unionByName(moved).groupBy(*VERTEX, "k").agg(F.sum("w").alias("w"))
         if i % every == 0 and i < iterations:
             state = cut(state, "heat")
-    positive = state.where("w > 0").withColumn("w", F.col("w") / F.sum("w").over(_ROW))
+    # joints that share their sources have equal heat; rounding keeps such ties exact whatever the order of the sums
+    positive = state.where("w > 0").withColumn("w", F.round(F.col("w") / _row_sum(), 12))
     return sparsify_weights(positive, k, 0.0)
 
 

@@ -237,7 +237,7 @@ _HEAT = dict(rest=_REST, selfk=_SELF, edge=_EDGE, jd2=_JD2, hsrc=_SRC, diag="sel
 @query("heat_weights", sql(f"""
 select seq_id, vertex_id, k, {r('w/sum(w) over (partition by seq_id, vertex_id)', 'w')} from (
 select *, row_number() over (partition by seq_id, vertex_id order by w desc, k) as rk from (
-select seq_id, vertex_id, k, w/sum(w) over (partition by seq_id, vertex_id) as w from h3 where w>0)) where rk<=8""", **_HEAT))
+select seq_id, vertex_id, k, round(w/sum(w) over (partition by seq_id, vertex_id), 12) as w from h3 where w>0)) where rk<=8""", **_HEAT))
 def heat_weights(spark, sf):
     """Three diffusion steps, which SQL can unroll; the default of thirty is tested against a direct solve."""
     w = wt.heat_weights(rest_of(spark, sf), rest_joints(spark, sf), iterations=3)
