@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["clouds", "clips_q", "matching", "tracks", "skinning", "trees"]
+MODULES = ["clouds", "clips_q", "matching", "tracks", "skinning", "trees", "meshes"]
 
 
 class Registry:
