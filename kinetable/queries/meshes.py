@@ -48,9 +48,10 @@ def describe_tables(spark, sf):
     return sinks.describe_tables({"points": br.points(spark, sf), "lineitem": br.lineitem_points(spark, sf)})
 
 
-@query("rows_by_frame", sql("select seq_id, frame_id, count(*) as rows from points group by rollup (seq_id, frame_id)"))
+@query("rows_by_frame", sql("select coalesce(seq_id, '*') as seq_id, coalesce(frame_id, -1) as frame_id, count(*) as rows from points group by rollup (points.seq_id, points.frame_id)"))
 def rows_by_frame(spark, sf):
-    return sinks.rows_by_frame(br.points(spark, sf))
+    return sinks.rows_by_frame(br.points(spark, sf)).select(
+        F.coalesce("seq_id", F.lit("*")).alias("seq_id"), F.coalesce("frame_id", F.lit(-1)).alias("frame_id"), "rows")
 
 
 @query("obj_round_trip", sql("select seq_id, frame_id, vertex_id, x, y, z from points"))
@@ -110,6 +111,6 @@ def stream_metrics(spark, sf):
     base = f"{state_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = br.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    q = sme.stream_metrics(events.select("ts", F.col("event_type").alias("key"), "value"), f"{base}/out", f"{base}/log", late="40 days")
+    q = sme.stream_metrics(events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), "value"), f"{base}/out", f"{base}/log", late="40 days")
     q.awaitTermination()
-    return sme.latest_means(spark, f"{base}/out").select("start", "key", rnd("value", 4).alias("value"), "n")
+    return sme.latest_means(spark, f"{base}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "key", rnd("value", 4).alias("value"), "n")

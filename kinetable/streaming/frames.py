@@ -26,7 +26,7 @@ def voxel_rows(frames: DataFrame, grid: int = 64) -> DataFrame:
     """
     f = frames.withColumn("_v", vertex_array(F.col("value"))).where(F.size("_v") > 0)
     for c in "xyz":
-        f = f.withColumn(f"_{c}", F.transform("_v", lambda p, c=c: p[c]))
+        f = f.withColumn(f"_{c}", F.col("_v")[c])
     f = f.withColumns({**{f"_lo{c}": F.array_min(f"_{c}") for c in "xyz"}, **{f"_hi{c}": F.array_max(f"_{c}") for c in "xyz"}})
     f = f.withColumn("_len", F.greatest(*[F.col(f"_hi{c}") - F.col(f"_lo{c}") for c in "xyz"]))
     cell = lambda p, c: space.voxel_index(space.to_unit(p[c], F.col(f"_lo{c}"), F.col("_len")), grid)
