@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.space import dist2, norm3
-from ..plans.knn import DIRECT, knn_join
+from ..plans.knn import DIRECT, knn_join, nearest_in_blocks, whole_key_blocks
 from ..plans.lineage import cut
 from ..plans.ranking import top_k
 from ..schema import FRAME
@@ -129,7 +129,7 @@ def bone_guided_remap(template: DataFrame, current: DataFrame, template_joints:
         cb = bone_coordinates(c_small, current_joints, keys).select(
             *keys, F.col("vertex_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"),
             F.col("feature").alias("fb"))
-        near = feature_nearest(ta, cb, keys, k, sizes[1])
+        near = feature_nearest(ta, cb, keys, k, sizes)
         out = near.withColumn("w", 1 / (F.sqrt("fd2") + F.lit(IDW_EPS))).groupBy(*keys, "vertex_id").agg(
             *[(F.sum(F.col("w") * F.col(f"o{c}")) / F.sum("w")).alias(c) for c in "xyz"])
     if some_large:
@@ -140,7 +140,7 @@ def bone_guided_remap(template: DataFrame, current: DataFrame, template_joints:
     return out
 
 
-def feature_nearest(ta: DataFrame, cb: DataFrame, keys: list[str], k: int, largest: int, batch: int = 32) -> DataFrame:
+def feature_nearest(ta: DataFrame, cb: DataFrame, keys: list[str], k: int, largest: tuple[int, int], batch: int = 32) -> DataFrame:
     """The ``k`` nearest points in feature space, exactly.
 
     Small frames are compared whole.  Otherwise the search widens in space: take the nearest ``m`` points, rank
@@ -148,19 +148,23 @@ def feature_nearest(ta: DataFrame, cb: DataFrame, keys: list[str], k: int, large
     distance (a feature distance is never below the distance in space, so nothing farther can win).  The others
     repeat with 4 m.  Each round works on the open vertices only.
     """
+    if largest[1] <= DIRECT:
+        lhs = ta.select(*keys, F.col("vertex_id").alias("left_id"), "fa")
+        rhs = cb.select(*keys, F.col("other_id").alias("right_id"), "fb", "ox", "oy", "oz")
+        lhs, rhs, group = whole_key_blocks(lhs, rhs, keys, largest[0])
+        hit = nearest_in_blocks(lhs, rhs, keys, group, k, ["fa"], ["fb"], ["ox", "oy", "oz"])
+        return hit.select(*keys, F.col("left_id").alias("vertex_id"), F.col("right_id").alias("other_id"), F.col("d2").alias("fd2"), "ox", "oy", "oz")
     rank = lambda pairs: top_k(pairs.withColumn("fd2", _feature_d2("fa", "fb")).drop("fa", "fb"),
                                [*keys, "vertex_id"], ["fd2", "other_id"], k)
-    if largest <= DIRECT:
-        return rank(ta.select(*keys, "vertex_id", "fa").join(cb, keys))
     ta, cb = cut(ta, "remap-a"), cut(cb, "remap-b")
     points = cb.select(*keys, "other_id", F.col("ox").alias("x"), F.col("oy").alias("y"), F.col("oz").alias("z"))
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
     todo, accepted, m = ta, None, max(batch, k)
     while True:
-        near = knn_join(todo, points, keys, m, right_id="other_id", largest=largest)
+        near = knn_join(todo, points, keys, m, right_id="other_id", sizes=largest)
         near = cut(near.select(*keys, F.col("left_id").alias("vertex_id"), F.col("right_id").alias("other_id"), "d2"), "remap-near")
         best = rank(near.drop("d2").join(todo.select(*keys, "vertex_id", "fa"), [*keys, "vertex_id"]).join(cb, [*keys, "other_id"]))
-        if m >= largest:
+        if m >= largest[1]:
             return best if accepted is None else accepted.unionByName(best)
         reach = near.groupBy(*keys, "vertex_id").agg(F.max("d2").alias("reach"), F.count(F.lit(1)).alias("_seen"))
         worst = best.groupBy(*keys, "vertex_id").agg(F.max("fd2").alias("worst"))
@@ -240,7 +244,7 @@ def unify_chain(points: DataFrame, joints: DataFrame, rest: DataFrame, keep_abov
             ta = ta.join(n.where(F.col("n") <= large).select(*keys).distinct(), keys, "left_semi")
         else:
             moved = None
-        near = feature_nearest(ta.drop("frame_id"), current, keys, 3, largest)
+        near = feature_nearest(ta.drop("frame_id"), current, keys, 3, (largest, largest))
         mixed = near.withColumn("w", 1 / (F.sqrt("fd2") + F.lit(IDW_EPS))).groupBy(*keys, "vertex_id").agg(
             *[(F.sum(F.col("w") * F.col(f"o{c}")) / F.sum("w")).alias(c) for c in "xyz"])
         moved = mixed if moved is None else mixed.unionByName(moved)

@@ -9,7 +9,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.rotation import det3, matvec3
 from ..functions.space import apply_affine, norm3
-from ..plans.knn import knn_join
+from ..plans.knn import knn_join, largest_groups
 from ..plans.lineage import cut
 from ..plans.tiles import tile_join
 from ..schema import FRAME
@@ -167,9 +167,9 @@ def rigid_align(source: DataFrame, target: DataFrame, scales: tuple = (0.05, 0.0
             thin = lambda df: voxel_downsample(df, size).select(
                 *FRAME, F.xxhash64("ci", "cj", "ck").alias("vertex_id"), "x", "y", "z")
             moving, fixed = cut(thin(current), "align-thin"), cut(thin(target), "align-fixed")
-        largest = fixed.groupBy(*FRAME).count().agg(F.max("count")).first()[0] or 0
+        sizes = largest_groups(moving, fixed, FRAME)
         for _ in range(rounds):
-            hit = knn_join(moving, fixed, FRAME, 1, largest=largest).where(F.col("d2") <= reach * reach)
+            hit = knn_join(moving, fixed, FRAME, 1, sizes=sizes).where(F.col("d2") <= reach * reach)
             src = moving.select(*FRAME, F.col("vertex_id").alias("left_id"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
             pairs = hit.join(src, [*FRAME, "left_id"]).select(
                 *FRAME, *[f"p{c}" for c in "xyz"], *[F.col(f"r{c}").alias(f"q{c}") for c in "xyz"], F.lit(1.0).alias("w"))

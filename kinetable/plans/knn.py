@@ -9,50 +9,137 @@ level by level, all keys at once:
 * A is finished once its remaining partners hold at most ``leaf`` points; otherwise A and its partners are
   replaced by their non-empty children.
 
-Only then are points compared, at most ``leaf`` per left point, however dense or skewed the clouds are.  Copies
-of one right position beyond the k with lowest ids can never be among the k nearest and are removed first.
-Cell arithmetic is on integers, so pruning is safe; the ranking uses double squared distances and, for ties, the
-lowest right id.
+Then Spark shuffles both sides into blocks, one per finished cell and at most ``ROWS`` left points, and each block
+compares at most ROWS x leaf points with NumPy.  However dense or skewed the clouds are, no task sees a whole
+frame and no left point meets more than ``leaf`` right ones.  Copies of one right position beyond the k with the
+lowest ids can never be among the k nearest and are removed first.  Cell arithmetic is on integers, so pruning is
+safe; the ranking uses double squared distances and, for ties, the lowest right id.  Positions are finite.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.space import dist2
 from .lineage import cut
 from .ranking import top_k
 
-LEAF = 64     # right points a left cell may still face when the points are compared
-DIRECT = 256  # keys with at most this many right points are compared without refinement
+LEAF = 1024    # right points a finished left cell may still face
+DIRECT = 2048  # keys with at most this many right points need no cells
+ROWS = 4096    # left points per block
 MAX_LEVEL = 24
 _A, _B = ["ax", "ay", "az"], ["bx", "by", "bz"]
 
 
 def knn_join(left: DataFrame, right: DataFrame, keys: list[str], k: int, left_id: str = "vertex_id",
-             right_id: str = "vertex_id", exclude_self: bool = False, leaf: int = LEAF, direct: int = DIRECT, largest: int | None = None) -> DataFrame:
+             right_id: str = "vertex_id", exclude_self: bool = False, leaf: int = LEAF, direct: int = DIRECT,
+             sizes: tuple[int, int] | None = None) -> DataFrame:
     """keys, left_id, rank (1..k), right_id, d2 and the right position (rx, ry, rz).
 
-    Fewer than k right points give that many rows.  ``exclude_self`` skips pairs with equal ids.  ``largest`` is
-    an upper bound of the right points per key; without it one aggregate over the right side finds it.
+    Fewer than k right points give that many rows.  ``exclude_self`` skips pairs with equal ids.  ``sizes`` are
+    upper bounds of the left and right points per key; without them one aggregate finds them.
     """
     lhs = left.select(*keys, F.col(left_id).alias("left_id"), *[F.col(a).alias(f"l{a}") for a in "xyz"])
     rhs = right.select(*keys, F.col(right_id).alias("right_id"), *[F.col(a).alias(f"r{a}") for a in "xyz"])
-    need = k + 1 if exclude_self else k
-    if largest is None:
-        largest = rhs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= direct:
-        candidates = lhs.join(rhs, keys).withColumn("reach", F.lit(float("inf")))
+    most_left, most_right = largest_groups(lhs, rhs, keys) if sizes is None else sizes
+    if most_right <= direct:
+        lhs, rhs, group = whole_key_blocks(lhs, rhs, keys, most_left)
     else:
-        candidates = _refined_candidates(lhs, rhs, keys, need, leaf)
-    if exclude_self:
-        candidates = candidates.where(F.col("left_id") != F.col("right_id"))
-    d2 = dist2(*[F.col(f"l{a}") for a in "xyz"], *[F.col(f"r{a}") for a in "xyz"])
-    scored = candidates.select(*keys, "left_id", "right_id", d2.alias("d2"), "rx", "ry", "rz", "reach").where(
-        F.col("d2") <= F.col("reach")).drop("reach")
-    return top_k(scored, [*keys, "left_id"], ["d2", "right_id"], k, rank="rank")
+        lhs, rhs, group = _cell_blocks(lhs, rhs, keys, k + 1 if exclude_self else k, leaf)
+    return nearest_in_blocks(lhs, rhs, keys, group, k, ["lx", "ly", "lz"], ["rx", "ry", "rz"], ["rx", "ry", "rz"], exclude_self)
 
 
+def largest_groups(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Largest row count per key on either side: two numbers from one job."""
+    count = lambda df, side: df.groupBy(*keys).count().select(F.lit(side).alias("side"), "count")
+    rows = count(lhs, "l").unionByName(count(rhs, "r")).groupBy("side").agg(F.max("count")).collect()
+    found = {r[0]: r[1] for r in rows}
+    return found.get("l", 0), found.get("r", 0)
+
+
+def whole_key_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], most_left: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """One block per key; a key with many left points is split and its few right points are copied to each part."""
+    if most_left <= ROWS:
+        return lhs, rhs, list(keys)
+    parts = lhs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_parts"))
+    return _split(lhs, rhs.join(parts, keys), parts, keys)
+
+
+def _split(lhs: DataFrame, rhs_parts: DataFrame, parts: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    lhs = lhs.join(parts, group).withColumn("_part", F.pmod(F.xxhash64("left_id"), F.col("_parts")).cast("int")).drop("_parts")
+    rhs = rhs_parts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return lhs, rhs, [*group, "_part"]
+
+
+# ---- blocks of points
+def _matrix(table: pa.Table, cols: list[str]) -> np.ndarray:
+    if len(cols) == 1:  # one array column
+        flat = table.column(cols[0]).combine_chunks()
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return np.stack([table.column(c).to_numpy() for c in cols], axis=1)
+
+
+def _k_lowest(d2: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k lowest values per row, the leftmost first on ties."""
+    if k > 8:
+        return np.argsort(d2, axis=1, kind="stable")[:, :k]
+    rows, out = np.arange(len(d2)), np.empty((len(d2), k), dtype=np.int64)
+    for i in range(k):
+        out[:, i] = d2.argmin(axis=1)
+        if i + 1 < k:
+            d2[rows, out[:, i]] = np.inf
+    return out
+
+
+def nearest_in_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], group: list[str], k: int, left_vec: list[str],
+                      right_vec: list[str], carry: list[str], exclude_self: bool = False) -> DataFrame:
+    """The k nearest right rows of each left row inside its block: keys, left_id, rank, right_id, d2, ``carry``."""
+    kinds = {f.name: f for f in [*lhs.schema.fields, *rhs.schema.fields]}
+    schema = T.StructType([*[kinds[c] for c in keys], kinds["left_id"], T.StructField("rank", T.IntegerType()),
+                           kinds["right_id"], T.StructField("d2", T.DoubleType()), *[kinds[c] for c in carry]])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        hits, cols, ranks, dist = [], [], [], []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("right_id")
+            a, b = _matrix(left, left_vec), _matrix(right, right_vec).T
+            n = min(k, right.num_rows)
+            ids = (left.column("left_id").to_numpy(), right.column("right_id").to_numpy()) if exclude_self else None
+            step = max(1, (1 << 19) // right.num_rows)
+            for s in range(0, left.num_rows, step):
+                part = a[s:s + step]
+                d2 = np.zeros((len(part), b.shape[1]))
+                for axis in range(b.shape[0]):
+                    gap = part[:, axis, None] - b[axis]
+                    d2 += gap * gap
+                if exclude_self:
+                    d2[ids[0][s:s + step, None] == ids[1]] = np.inf
+                best = _k_lowest(d2.copy() if n <= 8 else d2, n)
+                value = np.take_along_axis(d2, best, axis=1)
+                hits.append(np.repeat(np.arange(s, s + len(part)), n))
+                cols.append(best.ravel())
+                ranks.append(np.tile(np.arange(1, n + 1, dtype=np.int32), len(part)))
+                dist.append(value.ravel())
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, dtype=kind)
+        d = join(dist, np.float64)
+        keep = np.isfinite(d)
+        i, j = join(hits, np.int64)[keep], join(cols, np.int64)[keep]
+        lt, rt = left.take(pa.array(i)), right.take(pa.array(j))
+        return pa.table({
+            **{c: lt.column(c) for c in keys}, "left_id": lt.column("left_id"),
+            "rank": pa.array(join(ranks, np.int32)[keep]), "right_id": rt.column("right_id"), "d2": pa.array(d[keep]),
+            **{c: rt.column(c) for c in carry}})
+
+    # the right block columns get names of their own, so a table can meet itself
+    theirs = [F.col(c).alias(f"_of_{c}") for c in group]
+    a = lhs.select(*dict.fromkeys([*group, "left_id", *left_vec])).groupBy(*group)
+    b = rhs.select(*theirs, *dict.fromkeys(["right_id", *right_vec, *carry])).groupBy(*[f"_of_{c}" for c in group])
+    blocks = a.cogroup(b)
+    return blocks.applyInArrow(compare, schema)
+
+
+# ---- cells
 def _cell(side: str, level: int) -> list:
     return [F.shiftright(F.col(f"{side}c{a}"), MAX_LEVEL - level) for a in "xyz"]
 
@@ -63,7 +150,7 @@ def _with_cells(df: DataFrame, side: str, box: DataFrame, keys: list[str]) -> Da
     for a in "xyz":
         at = F.floor((F.col(f"{side}{a}") - F.col(f"_min_{a}")) / F.col("_h")).cast("int")
         placed = placed.withColumn(f"{side}c{a}", F.least(F.greatest(at, F.lit(0)), F.lit(top)))
-    return placed.drop("_min_x", "_min_y", "_min_z")
+    return placed.drop("_h", "_min_x", "_min_y", "_min_z")
 
 
 def _boxes(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,35 +162,34 @@ def _boxes(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> DataFrame:
     return ends.select(*keys, "_min_x", "_min_y", "_min_z", side.alias("_h"))
 
 
-def _refined_candidates(lhs: DataFrame, rhs: DataFrame, keys: list[str], need: int, leaf: int) -> DataFrame:
+def _cell_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], need: int, leaf: int) -> tuple[DataFrame, DataFrame, list[str]]:
     rhs = top_k(rhs, [*keys, "rx", "ry", "rz"], ["right_id"], need)
     box = _boxes(lhs, rhs, keys)
     lhs = cut(_with_cells(lhs, "l", box, keys), "knn-left")
-    rhs = cut(_with_cells(rhs, "r", box, keys).drop("_h"), "knn-right")
+    rhs = cut(_with_cells(rhs, "r", box, keys), "knn-right")
 
     root = [F.lit(0).alias(c) for c in _A + _B]
     open_pairs = lhs.select(*keys).distinct().join(rhs.select(*keys).distinct(), keys).select(*keys, *root)
-    finished = []
+    group = [*keys, "_level", *_A]
+    lefts, rights = None, None
     for level in range(1, MAX_LEVEL + 1):
         state = cut(_refine(open_pairs, lhs, rhs, keys, need, level), "knn-cells")
-        last = level == MAX_LEVEL
-        done = F.lit(True) if last else F.col("held") <= leaf
+        done = F.lit(True) if level == MAX_LEVEL else F.col("held") <= leaf
         # two flags come back to the driver: is anything finished here, is anything still open
         flags = state.agg(F.max(done), F.max(~done)).first()
         if flags[0]:
-            finished.append((level, state.where(done)))
+            pairs = state.where(done).withColumn("_level", F.lit(level))
+            cells = pairs.select(*group, F.ceil(F.col("mine") / ROWS).cast("int").alias("_parts")).distinct()
+            met = pairs.join(_at_level(rhs, "r", _B, level), [*keys, *_B]).select(
+                *group, F.ceil(F.col("mine") / ROWS).cast("int").alias("_parts"), "right_id", "rx", "ry", "rz")
+            mine = _at_level(lhs, "l", _A, level).withColumn("_level", F.lit(level))
+            a, b, blocks = _split(mine, met, cells, group)
+            lefts = a if lefts is None else lefts.unionByName(a)
+            rights = b if rights is None else rights.unionByName(b)
         if not flags[1]:
             break
-        open_pairs = state.where(~done).drop("held", "bound")
-    out = None
-    for level, pairs in finished:
-        near = pairs.join(_at_level(rhs, "r", _B, level), [*keys, *_B]).drop(*_B, "held")
-        # the cells' own bound, in space units with room for rounding, drops most candidates before they are ranked
-        size = F.col("_h") * float(1 << (MAX_LEVEL - level)) * 1.000001
-        reach = F.coalesce(F.col("bound") * size * size, F.lit(float("inf")))
-        met = near.join(_at_level(lhs, "l", _A, level), [*keys, *_A]).withColumn("reach", reach).drop(*_A, "_h", "bound")
-        out = met if out is None else out.unionByName(met)
-    return out
+        open_pairs = state.where(~done).select(*keys, *_A, *_B)
+    return lefts, rights, blocks
 
 
 def _at_level(df: DataFrame, side: str, names: list[str], level: int) -> DataFrame:
@@ -112,18 +198,23 @@ def _at_level(df: DataFrame, side: str, names: list[str], level: int) -> DataFra
 
 
 def _refine(pairs: DataFrame, lhs: DataFrame, rhs: DataFrame, keys: list[str], need: int, level: int) -> DataFrame:
-    """Children of the open pairs that can still hold one of the ``need`` nearest points."""
-    up = lambda side, names: [F.shiftright(F.col(n), 1).alias(p) for n, p in zip(side, names)]
+    """Children of the open pairs that can still hold one of the ``need`` nearest points.
+
+    ``held`` counts the right points of a left cell's partners, ``mine`` the left points of the cell.  Windows run
+    over the partners of one cell, a number bounded by geometry.
+    """
+    up = lambda names, parents: [F.shiftright(F.col(n), 1).alias(p) for n, p in zip(names, parents)]
     a_child, b_child = ["cax", "cay", "caz"], ["cbx", "cby", "cbz"]
-    a_cells = lhs.select(*keys, *[c.alias(n) for c, n in zip(_cell("l", level), a_child)]).distinct().select(
-        "*", *up(a_child, _A))
-    b_cells = rhs.groupBy(*keys, *[c.alias(n) for c, n in zip(_cell("r", level), b_child)]).agg(
-        F.count(F.lit(1)).alias("n")).select("*", *up(b_child, _B))
+    count = lambda df, side, names, n: df.groupBy(*keys, *[c.alias(m) for c, m in zip(_cell(side, level), names)]).agg(
+        F.count(F.lit(1)).alias(n))
+    a_cells = count(lhs, "l", a_child, "mine").select("*", *up(a_child, _A))
+    b_cells = count(rhs, "r", b_child, "n").select("*", *up(b_child, _B))
     grown = pairs.join(b_cells, [*keys, *_B]).drop(*_B).join(a_cells, [*keys, *_A]).drop(*_A)
     apart = [F.abs(F.col(a) - F.col(b)).cast("long") for a, b in zip(a_child, b_child)]
-    gap = sum((F.greatest(d - 1, F.lit(0)) * F.greatest(d - 1, F.lit(0)) for d in apart[1:]),
-              F.greatest(apart[0] - 1, F.lit(0)) * F.greatest(apart[0] - 1, F.lit(0)))
-    span = sum(((d + 1) * (d + 1) for d in apart[1:]), (apart[0] + 1) * (apart[0] + 1))
+    sq = lambda c: c * c
+    near = [F.greatest(d - 1, F.lit(0)) for d in apart]
+    gap = sq(near[0]) + sq(near[1]) + sq(near[2])
+    span = sq(apart[0] + 1) + sq(apart[1] + 1) + sq(apart[2] + 1)
     of_a = Window.partitionBy(*keys, *a_child)
     kept = (
         grown.select("*", gap.alias("gap"), span.alias("span"))
@@ -132,4 +223,4 @@ def _refine(pairs: DataFrame, lhs: DataFrame, rhs: DataFrame, keys: list[str], n
         .where(F.col("bound").isNull() | (F.col("gap") <= F.col("bound")))
         .withColumn("held", F.sum("n").over(of_a))
     )
-    return kept.select(*keys, *[F.col(c).alias(n) for c, n in zip(a_child + b_child, _A + _B)], "held", "bound")
+    return kept.select(*keys, *[F.col(c).alias(n) for c, n in zip(a_child + b_child, _A + _B)], "held", "mine")
