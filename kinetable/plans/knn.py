@@ -26,7 +26,7 @@ from .lineage import cut
 from .ranking import top_k
 
 LEAF = 1024    # right points a finished left cell may still face
-DIRECT = 2048  # keys with at most this many right points need no cells
+DIRECT = 4096  # keys with at most this many right points need no cells
 ROWS = 4096    # left points per block
 MAX_LEVEL = 24
 _A, _B = ["ax", "ay", "az"], ["bx", "by", "bz"]

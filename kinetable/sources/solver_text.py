@@ -51,7 +51,7 @@ def read_weight_text(spark: SparkSession, path: str, n_bones: int) -> DataFrame:
 
     text = spark.read.text(path, wholetext=True).select(
         base_name(F.url_decode(F.col("_metadata.file_path")), r"\.[^.]*$").alias("seq_id"), "value")
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda s: s.rlike(r"^(w\s)?\s*[-+0-9.]"))
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: s.rlike(r"^(w\s)?\s*[-+0-9.]"))
     tokens = F.filter(F.transform(lines, lambda s: F.split(F.regexp_replace(s, r"^w\s+", ""), r"\s+")), lambda t: F.size(t) >= n_bones)
     rows = text.select("seq_id", F.posexplode(tokens).alias("vertex_id", "t")).select(
         "seq_id", F.col("vertex_id").cast("long").alias("vertex_id"), F.posexplode(F.slice("t", 1, n_bones)).alias("k", "w"))
