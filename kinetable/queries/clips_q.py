@@ -111,7 +111,7 @@ select seq_id, frame_id, {step} as pick, arg_min(vertex_id, struct_pack(a := -d,
 select p.seq_id, p.frame_id, p.vertex_id, min((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) as d
 from points p join ({picks}) s on p.seq_id=s.seq_id and p.frame_id=s.frame_id
 join points q on q.seq_id=s.seq_id and q.frame_id=s.frame_id and q.vertex_id=s.vertex_id
-group by p.seq_id, p.frame_id, p.vertex_id) group by seq_id, frame_id"""
+group by p.seq_id, p.frame_id, p.vertex_id) group by seq_id, frame_id having max(d)>0"""
 
 
 def _fps_views(n: int) -> dict[str, str]:

@@ -192,20 +192,20 @@ def select_template(spark, sf):
 
 
 @query("centroid_stats", sql(f"""
-select seq_id, frame_id, {', '.join(r(f'avg({a})', f'mean_{a}', 4) + ', ' + r(f'stddev_pop({a})', f'std_{a}', 4) + ', ' + r(f'max({a})-min({a})', f'extent_{a}', 4) for a in 'xyz')}
+select seq_id, frame_id, {', '.join(r(f'avg({a})', f'mean_{a}', 9) + ', ' + r(f'stddev_pop({a})', f'std_{a}', 9) + ', ' + r(f'max({a})-min({a})', f'extent_{a}', 9) for a in 'xyz')}
 from points group by seq_id, frame_id"""))
 def centroid_stats(spark, sf):
     out = nz.centroid_stats(br.points(spark, sf))
-    return out.select(*FRAME, *rnds(*[f"{s}_{a}" for a in "xyz" for s in ("mean", "std", "extent")], n=4))
+    return out.select(*FRAME, *rnds(*[f"{s}_{a}" for a in "xyz" for s in ("mean", "std", "extent")], n=9))
 
 
 @query("cloud_quality", sql(f"""
 select seq_id, frame_id, count(*) as n_vertices, least(min(x), min(y), min(z)) as lo, greatest(max(x), max(y), max(z)) as hi,
-{', '.join(r(f'avg({a})', f'mean_{a}', 4) + ', ' + r(f'stddev_pop({a})', f'std_{a}', 4) for a in 'xyz')}
+{', '.join(r(f'avg({a})', f'mean_{a}', 9) + ', ' + r(f'stddev_pop({a})', f'std_{a}', 9) for a in 'xyz')}
 from points group by seq_id, frame_id"""))
 def cloud_quality(spark, sf):
     out = nz.cloud_quality(br.points(spark, sf))
-    return out.select(*FRAME, "n_vertices", "lo", "hi", *rnds(*[f"{s}_{a}" for a in "xyz" for s in ("mean", "std")], n=4))
+    return out.select(*FRAME, "n_vertices", "lo", "hi", *rnds(*[f"{s}_{a}" for a in "xyz" for s in ("mean", "std")], n=9))
 
 
 @query("cloud_difference", sql(f"""
@@ -231,8 +231,8 @@ def auto_bone_count(spark, sf):
 
 @query("voxel_downsample", sql(f"""
 select seq_id, frame_id, cast(floor(x/25e0) as bigint) as ci, cast(floor(y/25e0) as bigint) as cj, cast(floor(z/25e0) as bigint) as ck,
-       {r('avg(x)', 'x')}, {r('avg(y)', 'y')}, {r('avg(z)', 'z')}, count(*) as n
+       {r('avg(x)', 'x', 9)}, {r('avg(y)', 'y', 9)}, {r('avg(z)', 'z', 9)}, count(*) as n
 from points group by 1, 2, 3, 4, 5"""))
 def voxel_downsample(spark, sf):
     from ..operators.clips import voxel_downsample as down
-    return down(br.points(spark, sf), 25.0).select(*FRAME, "ci", "cj", "ck", *rnds("x", "y", "z"), "n")
+    return down(br.points(spark, sf), 25.0).select(*FRAME, "ci", "cj", "ck", *rnds("x", "y", "z", n=9), "n")

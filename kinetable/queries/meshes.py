@@ -106,11 +106,11 @@ def stream_frames(spark, sf):
 
 
 @query("stream_metrics", sql(f"""
-select date_trunc('day', ts) as start, event_type as key, {r('avg(value)', 'value', 4)}, count(*) as n from events group by 1, 2"""))
+select date_trunc('day', ts) as start, event_type as key, {r('avg(value)', 'value', 9)}, count(*) as n from events group by 1, 2"""))
 def stream_metrics(spark, sf):
     base = f"{state_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = br.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     q = sme.stream_metrics(events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), "value"), f"{base}/out", f"{base}/log", late="40 days")
     q.awaitTermination()
-    return sme.latest_means(spark, f"{base}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "key", rnd("value", 4).alias("value"), "n")
+    return sme.latest_means(spark, f"{base}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "key", rnd("value", 9).alias("value"), "n")

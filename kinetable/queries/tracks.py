@@ -171,9 +171,9 @@ def soft_argmax(spark, sf):
     return tr.soft_argmax(br.heat(br.points(spark, sf)), ["frame_id"], 8).select("frame_id", "k", *rnds("x", "y", "z", "intensity"))
 
 
-@query("heat_sparsity", sql(f"select frame_id, {r('sum(m)/5e0', 'sparsity', 4)} from (select frame_id, k, abs(sum(h)/512) as m from heat group by 1, 2) group by 1"))
+@query("heat_sparsity", sql(f"select frame_id, {r('sum(m)/5e0', 'sparsity', 12)} from (select frame_id, k, abs(sum(h)/512) as m from heat group by 1, 2) group by 1"))
 def heat_sparsity(spark, sf):
-    return tr.heat_sparsity(br.heat(br.points(spark, sf)), ["frame_id"], 8, 5).select("frame_id", rnd("sparsity", 4).alias("sparsity"))
+    return tr.heat_sparsity(br.heat(br.points(spark, sf)), ["frame_id"], 8, 5).select("frame_id", rnd("sparsity", 12).alias("sparsity"))
 
 
 _G = "2*(1.5e0/8)*(1.5e0/8)"
@@ -251,16 +251,16 @@ def best_candidate(spark, sf):
     return tr.best_candidate(k, s).select(*FRAME, "sample", rnd("cost").alias("cost"))
 
 
-@query("metric_epoch_mean", sql(f"select epoch, key, {r('avg(value)', 'value', 4)} from metrics group by 1, 2"))
+@query("metric_epoch_mean", sql(f"select epoch, key, {r('avg(value)', 'value', 9)} from metrics group by 1, 2"))
 def metric_epoch_mean(spark, sf):
-    return tr.metric_epoch_mean(br.metrics(spark, sf)).select("epoch", "key", rnd("value", 4).alias("value"))
+    return tr.metric_epoch_mean(br.metrics(spark, sf)).select("epoch", "key", rnd("value", 9).alias("value"))
 
 
 @query("metric_weighted_total", sql(f"""
-select epoch, {r("sum(v*case key when 'click' then 2e0 when 'error' then 0.5e0 else 1e0 end)", 'total', 4)} from (select epoch, key, avg(value) as v from metrics group by 1, 2) group by 1"""))
+select epoch, {r("sum(v*case key when 'click' then 2e0 when 'error' then 0.5e0 else 1e0 end)", 'total', 9)} from (select epoch, key, avg(value) as v from metrics group by 1, 2) group by 1"""))
 def metric_weighted_total(spark, sf):
     t = tr.weighted_total(tr.metric_epoch_mean(br.metrics(spark, sf)), {"click": 2.0, "error": 0.5})
-    return t.select("epoch", rnd("total", 4).alias("total"))
+    return t.select("epoch", rnd("total", 9).alias("total"))
 
 
 _SP = "(greatest({0}, 0e0)+ln(1+exp(-abs({0}))))"
