@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import space
+from ..plans.lineage import sized
 from ..plans.ranking import position_in_order, top_k
 from ..schema import FRAME
 
@@ -17,7 +17,7 @@ def lengths(df: DataFrame) -> DataFrame:
 def crop(df: DataFrame, starts: DataFrame, t: int, rate: int = 1) -> DataFrame:
     """Frames start, start + rate, ... (``t`` at most) of each sequence, renumbered from 0."""
     off = F.col("frame_id") - F.col("start")
-    kept = df.join(starts.select("seq_id", "start"), "seq_id").where(
+    kept = df.join(sized(starts.select("seq_id", "start"), "starts"), "seq_id").where(
         (off >= 0) & (off < t * rate) & (off % rate == 0))
     return kept.withColumn("frame_id", (off / rate).cast("long")).drop("start")
 
@@ -50,7 +50,8 @@ def pad_last(df: DataFrame, lens: DataFrame, t: int, rate: int = 1) -> DataFrame
     """Sequences shorter than t * rate get copies of their last frame until ``t`` frames exist.
     With a rate above 1 the crop may still be shorter than ``t``."""
     copies = F.greatest(F.lit(t) - F.col("length"), F.lit(0))
-    last = df.join(lens.where((F.col("length") < t * rate) & (copies > 0)), "seq_id").where(
+    short = sized(lens.where((F.col("length") < t * rate) & (copies > 0)), "short")
+    last = df.join(short, "seq_id").where(
         F.col("frame_id") == F.col("length") - 1)
     extra = last.withColumn("frame_id", F.explode(F.sequence(F.col("length"), F.lit(t - 1).cast("long")))).drop("length")
     return df.unionByName(extra)

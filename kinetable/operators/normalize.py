@@ -1,8 +1,8 @@
 """Bounding boxes, normalisation, occupancy and checks of point tables.
 
 Boxes are aggregated (with map-side partial results) and joined back; a window over a frame would put that
-whole frame into one task.  The box table has one row per frame or sequence, no broadcast is forced: Spark
-broadcasts it when its measured size allows and splits skewed join partitions otherwise.
+whole frame into one task.  No broadcast is forced.  The box of a sequence is written first, so Spark knows its true
+size and need not shuffle the points to meet it; frame boxes are joined by frame, skewed partitions being split.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import space
+from ..plans.lineage import sized
 from ..schema import FRAME
 
 SCOPES = {"frame": ["seq_id", "frame_id"], "sequence": ["seq_id"], "all": []}
@@ -35,7 +36,11 @@ def with_box(df: DataFrame, box: DataFrame, scope: str) -> DataFrame:
 def normalize(points: DataFrame, scope: str = "frame", scale: float = 1.0, x_trans: float = 0.0,
               z_trans: float = 0.0, box: DataFrame | None = None, keep_box: bool = False) -> DataFrame:
     """Points to [-1, 1] by the isotropic box of ``scope``."""
-    boxed = with_box(points, bbox(points, scope) if box is None else box, scope)
+    if box is None:
+        box = bbox(points, scope)
+        if scope == "sequence":
+            box = sized(box, "box")
+    boxed = with_box(points, box, scope)
     shift = {"x": x_trans, "y": 0.0, "z": z_trans}
     out = boxed.withColumns({a: space.to_unit(F.col(a), F.col(f"bmin_{a}"), F.col("blen"), scale, shift[a]) for a in "xyz"})
     return out if keep_box else out.drop("bmin_x", "bmin_y", "bmin_z", "blen")
@@ -43,7 +48,8 @@ def normalize(points: DataFrame, scope: str = "frame", scale: float = 1.0, x_tra
 
 def normalize_joints(joints: DataFrame, points: DataFrame, scope: str = "sequence", scale: float = 1.0) -> DataFrame:
     """Joints by the box of the *points*; the translation term of the points is not applied."""
-    return normalize(joints, scope, scale, box=bbox(points, scope))
+    box = bbox(points, scope)
+    return normalize(joints, scope, scale, box=sized(box, "box") if scope == "sequence" else box)
 
 
 def denormalize(points: DataFrame, box: DataFrame, scope: str = "frame") -> DataFrame:

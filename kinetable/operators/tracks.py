@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import space
+from ..plans.lineage import sized
 from ..plans.ranking import with_previous
 from ..schema import FRAME
 
@@ -18,7 +19,7 @@ AXES = "xyz"
 def frame_means(df: DataFrame, keys: list[str], cols: list[str], prefix: str = "mean_") -> DataFrame:
     """Mean over time joined back to every frame."""
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"{prefix}{c}") for c in cols])
-    return df.join(means, keys)
+    return df.join(sized(means, "means"), keys)
 
 
 def displacement(kps: DataFrame) -> DataFrame:

@@ -24,13 +24,14 @@ def position_by_id(df: DataFrame, keys: list[str], order: list[str], out: str, w
     """0-based position of each row inside ``keys`` ordered by ``order``; ``order[0]`` is an integer id.
 
     The id must be unique up to a bounded multiplicity inside a group (the rest of ``order`` breaks ties).
+    The join is an outer one on unique keys, so a query that never uses ``out`` pays neither for it nor the window.
     """
     ranged = df.withColumn("_range", F.floor(F.col(order[0]) / F.lit(width)))
-    starts = range_starts(ranged, keys, F.count(F.lit(1)), "_before")
+    starts = range_starts(ranged, keys, F.count(F.lit(1)), "_before").groupBy(*keys, "_range").agg(F.max("_before").alias("_before"))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (
         ranged.withColumn("_pos", F.row_number().over(inside))
-        .join(starts, [*keys, "_range"])
+        .join(starts, [*keys, "_range"], "left")
         .withColumn(out, (F.col("_before") + F.col("_pos") - 1).cast("long"))
         .drop("_range", "_pos", "_before")
     )

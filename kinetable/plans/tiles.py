@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .lineage import sized
+
 
 def tile_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, group: str = "seq_id",
               left_width: int = 1024, right_width: int = 64) -> DataFrame:
@@ -14,7 +16,7 @@ def tile_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, gr
     0.1 % of the result), and the tiles are spread evenly however long a sequence is.  Ids are dense.
     """
     def runs(df, ident, width, name):
-        return df.groupBy(group).agg(F.floor(F.max(ident) / F.lit(width)).alias(name))
+        return sized(df.groupBy(group).agg(F.floor(F.max(ident) / F.lit(width)).alias(name)), "runs")
 
     each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name)))
     lhs = left.join(runs(right, right_id, right_width, "_last"), group).withColumn("_rt", each("_last")).drop("_last")
