@@ -276,9 +276,8 @@ def forward_kinematics(rotations: DataFrame, tree: DataFrame, offsets: DataFrame
         pair = (F.col("r"), F.col("rp")) if inverse else (F.col("rp"), F.col("r"))
         j = j.withColumn("rg", matmul3(*pair))
         moved = matvec3(F.col("rg"), F.col("ox"), F.col("oy"), F.col("oz"))
-        here = j.select(*FRAME, "k", "rg", *[(v + F.col(f"p{c}")).alias(c) for c, v in zip("xyz", moved)])
-        if d % 4 == 0:
-            here = cut(here, "fk-level")
+        # each level is read twice, as a result and as the next level's parents
+        here = cut(j.select(*FRAME, "k", "rg", *[(v + F.col(f"p{c}")).alias(c) for c, v in zip("xyz", moved)]), "fk-level")
         done.append(here)
     out = done[0]
     for df in done[1:]:

@@ -9,9 +9,10 @@ level by level, all keys at once:
 * A is finished once its remaining partners hold at most ``leaf`` points; otherwise A and its partners are
   replaced by their non-empty children.
 
-Then Spark shuffles both sides into blocks, one per finished cell and at most ``ROWS`` left points, and each block
-compares at most ROWS x leaf points with NumPy.  However dense or skewed the clouds are, no task sees a whole
-frame and no left point meets more than ``leaf`` right ones.  Copies of one right position beyond the k with the
+Then Spark shuffles both sides into blocks, one per finished cell and about ``ROWS`` left points, and each block is
+compared with NumPy.  Keys with at most ``DIRECT`` right points are blocks by themselves.  However dense or skewed
+the clouds are, no task sees a large frame and no left point meets more than max(leaf, DIRECT) right ones, unless
+distinct points are closer together than the finest cells.  Copies of one right position beyond the k with the
 lowest ids can never be among the k nearest and are removed first.  Cell arithmetic is on integers, so pruning is
 safe; the ranking uses double squared distances and, for ties, the lowest right id.  Positions are finite.
 """
