@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import space
-from ..plans.lineage import sized
+from ..plans.lineage import cut, sized
 from ..plans.ranking import with_previous
 from ..schema import FRAME
 
@@ -138,7 +138,7 @@ def lower_median(df: DataFrame, keys: list[str], value: str, cuts: int = 512, ro
     """
     steps = [i / cuts for i in range(cuts + 1)]
     v = F.col(value)
-    rows = df.select(*keys, value).where(v.isNotNull())
+    rows = cut(df.select(*keys, value).where(v.isNotNull()), "median")  # read several times below
     want = rows.groupBy(*keys).agg(F.floor((F.count(F.lit(1)) - 1) / 2).alias("_want"))
     for _ in range(rounds):
         box = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
@@ -154,6 +154,7 @@ def lower_median(df: DataFrame, keys: list[str], value: str, cuts: int = 512, ro
         pick = seen.select(*keys, F.when(sure, F.col("_lo")).otherwise(F.col("_min")).alias("_lo"),
                            F.when(sure, F.col("_hi")).otherwise(F.col("_max")).alias("_hi"),
                            (F.col("_want") - F.when(sure, F.col("_below")).otherwise(0)).alias("_want"))
+        pick = sized(pick, "median-brackets")
         want = pick.select(*keys, "_want")
         rows = rows.join(pick.drop("_want"), keys).where(v.between(F.col("_lo"), F.col("_hi"))).select(*keys, value)
     tally = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
