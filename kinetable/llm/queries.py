@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import op4_packing, op6_bpe
+from . import op2_warc, op3_sharding, op4_packing, op6_bpe, op7_language, op8_token_counts
+from ..plans.lineage import state_dir
 from .common import table
 
 SPARK: dict = {}
@@ -25,6 +28,37 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_warc_transactions", f"""
+    with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+         m as (select *, min(page_id) over (partition by payload_digest) as f from p)
+    select page_id, payload_bytes, payload_digest,
+           case when payload_bytes >= {op2_warc.MIN_REVISIT} and page_id > f then 'revisit' else 'response' end as record_type,
+           case when payload_bytes >= {op2_warc.MIN_REVISIT} and page_id > f then f end as refers_to from m""")
+def warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{state_dir(spark)}/warc-{uuid.uuid4().hex}"
+    op2_warc.write(table(spark, sf, "pages"), path)
+    return page_digests(op2_warc.captures(op2_warc.read(spark, path)))
+
+
+def page_digests(captures: DataFrame) -> DataFrame:
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?[0-9]+)", 1).try_cast("long")
+    own = F.col("response.type") == "response"
+    return captures.select(
+        page("capture_id").alias("page_id"),
+        F.when(own, F.col("response.read_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.when(own, F.col("response.read_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
+        F.col("response.type").alias("record_type"), page("response.refers_to").alias("refers_to"))
+
+
+#: Bytes of a shard.
+SHARD_BYTES = 1 << 20
+
+
+@query("op3_extendible_hashing", op3_sharding.sql(SHARD_BYTES))
+def sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return op3_sharding.shards(table(spark, sf, "documents"), SHARD_BYTES)
+
+
 @query("op4_harmonic_packing")
 def packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_digests(table(spark, sf, "documents"))
@@ -40,3 +74,15 @@ def bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = op6_bpe.encode(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_language_id")
+def language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = op7_language.train(docs, ~op7_language.held_out())
+    return op7_language.predict(docs, model).select("doc_id", op7_language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op8_token_counts")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return op8_token_counts.token_counts(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
