@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, pick, rows_of
+from .common import bounded_batches, byte_symbols, pick, rows_of
 
 #: White space of the vocabulary's patterns; str.split() has four control characters more.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -49,13 +49,6 @@ def word_pattern() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+")
 
 
-def byte_symbols() -> list[str]:
-    """The printable symbol of each byte: itself where it is printable, else the next character from 256 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
-
-
 class Codec:
     def __init__(self, path: str, limit: int = 1 << 18) -> None:
         with open(path, encoding="utf-8") as f:

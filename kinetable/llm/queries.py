@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import op2_warc, op3_sharding, op4_packing, op6_bpe, op7_language, op8_token_counts
+from . import op2_warc, op3_sharding, op4_packing, op6_bpe, op7_language, op8_token_counts, op10_pii
 from ..plans.lineage import state_dir
 from .common import table
 
@@ -86,3 +86,16 @@ def language(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_token_counts")
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return op8_token_counts.token_counts(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op10_pii_skip_chain")
+def pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return span_digests(op10_pii.find(docs, op10_pii.train(docs)))
+
+
+def span_digests(found: DataFrame) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in op10_pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
