@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import op2_warc, op3_sharding, op4_packing, op6_bpe, op7_language, op8_token_counts, op10_pii
+from . import op2_warc, op3_sharding, op4_packing, op6_bpe, op7_language, op8_token_counts, op9_jaccard, op10_pii
 from ..plans.lineage import state_dir
 from .common import table
 
@@ -88,6 +88,11 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return op8_token_counts.token_counts(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query("op9_ngram_jaccard")
+def jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return op9_jaccard.join(table(spark, sf, "documents"))
+
+
 @query("op10_pii_skip_chain")
 def pii(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
