@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.ranking import position_in_order
 from .common import cut, pick
 
-BITS, SPARE_BITS = 60, 4
+BITS, SPARE_BITS = 60, 2
 
 
 def prefix(hash_: Column, depth: Column | int) -> Column:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import op2_warc, op3_sharding, op4_packing, op6_bpe, op7_language, op8_token_counts, op9_jaccard, op10_pii
+from . import op1_near_vectors, op2_warc, op3_sharding, op4_packing, op5_prefix_forest, op6_bpe, op7_language, op8_token_counts, op9_jaccard, op10_pii
 from ..plans.lineage import state_dir
 from .common import table
 
@@ -28,6 +28,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_near_vectors")
+def near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return op1_near_vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
 @query("op2_warc_transactions", f"""
     with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
          m as (select *, min(page_id) over (partition by payload_digest) as f from p)
@@ -69,6 +74,11 @@ def pack_digests(docs: DataFrame) -> DataFrame:
     return op4_packing.pack(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
 
 
+@query("op5_prefix_forest")
+def nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return op5_prefix_forest.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op6_bpe_backtracking")
 def bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = op6_bpe.encode(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
