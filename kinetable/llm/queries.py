@@ -112,5 +112,6 @@ def pii(spark: SparkSession, sf: str) -> DataFrame:
 def span_digests(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in op10_pii.KINDS]
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in op10_pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
