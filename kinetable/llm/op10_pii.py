@@ -28,7 +28,7 @@ from .common import bounded_batches, pick, rows_of
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
-SAMPLE_DOCS, EPOCHS, RATE, ROUNDS, SURE = 4000, 6, 0.1, 12, 0.9
+SAMPLE_DOCS, EPOCHS, RATE, ROUNDS, SURE = 4000, 6, 0.1, 12, 0.6
 #: Where training starts: equal labels over skip edges, and "none" for a candidate of which nothing is known.
 AGREE, DOUBT = 4.0, 3.0
 
