@@ -33,12 +33,19 @@ def _same_size(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return na.join(nb, keys).select(*keys, (F.col("na") == F.col("nb")).alias("same_size"))
 
 
-def match_frames(a: DataFrame, b: DataFrame, keys: list[str], method: str = "nearest", k: int = 3) -> DataFrame:
+def match_frames(a: DataFrame, b: DataFrame, keys: list[str], method: str = "nearest", k: int = 3,
+                 shared_topology: str = "equal_count") -> DataFrame:
     """``a`` with the matching ``b`` position (bx, by, bz).
 
-    Frames of equal size already share their vertices and are matched by id; the others are matched by the
-    nearest point (``nearest``) or the weighted nearest points (``idw``).
+    ``shared_topology`` says when two frames have the same vertices, so that these are matched by id: ``equal_count``,
+    if their numbers are equal (frames of one scanner model), or ``never``.  All others are matched by the nearest point
+    (``nearest``) or the weighted nearest points (``idw``).
     """
+    if shared_topology not in ("equal_count", "never"):
+        raise ValueError(shared_topology)
+    if shared_topology == "never":
+        mapped = idw(a, b, keys, k) if method == "idw" else nearest(a, b, keys).drop("match_id", "d2")
+        return a.join(mapped, [*keys, "vertex_id"])
     sizes = _same_size(a, b, keys)
     by_id = a.join(sizes.where("same_size"), keys, "left_semi").join(
         b.select(*keys, "vertex_id", *[F.col(c).alias(f"b{c}") for c in "xyz"]), [*keys, "vertex_id"])
@@ -88,18 +95,16 @@ def cloud_size(points: DataFrame, keys: list[str]) -> DataFrame:
         norm3(*[F.max(c) - F.min(c) for c in "xyz"]).alias("extent"))
 
 
-def feature(many: int = 5000, few_joints: int = 8):
-    """Feature array of a row with x, y, z, js, n and extent."""
-    js = F.when(F.col("n") > many, F.slice("js", 1, few_joints)).otherwise(F.col("js"))
-    return F.concat(F.array("x", "y", "z"), F.transform(js, lambda q: F.exp(F.lit(-3.0) * (
+def feature():
+    """Feature array of a row with x, y, z, js and extent, over all joints."""
+    return F.concat(F.array("x", "y", "z"), F.transform("js", lambda q: F.exp(F.lit(-3.0) * (
         norm3(F.col("x") - q["x"], F.col("y") - q["y"], F.col("z") - q["z"]) / (F.col("extent") + F.lit(IDW_EPS))))))
 
 
-def bone_coordinates(points: DataFrame, joints: DataFrame, keys: list[str] = FRAME, many: int = 5000, few_joints: int = 8) -> DataFrame:
-    """Feature array: position, then exp(-3 d / extent) for every joint in joint order.
-    Frames with more than ``many`` vertices use only the first ``few_joints`` joints."""
-    about = pack_joints(joints, keys).join(cloud_size(points, keys).select(*keys, "n", "extent"), keys)
-    return points.join(about, keys).withColumn("feature", feature(many, few_joints)).drop("js", "extent", "n")
+def bone_coordinates(points: DataFrame, joints: DataFrame, keys: list[str] = FRAME) -> DataFrame:
+    """Feature array: position, then exp(-3 d / extent) for every joint in joint order, at any number of vertices."""
+    about = pack_joints(joints, keys).join(cloud_size(points, keys).select(*keys, "extent"), keys)
+    return points.join(about, keys).withColumn("feature", feature()).drop("js", "extent")
 
 
 def _feature_d2(a: str, b: str):
@@ -107,37 +112,22 @@ def _feature_d2(a: str, b: str):
 
 
 def bone_guided_remap(template: DataFrame, current: DataFrame, template_joints: DataFrame, current_joints: DataFrame,
-                      keys: list[str], k: int = 3, large: int = 8000, sizes: tuple[int, int] | None = None) -> DataFrame:
+                      keys: list[str], k: int = 3, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Template vertices moved to the weighted mean of the ``k`` current points nearest in feature space.
 
-    Templates with more than ``large`` vertices use the nearest point in space.  ``sizes`` are upper bounds of the
-    vertices per key in ``template`` and ``current``; without them one aggregate over each side finds them.
+    ``sizes`` are upper bounds of the vertices per key in ``template`` and ``current``; without them one aggregate over
+    each side finds them.  They choose how the exact search runs, not its result.
     """
-    n = template.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if sizes is None:
-        m = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        sizes = tuple(df.agg(F.max("_n")).first()[0] or 0 for df in (n, m))
-    some_large, some_small = sizes[0] > large, True
-    t_small, c_small = template, current
-    if some_large:
-        small = n.where(F.col("_n") <= large).select(*keys)
-        t_small, c_small = (df.join(small, keys, "left_semi") for df in (template, current))
-        some_small = not small.isEmpty()
-    out = None
-    if some_small:
-        ta = bone_coordinates(t_small, template_joints, keys).select(*keys, "vertex_id", "x", "y", "z", F.col("feature").alias("fa"))
-        cb = bone_coordinates(c_small, current_joints, keys).select(
-            *keys, F.col("vertex_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"),
-            F.col("feature").alias("fb"))
-        near = feature_nearest(ta, cb, keys, k, sizes)
-        out = near.withColumn("w", 1 / (F.sqrt("fd2") + F.lit(IDW_EPS))).groupBy(*keys, "vertex_id").agg(
-            *[(F.sum(F.col("w") * F.col(f"o{c}")) / F.sum("w")).alias(c) for c in "xyz"])
-    if some_large:
-        big = n.where(F.col("_n") > large).select(*keys)
-        direct = nearest(template.join(big, keys, "left_semi"), current.join(big, keys, "left_semi"), keys).select(
-            *keys, "vertex_id", F.col("bx").alias("x"), F.col("by").alias("y"), F.col("bz").alias("z"))
-        out = direct if out is None else out.unionByName(direct)
-    return out
+        count = lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+        sizes = (count(template), count(current))
+    ta = bone_coordinates(template, template_joints, keys).select(*keys, "vertex_id", "x", "y", "z", F.col("feature").alias("fa"))
+    cb = bone_coordinates(current, current_joints, keys).select(
+        *keys, F.col("vertex_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"),
+        F.col("feature").alias("fb"))
+    near = feature_nearest(ta, cb, keys, k, sizes)
+    return near.withColumn("w", 1 / (F.sqrt("fd2") + F.lit(IDW_EPS))).groupBy(*keys, "vertex_id").agg(
+        *[(F.sum(F.col("w") * F.col(f"o{c}")) / F.sum("w")).alias(c) for c in "xyz"])
 
 
 def feature_nearest(ta: DataFrame, cb: DataFrame, keys: list[str], k: int, largest: tuple[int, int], batch: int = 32) -> DataFrame:
@@ -192,7 +182,7 @@ def unify_anchor(points: DataFrame, template: DataFrame) -> DataFrame:
     return matched.select(*FRAME, "vertex_id", *[F.col(f"b{c}").alias(c) for c in "xyz"])
 
 
-def unify_chain(points: DataFrame, joints: DataFrame, rest: DataFrame, keep_above: float = 0.8, large: int = 8000) -> DataFrame:
+def unify_chain(points: DataFrame, joints: DataFrame, rest: DataFrame, keep_above: float = 0.8) -> DataFrame:
     """Outward from each sequence's rest frame; the frame unified last is the template of the next one.
 
     A frame of equal size and quality above ``keep_above`` keeps its points, any other is remapped by
@@ -236,18 +226,9 @@ def unify_chain(points: DataFrame, joints: DataFrame, rest: DataFrame, keep_abov
         kept = originals(current.join(verdict.where("keep").select(*keys, "frame_id"), keys))
         poor = prev.drop("frame_id").join(verdict.where(~F.col("keep")), keys)
         ta = poor.select(*keys, "frame_id", "vertex_id", "x", "y", "z", feature().alias("fa"))
-        if largest > large:
-            n = poor.select(*keys, "vertex_id", "x", "y", "z", "n", "frame_id")
-            points_now = current.select(*keys, F.col("other_id").alias("vertex_id"), *[F.col(f"o{c}").alias(c) for c in "xyz"])
-            hit = nearest(n.where(F.col("n") > large), points_now, keys)
-            moved = hit.select(*keys, "vertex_id", *[F.col(f"b{c}").alias(c) for c in "xyz"])
-            ta = ta.join(n.where(F.col("n") <= large).select(*keys).distinct(), keys, "left_semi")
-        else:
-            moved = None
         near = feature_nearest(ta.drop("frame_id"), current, keys, 3, (largest, largest))
-        mixed = near.withColumn("w", 1 / (F.sqrt("fd2") + F.lit(IDW_EPS))).groupBy(*keys, "vertex_id").agg(
+        moved = near.withColumn("w", 1 / (F.sqrt("fd2") + F.lit(IDW_EPS))).groupBy(*keys, "vertex_id").agg(
             *[(F.sum(F.col("w") * F.col(f"o{c}")) / F.sum("w")).alias(c) for c in "xyz"])
-        moved = mixed if moved is None else mixed.unionByName(moved)
         moved = moved.join(verdict.select(*keys, "frame_id"), keys)
         prev = cut(kept.unionByName(moved.select(*keys, "frame_id", "vertex_id", "x", "y", "z")), "chain")
         done.append(prev.select(*FRAME, "vertex_id", "x", "y", "z"))

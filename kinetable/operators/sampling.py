@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.space import cross3, dist2, hash_unit, norm3
 from ..plans.lineage import cut
-from ..plans.ranking import running_sum_by_id
+from ..plans.ranking import ID_RANGE, running_sum_by_id
 from ..schema import FRAME
 
 # The additive low-discrepancy sequence in two dimensions (reciprocal powers of the plastic number).
@@ -74,10 +74,19 @@ def surface_sample(points: DataFrame, faces: DataFrame, n: int, seed: int = 0, g
     run = running_sum_by_id(tri, FRAME, "face_id", "area", "run")
     total = tri.groupBy(*FRAME).agg(F.sum("area").alias("total"))
     spans = run.join(total.where("total > 0"), FRAME).withColumns({
-        "lo": (F.col("run") - F.col("area")) / F.col("total"), "hi": F.col("run") / F.col("total")})
+        "hi": F.col("run") / F.col("total")})
+    # lo is the very number that is hi of the face before; the last face reaches to the end whatever the rounding
+    order = Window.partitionBy(*FRAME, "_range").orderBy("face_id")
+    spans = spans.where("area > 0").withColumn("_range", F.floor(F.col("face_id") / F.lit(ID_RANGE)))
+    ends = spans.groupBy(*FRAME, "_range").agg(F.max("hi").alias("_end"))
+    before = Window.partitionBy(*FRAME).orderBy("_range")
+    ends = ends.select(*FRAME, "_range", F.coalesce(F.lag("_end").over(before), F.lit(-1.0)).alias("_start"),
+                       (F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.desc("_range"))) == 1).alias("_final"))
+    spans = spans.join(ends, [*FRAME, "_range"]).withColumn("lo", F.coalesce(F.lag("hi").over(order), F.col("_start"))).withColumn(
+        "hi", F.when(F.col("_final") & F.lead("hi").over(order).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
     first = F.greatest(F.floor(F.col("lo") * n) - 1, F.lit(0))
     last = F.least(F.floor(F.col("hi") * n) + 1, F.lit(n - 1))
-    each = spans.where("area > 0").withColumn("sample_id", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    each = spans.withColumn("sample_id", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     i = F.col("sample_id")
     if grid:
         u, a, b = (i + 0.5) / n, i * R2[0] - F.floor(i * R2[0]), i * R2[1] - F.floor(i * R2[1])

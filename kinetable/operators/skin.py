@@ -19,10 +19,17 @@ MIN_WEIGHT = 1e-6
 
 
 def _packed_vertices(rest: DataFrame, weights: DataFrame) -> DataFrame:
-    """Rest vertices with their few weights as an array in bone order."""
+    """Rest vertices with their few weights as an array in bone order; a vertex without weights has an empty one."""
     packed = weights.where(F.col("w") > MIN_WEIGHT).groupBy("seq_id", "vertex_id").agg(
         F.sort_array(F.collect_list(F.struct("k", "w"))).alias("ws"))
-    return rest.select("seq_id", "vertex_id", "x", "y", "z").join(packed, ["seq_id", "vertex_id"])
+    out = rest.select("seq_id", "vertex_id", "x", "y", "z").join(packed, ["seq_id", "vertex_id"], "left")
+    return out.withColumn("ws", F.coalesce("ws", F.array().cast(packed.schema["ws"].dataType)))
+
+
+def _of_bone(table: Column, k: Column) -> Column:
+    """The value of bone ``k`` in a frame's map; a bone that the frame lacks is an error, never another bone's value."""
+    missing = F.raise_error(F.concat(F.lit("no transform of bone "), k.cast("string")))
+    return F.when(F.map_contains_key(table, k), F.try_element_at(table, k)).otherwise(missing)
 
 
 def _blend(ws: Column, term) -> Column:
@@ -37,25 +44,28 @@ def _blend(ws: Column, term) -> Column:
 
 
 def linear_blend_skin(rest: DataFrame, weights: DataFrame, transforms: DataFrame) -> DataFrame:
-    """p' = sum_k w_k (M_k [p, 1]) for every frame of ``transforms(seq_id, frame_id, k, m)``; bones are numbered
-    without gaps.
+    """p' = sum_k w_k (M_k [p, 1]) for every frame of ``transforms(seq_id, frame_id, k, m)``.
+
+    Bones are found by their number, which may have gaps; a weight on a bone that a frame has no matrix for raises.
+    A vertex without weights keeps its rest position.
 
     The weights of a vertex and the matrices of a frame are packed first (both bounded by the bone count), so
     each result row comes from one tiled join and a projection; nothing is shuffled after it.
     """
-    frames = transforms.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("_ms"))
-    frames = frames.select(*FRAME, F.transform("_ms", lambda s: s["m"]).alias("ms"))
+    frames = transforms.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("ms"))
     met = tile_join(_packed_vertices(rest, weights), frames, "vertex_id", "frame_id")
-    term = lambda k: apply_affine(F.get(F.col("ms"), k.cast("int")), F.col("x"), F.col("y"), F.col("z"))
-    return met.withColumn("p", _blend(F.col("ws"), term)).select(*FRAME, "vertex_id", "p.x", "p.y", "p.z")
+    term = lambda k: apply_affine(_of_bone(F.col("ms"), k), F.col("x"), F.col("y"), F.col("z"))
+    bound = F.size("ws") > 0
+    return met.withColumn("p", _blend(F.col("ws"), term)).select(
+        *FRAME, "vertex_id", *[F.when(bound, F.col(f"p.{c}")).otherwise(F.col(c)).alias(c) for c in "xyz"])
 
 
 def translation_skin(rest: DataFrame, weights: DataFrame, moves: DataFrame) -> DataFrame:
     """p' = rest + sum_k w_k move_k for every frame of ``moves(seq_id, frame_id, k, x, y, z)``.
-    At zero movement the result is the rest pose."""
-    frames = moves.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("k", "x", "y", "z"))).alias("js"))
+    At zero movement the result is the rest pose; so it is for a vertex without weights."""
+    frames = moves.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("x", "y", "z")))).alias("js"))
     met = tile_join(_packed_vertices(rest, weights), frames, "vertex_id", "frame_id")
-    at = lambda k: F.get(F.col("js"), k.cast("int"))
+    at = lambda k: _of_bone(F.col("js"), k)
     shift = _blend(F.col("ws"), lambda k: (at(k)["x"], at(k)["y"], at(k)["z"]))
     return met.withColumn("d", shift).select(*FRAME, "vertex_id", *[(F.col(c) + F.col(f"d.{c}")).alias(c) for c in "xyz"])
 
@@ -140,11 +150,16 @@ def rigid_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit_bone_motion(points: DataFrame, rest: DataFrame, weights: DataFrame) -> DataFrame:
-    """Rigid motion of every bone in every frame: weighted fit of the rest vertices to the frame's vertices."""
+    """Rigid motion of every bone in every frame: weighted fit of the rest vertices to the frame's vertices.
+
+    Bones are those of ``weights``, also at weight zero.  A bone without a bound vertex in a frame does not move there."""
     r = rest.select("seq_id", "vertex_id", *[F.col(c).alias(f"p{c}") for c in "xyz"])
     bound = weights.where(F.col("w") > MIN_WEIGHT).join(r, ["seq_id", "vertex_id"])
     q = points.select(*FRAME, "vertex_id", *[F.col(c).alias(f"q{c}") for c in "xyz"])
     fit = rigid_fit(q.join(bound, ["seq_id", "vertex_id"]), [*FRAME, "k"])
+    every = points.select(*FRAME).distinct().join(weights.select("seq_id", "k").distinct(), "seq_id")
+    still = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
+    fit = every.join(fit, [*FRAME, "k"], "left").withColumn("r", F.coalesce("r", still)).fillna(0.0, ["tx", "ty", "tz"])
     from ..functions.rotation import compose
     return fit.select(*FRAME, "k", "r", "tx", "ty", "tz", compose(F.col("r"), F.col("tx"), F.col("ty"), F.col("tz")).alias("m"))
 
@@ -165,7 +180,7 @@ def rigid_align(source: DataFrame, target: DataFrame, scales: tuple = (0.05, 0.0
             moving, fixed = current, target
         else:
             thin = lambda df: voxel_downsample(df, size).select(
-                *FRAME, F.xxhash64("ci", "cj", "ck").alias("vertex_id"), "x", "y", "z")
+                *FRAME, _cell_id().alias("vertex_id"), "x", "y", "z")
             moving, fixed = cut(thin(current), "align-thin"), cut(thin(target), "align-fixed")
         sizes = largest_groups(moving, fixed, FRAME)
         for _ in range(rounds):
@@ -186,6 +201,19 @@ def rigid_align(source: DataFrame, target: DataFrame, scales: tuple = (0.05, 0.0
     return current
 
 
+def _cell_id() -> Column:
+    """One number per cell of a frame, exact for cell numbers within +-2^20 (a cell of a thousandth in a box of a thousand);
+    beyond that the numbers' text is hashed."""
+    half = 1 << 20
+    packed = F.lit(0).cast("long")
+    inside = F.lit(True)
+    for c in ("ci", "cj", "ck"):
+        packed = packed * (2 * half) + F.col(c).cast("long") + half
+        inside = inside & F.col(c).between(-half, half - 1)
+    far = F.conv(F.substring(F.md5(F.concat_ws(":", "ci", "cj", "ck")), 1, 15), 16, 10).cast("long")
+    return F.when(inside, packed).otherwise(-1 - far)
+
+
 def _move(points: DataFrame, motion: DataFrame) -> DataFrame:
     """Apply each frame's rigid motion; frames without one stay."""
     m = motion.select(*FRAME, "r", "tx", "ty", "tz")

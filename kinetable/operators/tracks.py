@@ -84,7 +84,8 @@ def affinity_complexity(affinity: DataFrame) -> DataFrame:
 
 
 def motion(kps: DataFrame) -> DataFrame:
-    """Velocity (from frame 1), acceleration (from frame 2) and the averaged intensities of every joint."""
+    """Velocity (where the frame before exists), acceleration (where the two before do) and the averaged intensities of
+    every joint.  A missing frame breaks the track: nothing is measured across it."""
     cols = list(AXES) + ["intensity"]
     w = with_previous(kps, ["seq_id", "k"], "frame_id", {n: {c: f"{c}{n}" for c in cols} for n in (1, 2)})
     out = [*FRAME, F.col("k")]

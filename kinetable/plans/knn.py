@@ -38,7 +38,7 @@ def knn_join(left: DataFrame, right: DataFrame, keys: list[str], k: int, left_id
              sizes: tuple[int, int] | None = None) -> DataFrame:
     """keys, left_id, rank (1..k), right_id, d2 and the right position (rx, ry, rz).
 
-    Fewer than k right points give that many rows.  ``exclude_self`` skips pairs with equal ids.  ``sizes`` are
+    Fewer than k right points give that many rows; a left point whose key has no right point gives none.  ``exclude_self`` skips pairs with equal ids.  ``sizes`` are
     upper bounds of the left and right points per key; without them one aggregate finds them.
     """
     lhs = left.select(*keys, F.col(left_id).alias("left_id"), *[F.col(a).alias(f"l{a}") for a in "xyz"])
@@ -164,6 +164,7 @@ def _boxes(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _cell_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], need: int, leaf: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    leaf = max(leaf, 4 * need)  # a cell's partners hold at least ``need`` points, so a smaller leaf is never reached
     rhs = top_k(rhs, [*keys, "rx", "ry", "rz"], ["right_id"], need)
     box = _boxes(lhs, rhs, keys)
     lhs = cut(_with_cells(lhs, "l", box, keys), "knn-left")
@@ -172,6 +173,7 @@ def _cell_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], need: int, lea
     root = [F.lit(0).alias(c) for c in _A + _B]
     open_pairs = lhs.select(*keys).distinct().join(rhs.select(*keys).distinct(), keys).select(*keys, *root)
     group = [*keys, "_level", *_A]
+    blocks = [*group, "_part"]
     lefts, rights = None, None
     for level in range(1, MAX_LEVEL + 1):
         state = cut(_refine(open_pairs, lhs, rhs, keys, need, level), "knn-cells")
@@ -190,6 +192,9 @@ def _cell_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], need: int, lea
         if not flags[1]:
             break
         open_pairs = state.where(~done).select(*keys, *_A, *_B)
+    if lefts is None:  # no key is on both sides
+        empty = lambda df, side: _at_level(df, side, _A, 0).withColumns({"_level": F.lit(0), "_part": F.lit(0)}).limit(0)
+        return empty(lhs, "l"), empty(rhs, "r"), blocks
     return lefts, rights, blocks
 
 

@@ -82,14 +82,16 @@ def position_in_order(df: DataFrame, keys: list[str], order: list[str], out: str
 def with_previous(df: DataFrame, keys: list[str], frame: str, back: dict[int, dict[str, str]], width: int = 4096) -> DataFrame:
     """Attach columns of earlier frames: ``back = {1: {"x": "x1"}, 2: {"x": "x2"}}``.
 
-    Frames are dense, so a run of ``width`` frames plus the ``max(back)`` frames before it is all a window needs.
+    A run of ``width`` frames plus the ``max(back)`` frames before it is all a window needs.  Of a frame that is missing,
+    or follows a missing one, the columns are null.
     Those few halo rows are copied into the next run and dropped afterwards: one shuffle, bounded tasks.
     """
     halo = max(back)
     runs = F.array(F.floor(F.col(frame) / F.lit(width)), F.floor((F.col(frame) + F.lit(halo)) / F.lit(width)))
     placed = df.withColumn("_run", F.explode(F.array_distinct(runs)))
     w = Window.partitionBy(*keys, "_run").orderBy(frame)
-    cols = [F.lag(c, n).over(w).alias(name) for n, names in back.items() for c, name in names.items()]
+    there = lambda n: F.lag(frame, n).over(w) == F.col(frame) - n
+    cols = [F.when(there(n), F.lag(c, n).over(w)).alias(name) for n, names in back.items() for c, name in names.items()]
     return (
         placed.select("*", *cols)
         .where(F.col("_run") == F.floor(F.col(frame) / F.lit(width)))

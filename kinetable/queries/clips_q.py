@@ -38,7 +38,7 @@ def epoch_clip(spark, sf):
 
 
 @query("clip_windows", sql(f"select seq_id, length, epoch, cast(start as bigint) as start from starts",
-    lens="select l.*, e.v as epoch from (" + _LEN + ") l, range(0, 1000) e(v) where e.v < greatest(length//20, 1)*10",
+    lens="select l.*, e.v as epoch from (" + _LEN + ") l, unnest(range(0, greatest(length//20, 1)*10)) e(v)",
     starts=_START.replace("select seq_id, length,", "select seq_id, length, epoch,").format(span=20, t=10, rate=2, e="epoch")))
 def clip_windows(spark, sf):
     return cl.clip_windows(cl.lengths(br.keypoints(spark, sf)), 10, 2)

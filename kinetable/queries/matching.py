@@ -44,16 +44,17 @@ def knn_refined(spark, sf):
 
 
 @query("knn_lineitem", sql(f"""
-select frame_id, vertex_id as left_id, other as right_id, {r('d2', 'd2', 4)} from (
-select a.frame_id, a.vertex_id, b.vertex_id as other, {_D2} as d2, row_number() over (partition by a.frame_id, a.vertex_id order by {_D2}, b.vertex_id) as rk
-from a join b on a.frame_id=b.frame_id) where rk=1""",
-    a="select frame_id, vertex_id, x, y, z from li_points where seq_id='A'",
-    b="select frame_id, vertex_id, x, y, z from li_points where seq_id='R'"))
+select flag, frame_id, vertex_id as left_id, other as right_id, {r('d2', 'd2', 4)} from (
+select a.flag, a.frame_id, a.vertex_id, b.vertex_id as other, {_D2} as d2, row_number() over (partition by a.flag, a.frame_id, a.vertex_id order by {_D2}, b.vertex_id) as rk
+from a join b on a.flag=b.flag and a.frame_id=b.frame_id) where rk=1""",
+    a="select seq_id as flag, frame_id, vertex_id, x, y, z from li_points",
+    b="select case seq_id when 'A' then 'N' when 'N' then 'R' else 'A' end as flag, frame_id, vertex_id, x, y, z from li_points"))
 def knn_lineitem(spark, sf):
-    """Nearest neighbour between two large sequences in every shared frame."""
-    p = br.lineitem_points(spark, sf)
-    a, b = p.where("seq_id = 'A'").drop("seq_id"), p.where("seq_id = 'R'").drop("seq_id")
-    return knn_join(a, b, ["frame_id"], 1).select("frame_id", "left_id", "right_id", rnd("d2", 4).alias("d2"))
+    """Nearest neighbour of each return flag's points among the next flag's (A, R, N in turn) in every shared frame."""
+    p = br.lineitem_points(spark, sf).withColumnRenamed("seq_id", "flag")
+    turn = F.when(F.col("flag") == "A", "N").when(F.col("flag") == "N", "R").otherwise("A")
+    out = knn_join(p, p.withColumn("flag", turn), ["flag", "frame_id"], 1)
+    return out.select("flag", "frame_id", "left_id", "right_id", rnd("d2", 4).alias("d2"))
 
 
 _SIZES = "select a.seq_id, a.frame_id, na=nb as same from (select seq_id, frame_id, count(*) as na from points group by 1, 2) a join (select seq_id, frame_id, count(*) as nb from nxt group by 1, 2) b on a.seq_id=b.seq_id and a.frame_id=b.frame_id"

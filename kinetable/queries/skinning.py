@@ -30,7 +30,7 @@ def rest_weights(spark, sf):
 
 
 def cloud_transforms(spark, sf):
-    return br.transforms(br.keypoints(spark, sf)).where((F.col("seq_id") < 5) & (F.col("frame_id") < 30))
+    return br.transforms(br.keypoints(spark, sf)).join(br.frames_of_clouds(spark, sf), FRAME, "left_semi")
 
 
 @query("rot6d_to_matrix", sql(f"select seq_id, frame_id, k, {rs(*_M9)} from xf"))
@@ -246,7 +246,7 @@ def heat_weights(spark, sf):
 
 # ---- blending
 _LBS = f"""select t.seq_id, t.frame_id, v.vertex_id, {', '.join(f'sum(w.w*(r{i}0*v.x+r{i}1*v.y+r{i}2*v.z+t{a})) as {a}' for i, a in enumerate('xyz'))}
-from rest v join weights w on v.seq_id=w.seq_id and v.vertex_id=w.vertex_id and w.w>1e-6 join (select * from xf where seq_id<5 and frame_id<30) t on t.seq_id=v.seq_id and t.k=w.k group by 1, 2, 3"""
+from rest v join weights w on v.seq_id=w.seq_id and v.vertex_id=w.vertex_id and w.w>1e-6 join (select * from xf where (seq_id, frame_id) in (select seq_id, frame_id from clouds)) t on t.seq_id=v.seq_id and t.k=w.k group by 1, 2, 3"""
 
 
 def _lbs(spark, sf):
@@ -373,7 +373,7 @@ def interpolate_joints(spark, sf):
     return ip.interpolate_joints(k, _pairs(spark, sf, k), 4).select(*ip.PAIR, "step", "k", *rnds("x", "y", "z"))
 
 
-_QP3 = _QPAIR.format(d="3e0", e=3).replace("from quat a join quat b", "from quat a join quat b") + " where a.seq_id<5 and a.frame_id<29"
+_QP3 = _QPAIR.format(d="3e0", e=3).replace("from quat a join quat b", "from quat a join quat b") + " where (a.seq_id, a.frame_id) in (select seq_id, frame_id from clouds) and (b.seq_id, b.frame_id) in (select seq_id, frame_id from clouds)"
 _POSE = f"""select q.seq_id, q.frame_a*2+q.i-1 as frame_id, v.vertex_id, {', '.join(f"sum(w.w*(({_QM[3*i]})*v.x+({_QM[3*i+1]})*v.y+({_QM[3*i+2]})*v.z+t{a})) as {a}" for i, a in enumerate('xyz'))}
 from rest v join weights w on v.seq_id=w.seq_id and v.vertex_id=w.vertex_id and w.w>1e-6 join mix q on q.seq_id=v.seq_id and q.k=w.k group by 1, 2, 3"""
 
@@ -402,7 +402,7 @@ _KV = ", ".join(f"({a}, {b})" for a, b in zip(_KEYS, _KEYS[1:]))
 _SPOT = f"select i, t, ka, kb, (t-ka)/(kb-ka) as u from (select v as i, v*(29e0/39) as t from range(0, 40) r(v)) join (values {_KV}) k(ka, kb) on (t>ka and t<=kb) or (t=0 and ka=0)"
 _SQPAIR = f"""select a.seq_id, s.i as frame_a, a.k, s.i, s.u as t, {', '.join(f'a.{c} as a{c}' for c in _QN)}, {', '.join(f'b.{c} as b{c}' for c in _QN)},
   {', '.join(f'a.{c} as a{c}' for c in ('tx', 'ty', 'tz'))}, {', '.join(f'b.{c} as b{c}' for c in ('tx', 'ty', 'tz'))}, {_DOT} as d0
-from spot s join quat a on a.frame_id=s.ka join quat b on b.frame_id=s.kb and a.seq_id=b.seq_id and a.k=b.k where a.seq_id<5"""
+from spot s join quat a on a.frame_id=s.ka join quat b on b.frame_id=s.kb and a.seq_id=b.seq_id and a.k=b.k where a.seq_id in (select seq_id from clouds)"""
 
 
 @query("spline_rotation", sql(f"select seq_id, frame_a as frame_id, k, {rs(*_QN)} from mix", spot=_SPOT, qpair=_SQPAIR, coef=_COEF, mix=_MIX))

@@ -122,24 +122,28 @@ def skeleton_from_affinity(spark, sf):
 
 
 # parent tables from the data: each joint track as one skeleton, with parents drawn from the positions
-_BONES = """select seq_id as skeleton_id, k, case when k=0 then -1 else cast(floor(abs(x)*1000000) as bigint)%k end as parent from keypoints where frame_id=0"""
-_LOOSE = "select seq_id as skeleton_id, k, case when k=5 then -1 else cast(floor(abs(x)*1000000) as bigint)%21 end as parent from keypoints where frame_id<4"
+_BONES = """select seq_id*4294967296+frame_id as skeleton_id, k, case when k=0 then -1 else cast(floor(abs(x)*1000000) as bigint)%k end as parent from keypoints"""
 
 
 def _trees(spark, sf):
-    k = br.keypoints(spark, sf).where("frame_id = 0")
+    k = br.keypoints(spark, sf)
     draw = F.floor(F.abs("x") * 1000000).cast("long") % F.greatest(F.col("k"), F.lit(1))
-    return k.select(F.col("seq_id").alias("skeleton_id"), "k", F.when(F.col("k") == 0, -1).otherwise(draw).cast("long").alias("parent"))
+    return k.select(_skeleton().alias("skeleton_id"), "k", F.when(F.col("k") == 0, -1).otherwise(draw).cast("long").alias("parent"))
+
+
+def _skeleton():
+    """A skeleton per track and frame: 2^32 frames before ids meet."""
+    return F.col("seq_id") * (1 << 32) + F.col("frame_id")
 
 
 def _loose(spark, sf):
     k = br.keypoints(spark, sf)
     draw = F.floor(F.abs("x") * 1000000).cast("long") % 21
-    return k.select((F.col("seq_id") * 1000 + F.col("frame_id")).alias("skeleton_id"), "k",
+    return k.select(_skeleton().alias("skeleton_id"), "k",
                     F.when(F.col("k") == 5, -1).otherwise(draw).cast("long").alias("parent"))
 
 
-_LOOSE = "select seq_id*1000+frame_id as skeleton_id, k, case when k=5 then -1 else cast(floor(abs(x)*1000000) as bigint)%21 end as parent from keypoints"
+_LOOSE = "select seq_id*4294967296+frame_id as skeleton_id, k, case when k=5 then -1 else cast(floor(abs(x)*1000000) as bigint)%21 end as parent from keypoints"
 
 
 def _depth_views(src: str) -> dict[str, str]:

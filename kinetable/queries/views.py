@@ -66,7 +66,8 @@ from unit_points group by 1, 2, 3, 4, 5""",
 select cast(case seq_id when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end as bigint) as seq_id,
        frame_id, vertex_id, x, y, z from unit_points""",
     "joints": """
-select seq_id, frame_id, k, x*3 as x, y*3 as y, z*3 as z, intensity from keypoints where seq_id < 5 and frame_id < 30""",
+select seq_id, frame_id, k, x*3 as x, y*3 as y, z*3 as z, intensity from keypoints
+where (seq_id, frame_id) in (select seq_id, frame_id from clouds)""",
     "bone_axes": """
 select *, x*x+y*y+z*z as n2, sqrt(x*x+y*y+z*z)+1e-10 as nl
 from (select a.seq_id, a.frame_id, a.k, a.x, a.y, a.z, b.x as nx, b.y as ny, b.z as nz

@@ -94,9 +94,16 @@ def clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit.withColumn("seq_id", code.cast("long"))
 
 
+def frames_of_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames that have a cloud, under the numeric sequence ids."""
+    code = F.array_position(F.array(*[F.lit(s) for s in SEQ_CODES]), F.col("event_type")) - 1
+    return table(spark, sf_dir, "events").select(
+        code.cast("long").alias("seq_id"), F.datediff("ts", F.lit("2024-01-01")).cast("long").alias("frame_id")).distinct()
+
+
 def joints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joint tracks of the sequences that also have a cloud, spread to the cloud's extent."""
-    k = keypoints(spark, sf_dir).where((F.col("seq_id") < len(SEQ_CODES)) & (F.col("frame_id") < 30))
+    k = keypoints(spark, sf_dir).join(frames_of_clouds(spark, sf_dir), FRAME, "left_semi")
     return k.withColumns({c: F.col(c) * 3 for c in "xyz"})
 
 

@@ -22,7 +22,8 @@ def file_paths(df: DataFrame) -> DataFrame:
 def lines_of(text: Column, tag: str) -> Column:
     """Token arrays of the lines that start with ``tag``."""
     rows = F.filter(F.split(text, r"\r?\n"), lambda s: s.rlike(rf"^\s*{tag}\s"))
-    return F.transform(rows, lambda s: F.slice(F.split(F.trim(s), r"\s+"), 2, 1 << 20))
+    tokens = F.transform(rows, lambda s: F.split(F.trim(s), r"\s+"))
+    return F.transform(tokens, lambda t: F.slice(t, F.lit(2), F.size(t)))
 
 
 def vertex_array(text: Column) -> Column:
@@ -30,11 +31,12 @@ def vertex_array(text: Column) -> Column:
 
 
 def face_array(text: Column) -> Column:
-    """0-based triangles; a polygon becomes a fan, a negative number counts back from the last vertex."""
+    """0-based triangles; a polygon becomes a fan, a negative number counts back from the last vertex.  A face line with
+    fewer than three corners is no face."""
     count = F.size(lines_of(text, "v"))
     whole = lambda s: F.split(s, "/")[0].cast("long")
     at = lambda s: F.when(whole(s) < 0, count + whole(s)).otherwise(whole(s) - 1)
-    fans = F.transform(lines_of(text, "f"), lambda t: F.transform(
+    fans = F.transform(F.filter(lines_of(text, "f"), lambda t: F.size(t) >= 3), lambda t: F.transform(
         F.sequence(F.lit(1), F.size(t) - 2),
         lambda i: F.struct(at(t[0]).alias("v0"), at(F.get(t, i)).alias("v1"), at(F.get(t, i + 1)).alias("v2"))))
     return F.flatten(fans)
