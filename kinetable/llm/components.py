@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and nulls count for nothing; repeated edges are one."""
     edges = cut(edges.where("src <> dst").select("src", "dst"), "edges")
     maps: list[DataFrame] = []
-    while edges.limit(1).count():
+    while not edges.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("r"), F.col(c).alias("id"))
         both = edges.select("src", rank("dst").alias("to")).unionByName(
             edges.select(F.col("dst").alias("src"), rank("src").alias("to")))

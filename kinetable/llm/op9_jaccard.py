@@ -6,14 +6,13 @@ come last, by their document frequency, and the others by a hash; each order has
 only if it shares such a prefix token under every order.
 
 Components need no pair inside what is linked already.  So after copies of one set are joined, each document is first
-compared with one member of a list it shares most tokens with, twice with different members; then come all pairs that
-share prefix tokens and lie in different components, verified exactly from the texts.
+compared with one member of the lists it shares most tokens in; then come all pairs that share prefix tokens and lie in
+different components, verified exactly from the texts.
 
 Scale, in passes over the texts:
-1. Sets, their sizes and signatures; tokens leave each batch sorted, counted and packed by hash range, and are counted
-   per range.  Of those in more than ``FREQUENT`` documents the ``KNOWN`` most frequent (a bound on what tasks get) steer
+1. Tokens leave each batch sorted, counted and packed by hash range, and are counted per range.  Of those in more than ``FREQUENT`` documents the ``KNOWN`` most frequent (a bound on what tasks get) steer
    the orders; without them results would be the same.
-2. Prefixes.  Frequent tokens become rows at once: no task gathers their lists; minima and counts are combined in the map
+2. Sizes and signatures of the sets, and prefixes.  Frequent tokens become rows at once: no task gathers their lists; minima and counts are combined in the map
    tasks and Spark splits large partitions of the joins.  Others go packed by range, to keep those that occur twice.
 3. Texts of documents in a pair, found through a semi-join, broadcast only below a checked number of ids.
 """
@@ -37,7 +36,18 @@ RANGE_TOKENS, DOC_TOKENS = 1 << 20, 512
 #: Ids that a semi-join broadcasts at most: 32 MB of them.
 BROADCAST_IDS = 1 << 22
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
-_WORDS: dict[bytes, int] = {}
+_ODD = 0xD1342543DE82EF95
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_WORDS = _WordHashes()
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -55,22 +65,20 @@ def words_of(text: str | None) -> list[bytes]:
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the shingles; with fewer words, of the whole sequence; without words none."""
-    import xxhash
-
     found = words_of(text)
     if not found:
         return np.zeros(0, np.uint64)
     if len(_WORDS) > 1 << 19:
         _WORDS.clear()
-    for w in {*found}.difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
     if len(h) < words:
         return mix(np.array([_fold(h)], np.uint64), len(h))
-    total = np.zeros(len(h) - words + 1, np.uint64)
-    for i in range(words):
-        total = mix(total + h[i:len(h) - words + 1 + i], i)
-    return np.unique(total)
+    total = h[:len(h) - words + 1].copy()
+    for i in range(1, words):  # word hashes are random, so a sum of odd multiples tells their orders apart
+        total += h[i:len(h) - words + 1 + i] * np.uint64(_ODD ** i & 0xFFFFFFFFFFFFFFFF)
+    total = mix(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def _fold(h: np.ndarray) -> np.uint64:
@@ -112,20 +120,6 @@ def place(tokens: np.ndarray, ranges: int) -> np.ndarray:
     return ((where << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the two halves of a signature that equal sets share."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(text)
-                sums = [int(mix(s, k).sum(dtype=np.uint64).astype(np.int64)) for k in (7, 8)]
-                rows.append((doc_id, len(s), *sums))
-            yield _batches(rows, ["doc_id", "n_shingles", "sig1", "sig2"], [pa.int64()] * 4)
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig1 long, sig2 long")
-
-
 def frequent(docs: DataFrame, ranges: int) -> dict[int, int]:
     """Document counts of the most frequent tokens, by range and bits: range * 2^32 + bits."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +152,15 @@ def frequent(docs: DataFrame, ranges: int) -> dict[int, int]:
     return dict(zip(top["token"].to_pylist(), top["df"].to_pylist(), strict=True))
 
 
-def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> DataFrame:
-    """ord, token, doc_id, n: prefix tokens that more than one document has in its prefix, or that are frequent."""
+def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and the two halves of a signature that equal sets share, of every row; and ord, token, doc_id,
+    n: prefix tokens that more than one document has in its prefix, or that are frequent."""
     tokens = np.array(sorted(known), np.int64)
     counts = np.array([known[t] for t in tokens.tolist()], np.int64)
     frequency = docs.sparkSession.sparkContext.broadcast((tokens, counts))
-    schema = "ord int, range long, token long, doc_id long, n long, tokens binary, docs binary, sizes binary"
-    names, types = [x.split()[0] for x in schema.split(", ")], [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 3]
+    # rows of three kinds: of a document (ord -1), of a frequent token, of a range of others
+    schema = "ord int, range long, token long, doc_id long, n long, sig1 long, sig2 long, tokens binary, docs binary, sizes binary"
+    names, types = [x.split()[0] for x in schema.split(", ")], [pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * 3]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = frequency.value
@@ -175,15 +171,19 @@ def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> DataFrame:
             rows: list[tuple] = []
             for doc_id, text in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0])):
                 s = shingles(text)
+                sums = [int(mix(s, k).sum(dtype=np.uint64).astype(np.int64)) for k in (7, 8)]
+                rows.append((-1, None, None, doc_id, len(s), *sums, None, None, None))
                 if not len(s) or doc_id is None or seen.setdefault(s.tobytes(), doc_id) != doc_id:
                     continue  # copies within a batch: the first one stands for all
                 key = place(s, ranges)
                 at = np.minimum(np.searchsorted(tokens, key), max(0, len(tokens) - 1))
                 df = np.where(tokens[at] == key, counts[at], 0) if len(tokens) else np.zeros(len(s), np.int64)
+                size = prefix_size(len(s))
                 for o in range(ORDERS):
-                    pick_ = np.lexsort((mix(s, 11 + o), df))[:prefix_size(len(s))]
+                    order = (np.minimum(df, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (mix(s, 11 + o) >> np.uint64(24))
+                    pick_ = np.argpartition(order, size - 1)[:size]
                     often = pick_[df[pick_] > 0]
-                    rows += [(o, None, k, doc_id, len(s), None, None, None) for k in key[often].tolist()]
+                    rows += [(o, None, k, doc_id, len(s), None, None, None, None, None) for k in key[often].tolist()]
                     rare = key[pick_[df[pick_] == 0]]
                     if len(rare):
                         light[o].append(rare)
@@ -203,7 +203,7 @@ def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> DataFrame:
                 for r in range(ranges):
                     part = slice(edges[r], edges[r + 1])
                     if edges[r] < edges[r + 1]:
-                        rows.append((o, r, None, None, edges[r + 1] - edges[r], _pack((key[part] & 0xFFFFFFFF).astype(np.uint32)),
+                        rows.append((o, r, None, None, edges[r + 1] - edges[r], None, None, _pack((key[part] & 0xFFFFFFFF).astype(np.uint32)),
                                      _pack(np.diff(doc[part], prepend=0)), _pack(size[part])))
             yield _batches(rows, names, types)
 
@@ -221,8 +221,9 @@ def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> DataFrame:
 
     every = cut(docs.mapInArrow(prefixes, schema), "prefixes")
     rare = every.where("range IS NOT NULL").groupBy("ord", "range").applyInArrow(repeated, "ord int, token long, doc_id long, n long")
-    often = every.where("range IS NULL").select("ord", "token", "doc_id", "n")
-    return rare.unionByName(often)
+    often = every.where("token IS NOT NULL").select("ord", "token", "doc_id", "n")
+    about = every.where("ord = -1").select("doc_id", F.col("n").alias("n_shingles"), "sig1", "sig2")
+    return about, rare.unionByName(often)
 
 
 @lru_cache(64)
@@ -252,14 +253,18 @@ def near(a: str, b: str):
     return (F.col(a) * DENOMINATOR >= F.col(b) * NUMERATOR) & (F.col(b) * DENOMINATOR >= F.col(a) * NUMERATOR)
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links).withColumnRenamed("node", "doc_id")
-    out = rows.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def _labelled(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Rows of the lists that meet several components, which ``links`` make; without links each document is its own."""
+    if links is None:
+        out = rows.withColumn("component", F.col("doc_id"))
+    else:
+        labels = components(links).withColumnRenamed("node", "doc_id")
+        out = rows.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = out.groupBy("ord", "token").agg((F.min("component") < F.max("component")).alias("_open")).where("_open")
     return cut(out.join(several.select("ord", "token"), ["ord", "token"]), "open")
 
 
-def _star(rows: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
+def _star(rows: DataFrame, docs: DataFrame, seed: int = 1) -> DataFrame:
     """Links of each document with the centre of the lists it shares most tokens with; centres are picked by a hash."""
     rows = rows.where("ord = 0")
     rank = F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("r"), F.col("doc_id").alias("to"), F.col("n").alias("m"), F.col("component").alias("c"))
@@ -267,7 +272,7 @@ def _star(rows: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
     met = rows.join(centres, "token").where((F.col("component") != F.col("c")) & near("n", "m"))
     met = met.groupBy("doc_id", "to").agg(F.count(F.lit(1)).alias("k"))
     best = met.groupBy("doc_id").agg(F.max(F.struct("k", "to")).alias("x"))
-    return verified(best.select(F.col("doc_id").alias("src"), F.col("x.to").alias("dst")), docs)
+    return verified(best.select(F.col("x.to").alias("src"), F.col("doc_id").alias("dst")), docs)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,18 +284,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     bounded_batches(spark)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     ranges = max(8, src.count() * DOC_TOKENS // RANGE_TOKENS)
-    about = cut(describe(src), "sets")
+    about, rows = postings(src, frequent(src, ranges), ranges)
     full = about.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = cut(full.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("first")), "copies")
     copies = full.join(first, ["sig1", "sig2", "n_shingles"]).where("doc_id <> first").select(
         F.col("doc_id").alias("src"), F.col("first").alias("dst"))
-    links = cut(copies, "copy-links")
-    rows = cut(postings(src, frequent(src, ranges), ranges), "postings")
     single = first.select(F.col("first").alias("doc_id")).distinct()
     rows = cut(rows.join(single, "doc_id", "left_semi").distinct(), "postings")
-    for seed in (1, 2):
-        left = _labelled(rows, links)
-        links = links.unionByName(_star(left, src, seed))
+    links = _star(_labelled(rows), src)
     left = _labelled(rows, links)
     # lists meet component by component, so nothing inside a component is paired
     heads = left.select("ord", "token", "component").distinct()
@@ -300,7 +301,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     b = left.select("ord", "token", F.col("component").alias("component2"), F.col("doc_id").alias("dst"), F.col("n").alias("n2"))
     met = across.join(a, ["ord", "token", "component"]).join(b, ["ord", "token", "component2"]).where(near("n1", "n2"))
     met = met.groupBy("src", "dst").agg(F.count_distinct("ord").alias("k")).where(F.col("k") == ORDERS)
-    links = links.unionByName(verified(met, src))
+    links = links.unionByName(verified(met, src)).unionByName(copies)
     labels = components(links).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     out = about.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
