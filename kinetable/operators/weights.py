@@ -92,11 +92,14 @@ def heat_sources(rest: DataFrame, joints: DataFrame) -> DataFrame:
     return hot.where(F.col("b").isNotNull()).select(*VERTEX, "k", "b")
 
 
-def heat_weights(rest: DataFrame, joints: DataFrame, dt: float = 0.01, k: int = 8, iterations: int = 30, every: int = 5) -> DataFrame:
+def heat_weights(rest: DataFrame, joints: DataFrame, dt: float = 0.01, k: int = 8, iterations: int | None = None,
+                 tolerance: float = 1e-9, every: int = 8) -> DataFrame:
     """Heat diffused from each joint over the neighbour graph of the rest vertices.
 
     Solves (I + dt L) w = b with L = D - W by Jacobi steps w <- (b + dt sum_j W_ij w_j) / (1 + dt deg_i); the sign
-    keeps the system positive definite and all weights non-negative.  Rows exist only where heat has arrived.
+    keeps the system positive definite and all weights non-negative.  Steps go on until none changes a weight by more
+    than ``tolerance`` and heat has reached every vertex that a joint's heat can reach; ``iterations`` fixes their number
+    instead.  One row of flags comes back to the driver every ``every`` steps.
     """
     sources = cut(heat_sources(rest, joints), "heat-b")
     edges = cut(knn_graph(rest, ["seq_id"], 8), "heat-edges")
@@ -106,11 +109,21 @@ def heat_weights(rest: DataFrame, joints: DataFrame, dt: float = 0.01, k: int =
     own = cut(sources.join(degree.withColumnRenamed("src", "vertex_id"), VERTEX, "left").select(
         *VERTEX, "k", (F.col("b") / F.coalesce("diag", F.lit(1.0))).alias("w")), "heat-own")
     state = own
-    for i in range(1, iterations + 1):
-        moved = state.join(pull, VERTEX).select("seq_id", F.col("to").alias("vertex_id"), "k", (F.col("c") * F.col("w")).alias("w"))
-        state = own.unionByName(moved).groupBy(*VERTEX, "k").agg(F.sum("w").alias("w"))
-        if i % every == 0 and i < iterations:
-            state = cut(state, "heat")
+    steps = 0
+    while iterations is None or steps < iterations:
+        before, now = state, every if iterations is None else min(every, iterations - steps)
+        for _ in range(now):
+            moved = state.join(pull, VERTEX).select("seq_id", F.col("to").alias("vertex_id"), "k", (F.col("c") * F.col("w")).alias("w"))
+            state = own.unionByName(moved).groupBy(*VERTEX, "k").agg(F.sum("w").alias("w"))
+        steps += now
+        if steps == iterations:
+            break
+        state = cut(state, "heat")
+        if iterations is None:
+            change = state.join(before.withColumnRenamed("w", "_w"), [*VERTEX, "k"], "left").agg(
+                F.max(F.abs(F.col("w") - F.col("_w"))).alias("most"), F.max(F.col("_w").isNull()).alias("new")).first()
+            if not change["new"] and (change["most"] or 0.0) <= tolerance:
+                break
     # joints that share their sources have equal heat; rounding keeps such ties exact whatever the order of the sums
     positive = state.where("w > 0").withColumn("w", F.round(F.col("w") / _row_sum(), 12))
     return sparsify_weights(positive, k, 0.0)
