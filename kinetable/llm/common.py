@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut  # noqa: F401 - the operators take it from here
 
 #: Rows and bytes of one Arrow batch: texts of 100 kB each must not gather ten thousand at a time in a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -31,32 +31,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(out) for out, src in columns.items()])
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` as a table in the shared folder, and its path for ``forget``."""
-    out = cut(df, label)
-    return out, out.inputFiles()[0].rsplit("/", 1)[0] if out.inputFiles() else ""
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a step's table once its successor is written."""
-    if path:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as Python values, a batch at a time."""
     for b in batches:
         yield from zip(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in names], strict=True)
 
 
-def any_null(*cols: str) -> Column:
-    out = F.lit(False)
-    for c in cols:
-        out = out | F.col(c).isNull()
-    return out
-
-
 def byte_symbols() -> list[str]:
     """The printable symbol of each byte: itself where it is printable, else the next character from 256 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
