@@ -4,14 +4,16 @@ Base spans come from four patterns (email, ip, card, phone) with their checks.
 whose labels are given, and the other candidates of the document: runs of numbers with at least seven digits and words
 with an at sign, also a spelt one.  Nodes have features of form and of the words before them; a chain joins each to the
 next, and skip edges join candidates that repeat or resemble each other (equal digits, equal last seven digits, equal
-addresses) to their last occurrence before.  Sum-product message passing on this loopy graph gives every candidate's
-label; those that come out as a kind with ``sure`` or more are added to the base spans.
+addresses) to their last occurrence before and to the nearest base span.  Sum-product message passing on this loopy
+graph, until no message moves by more than ``SETTLED``, gives every candidate's label; those that come out as a kind with
+``sure`` or more are added to the base spans.
 
 The weights are trained by stochastic gradient descent on the pseudo-likelihood of a bounded sample of documents
 (``SAMPLE_DOCS``): a base span teaches its kind, and so does a candidate that repeats or resembles one; others teach
 "none".
 
-Scale: one narrow pass; work is linear in a document's candidates, as a repeated form links to the one before only.
+Scale: one narrow pass; a round is linear in a document's candidates, as a repeated form links to the one before and to
+one base span only.  Rounds go on as far as evidence still travels.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import bounded_batches, pick, rows_of
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
-SAMPLE_DOCS, EPOCHS, RATE, ROUNDS, SURE = 4000, 6, 0.1, 12, 0.6
+SAMPLE_DOCS, EPOCHS, RATE, SURE, SETTLED = 4000, 6, 0.1, 0.6, 1e-6
 #: Where training starts: equal labels over skip edges, and "none" for a candidate of which nothing is known.
 AGREE, DOUBT = 4.0, 3.0
 
@@ -155,13 +157,24 @@ def graph(text: str, base: list[Span]) -> Graph | None:
     if not free:
         return None
     nodes = sorted([(a, b, k) for a, k, b in base] + [(a, b, NONE) for a, b in free])
+    shared = [keys(text[a:b]) for a, b, _ in nodes]
     last: dict[str, int] = {}
     skip = set()
-    for i, (a, b, _) in enumerate(nodes):
-        for key in keys(text[a:b]):
+    for i, of in enumerate(shared):
+        for key in of:
             if key in last:
                 skip.add((last[key], i))
             last[key] = i
+    near: dict[tuple[int, str], int] = {}  # a free node and its key to the nearest base span with it
+    for order in (range(len(nodes)), range(len(nodes) - 1, -1, -1)):
+        given: dict[str, int] = {}
+        for i in order:
+            for key in shared[i]:
+                if nodes[i][2] < NONE:
+                    given[key] = i
+                elif key in given and abs(given[key] - i) < abs(near.get((i, key), -len(nodes)) - i):
+                    near[i, key] = given[key]
+    skip |= {(min(i, j), max(i, j)) for (i, _), j in near.items()}
     return Graph([(a, b) for a, b, _ in nodes], np.array([k for *_, k in nodes]),
                  np.array([features(text, a, b) for a, b, _ in nodes]),
                  np.array([(i, i + 1) for i in range(len(nodes) - 1)], int).reshape(-1, 2), np.array(sorted(skip), int).reshape(-1, 2))
@@ -185,8 +198,10 @@ class Field:
     chain: np.ndarray  # labels x labels, earlier node first
     skip: np.ndarray
 
-    def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Sum-product messages over chain and skip edges, both ways at once, averaged with the ones before."""
+    def marginals(self, g: Graph) -> np.ndarray:
+        """Sum-product messages over chain and skip edges, both ways at once, averaged with the ones before until settled.
+
+        Where they circle instead, for longer than evidence needs through the whole graph, smaller steps are taken."""
         node = g.x @ self.unary
         fixed = g.given < NONE
         node[fixed] = -50.0
@@ -198,11 +213,19 @@ class Field:
         pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(src), NONE + 1))
-        for _ in range(rounds if len(src) else 0):
+        step, least, waited = 0.5, np.inf, 0
+        while len(src):
             belief = node.copy()
             np.add.at(belief, dst, message)
             out = np.logaddexp.reduce((belief[src] - message[back])[:, :, None] + pair, axis=1)
-            message = 0.5 * message + 0.5 * (out - out.max(1, keepdims=True))
+            change = out - out.max(1, keepdims=True) - message
+            message += step * change
+            most = np.abs(change).max()
+            if most <= SETTLED or step < 1e-6:
+                break
+            least, waited = (most, 0) if most < least / 2 else (least, waited + 1)
+            if waited > 4 * len(node) + 64:
+                step, least, waited = step / 2, most, 0
         belief = node.copy()
         np.add.at(belief, dst, message)
         e = np.exp(belief - belief.max(1, keepdims=True))

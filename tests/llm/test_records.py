@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from kinetable.llm import op2_warc, op10_pii
 from kinetable.llm.queries import page_digests, span_digests
 from kinetable.plans.lineage import state_dir
@@ -117,6 +119,29 @@ def test_pii(docs, odd):
     assert op10_pii.find(docs([]), op10_pii.train(docs([]))).count() == 0
 
 
+def agreeing():
+    """A field that knows nothing of form: only what repeats or resembles decides."""
+    n = op10_pii.NONE + 1
+    return op10_pii.Field(np.zeros((op10_pii.WIDTH, n)), np.zeros((n, n)), 10.0 * np.eye(n))
+
+
+def test_fifty_repeats_of_one_base_span():
+    text = "Call +1 (988) 555-2485" + ", or (988) 555-2485 then" * 50
+    base, added = op10_pii.all_spans(text, agreeing())
+    assert len(base) == 1 and added == [(m.start(), 3, m.end()) for m in re.finditer(r"\(988\) 555-2485", text)][1:]
+    before = "Mail " + "ab.c [at] d-e.org, " * 50 + "that is ab.c@d-e.org."
+    assert [k for _, k, _ in op10_pii.all_spans(before, agreeing())[1]] == [0] * 50
+
+
+def test_messages_reach_the_end_of_a_chain():
+    n, kinds = 200, op10_pii.NONE + 1
+    edges = np.array([(i, i + 1) for i in range(n - 1)])
+    g = op10_pii.Graph([(i, i + 1) for i in range(n)], np.array([3] + [op10_pii.NONE] * (n - 1)), np.zeros((n, op10_pii.WIDTH)), np.zeros((0, 2), int), edges)
+    turn = np.exp(10.0 * np.eye(kinds))
+    exact = [np.linalg.matrix_power(turn / turn.sum(1), i)[3] for i in range(n)]
+    assert np.allclose(agreeing().marginals(g), exact, atol=1e-4)
+
+
 def test_pipeline(spark, docs, odd, tmp_path):
     import corpus_pipeline as p
     rows = [(i or None, t, "en", "s", len(t or "")) for i, t in odd] + [(20 + i, sentence(i, 80) + f" mail a{i}@b.org", "en", "s", 1) for i in range(20)]
