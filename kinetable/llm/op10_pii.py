@@ -1,8 +1,8 @@
 """Personal data by fixed patterns and a skip-chain conditional random field that keeps a document's labels consistent.
 
 Base spans come from four patterns (email, ip, card, phone) with their checks.  The nodes of the field are these spans,
-whose labels are given, and the other candidates of the document: runs of numbers with at least seven digits and words
-with an at sign, also a spelt one.  Nodes have features of form and of the words before them; a chain joins each to the
+whose labels are given, and the other candidates of the document: runs of numbers with at least seven digits, cut where
+a part of 7 to 19 digits is a number that stands elsewhere, and words with an at sign, also a spelt one.  Nodes have features of form and of the words before them; a chain joins each to the
 next, and skip edges join candidates that repeat or resemble each other (equal digits, equal last seven digits, equal
 addresses) to their last occurrence before and to the nearest base span.  Sum-product message passing on this loopy
 graph, until no message moves by more than ``SETTLED``, gives every candidate's label; those that come out as a kind with
@@ -19,6 +19,7 @@ one base span only.  Rounds go on as far as evidence still travels.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBERS = re.compile(r"(?<![A-Za-z0-9@])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])++(?![A-Za-z0-9@])")
+# groups of digits; the run ends before a group that a letter or an at sign follows
+_NUMBERS = re.compile(r"(?<![A-Za-z0-9@])\+?\(?[0-9]++(?![A-Za-z@])(?:[\x20().-]{1,2}[0-9]++(?![A-Za-z@]))*+")
+_GROUP = re.compile("[0-9]+")
 _AT_WORD = re.compile(r"@|[\[(] ?at ?[\])]", re.IGNORECASE)
 _CUES = ({"email", "e-mail", "mail", "contact"}, {"ip", "host", "address", "server"}, {"card", "visa", "credit", "payment"},
          {"phone", "tel", "call", "fax", "mobile"})
@@ -83,9 +86,98 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+Groups = list[tuple[int, int]]
+LEAST, MOST, PREFIX = 7, 19, 4  # digits of a number, and of what may stand before it elsewhere, as a country's code
+
+
+def _digits(text: str, groups: Groups) -> str:
+    return "".join(text[a:b] for a, b in groups)
+
+
+def _runs(text: str, base: list[Span]) -> list[tuple[int, Groups]]:
+    """Runs of groups of digits and where they start, without the groups that a base span covers."""
+    out: list[tuple[int, Groups]] = []
+    i, reach = 0, 0
+    for m in _NUMBERS.finditer(text):
+        run: Groups = []
+        for d in _GROUP.finditer(text, m.start(), m.end()):
+            while i < len(base) and base[i][0] < d.end():
+                reach = max(reach, base[i][2])
+                i += 1
+            if d.start() >= reach:
+                run.append(d.span())
+            elif run:
+                out.append((m.start(), run))
+                run = []
+        out.append((m.start(), run))
+    return [(a, run) for a, run in out if sum(e - s for s, e in run) >= LEAST]
+
+
+def _tails(number: str) -> list[str]:
+    return [number[k:] for k in range(PREFIX + 1) if len(number) - k >= LEAST]
+
+
+def _parts(text: str, run: Groups, numbers: Counter, tails: Counter) -> list[Groups]:
+    """The run in parts: those known from elsewhere, with most digits and then most of them equal, and what lies between.
+
+    A part is known if its digits, without zeros in front, end in another number or the reverse, but for ``PREFIX`` digits
+    at most."""
+    n = len(run)
+    own = _digits(text, run).lstrip("0")
+    mine = set(_tails(own)) if len(own) <= MOST else set()
+    best: list[tuple[int, int, int]] = [(0, 0, 0)] * (n + 1)  # digits covered, of these equal, parts less
+    take = [0] * n
+    for i in range(n - 1, -1, -1):
+        best[i] = best[i + 1]
+        digits = ""
+        for j in range(i, n):
+            digits += text[run[j][0]:run[j][1]]
+            if len(digits) > MOST:
+                break
+            bare = digits.lstrip("0")
+            equal = numbers[bare] > (bare == own)
+            if equal or tails[bare] > (bare in mine) or any(numbers[t] > (t == own) for t in _tails(bare)):
+                covered, same, less = best[j + 1]
+                got = (covered + len(digits), same + len(digits) * equal, less - 1)
+                if got > best[i]:
+                    best[i], take[i] = got, j + 1
+    out: list[Groups] = []
+    i, rest = 0, []
+    while i < n:
+        if take[i]:
+            out += [rest, run[i:take[i]]]
+            i, rest = take[i], []
+        else:
+            rest.append(run[i])
+            i += 1
+    return [part for part in [*out, rest] if sum(e - s for s, e in part) >= LEAST]
+
+
+def _numbers(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    runs = _runs(text, base)
+    spans = [run for _, run in runs] + [[m.span() for m in _GROUP.finditer(text, a, b)] for a, k, b in base if k >= 2]
+    numbers = Counter(d.lstrip("0") for d in (_digits(text, groups) for groups in spans) if len(d.lstrip("0")) >= LEAST and len(d) <= MOST)
+    tails: Counter = Counter()
+    for number, times in numbers.items():
+        for t in _tails(number):
+            tails[t] += times
+    out = []
+    for start, run in runs:
+        for part in _parts(text, run, numbers, tails):
+            wide = sum(e - s for s, e in part) > MOST
+            # too long for one number: its groups that may be one each
+            split = [[g] for g in part if LEAST <= g[1] - g[0] <= MOST] if wide else []
+            for piece in split or [part]:
+                a, b = piece[0][0], piece[-1][1]
+                for before in "(+":
+                    a -= a > start and text[a - 1] == before
+                out.append((a, b))
+    return out
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Further spans that may be personal data, clear of the base spans, in order."""
-    found = [(m.start(), m.end()) for m in _NUMBERS.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7]
+    found = _numbers(text, base)
     done = 0
     while m := _AT_WORD.search(text, done):
         a, b = m.start(), m.end()

@@ -133,6 +133,21 @@ def test_fifty_repeats_of_one_base_span():
     assert [k for _, k, _ in op10_pii.all_spans(before, agreeing())[1]] == [0] * 50
 
 
+def test_numbers_beside_other_numbers():
+    number = "(988) 555-2485"
+    for after in (" 24 hours", ". 3 rooms", " 2nd floor", " 1999 2000 2001", ". 10.0.0.255 is the host", " 988 555 2485"):
+        text = f"Call +1 {number}, or {number}{after}."
+        added = op10_pii.all_spans(text, agreeing())[1]
+        assert (a := text.rindex(number), 3, a + len(number)) in added, (after, added)
+    text = f"Call +1 {number}. Hosts 10.0.0.255 {number} 7"  # the run starts with a base span
+    assert (a := text.rindex(number), 3, a + len(number)) in op10_pii.all_spans(text, agreeing())[1]
+    two = "7536784127813050 4845168114407329"
+    assert op10_pii.candidates(two, op10_pii.base_spans(two)) == [(0, 16), (17, 33)]
+    for alone in ("1-800-555-2485", "4111-1111-1111-1112"):  # nothing of it is known: whole, also beside one that starts alike
+        text = f"{alone}, 1-800-555-9999, 4111 1111 1111 1111"
+        assert op10_pii.candidates(text, op10_pii.base_spans(text))[0] == (0, len(alone))
+
+
 def test_messages_reach_the_end_of_a_chain():
     n, kinds = 200, op10_pii.NONE + 1
     edges = np.array([(i, i + 1) for i in range(n - 1)])
