@@ -319,12 +319,11 @@ def fit_bone_motion(spark, sf):
 
 @query("rigid_align")
 def rigid_align(spark, sf):
-    """Every frame registered to the next one; one coarse scale and few iterations."""
+    """Every frame registered to the next one, with the operator's own scales and rounds."""
     c = br.clouds(spark, sf)
     nxt = c.where("frame_id >= 1").withColumn("frame_id", F.col("frame_id") - 1)
     src = c.join(nxt.select(*FRAME).distinct(), FRAME, "left_semi")
-    out = sk.rigid_align(src, nxt, scales=(0.3,), iterations=3, final_size=0.3, final_iterations=2)
-    return out.select(*FRAME, "vertex_id", *rnds("x", "y", "z"))
+    return sk.rigid_align(src, nxt).select(*FRAME, "vertex_id", *rnds("x", "y", "z"))
 
 
 # ---- interpolation

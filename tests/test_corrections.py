@@ -91,3 +91,48 @@ def test_every_frame_gets_its_samples(spark, cloud):
     for grid in (True, False):
         got = sampling.surface_sample(pts, faces, 500, grid=grid).groupBy("frame_id").agg({"sample_id": "count"}).collect()
         assert [r[1] for r in got] == [500] * 3
+
+
+def _registered(source, target, stages):
+    """Brute-force point-to-point registration: (cell or None, reach, rounds) for every stage."""
+    def thin(p, size):
+        _, cell = np.unique(np.floor(p / size).astype(int), axis=0, return_inverse=True)
+        return np.stack([p[cell.ravel() == i].mean(0) for i in range(cell.max() + 1)])
+
+    used = 0
+    for size, reach, rounds in stages:
+        moving, fixed = (source, target) if size is None else (thin(source, size), thin(target, size))
+        for _ in range(rounds):
+            used += 1
+            d = np.linalg.norm(moving[:, None] - fixed[None], axis=2)
+            hit = d.min(1) <= reach
+            p, q = moving[hit], fixed[d.argmin(1)[hit]]
+            if not len(p):
+                break
+            u, _, v = np.linalg.svd((p - p.mean(0)).T @ (q - q.mean(0)))
+            r = v.T @ np.diag([1, 1, np.sign(np.linalg.det(v.T @ u.T))]) @ u.T
+            t = q.mean(0) - r @ p.mean(0)
+            source, moving = source @ r.T + t, moving @ r.T + t
+            if np.abs(np.diag(r) - 1).sum() + np.abs(t).sum() < 1e-6:
+                break
+    return source, used
+
+
+def _dense():
+    rng = np.random.default_rng(3)
+    target = rng.uniform(-0.5, 0.5, (260, 3))
+    target[:, 2] = 0.3 * np.sin(5 * target[:, 0]) + 0.3 * target[:, 1] ** 2
+    a = 0.05
+    r = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
+    return target @ r.T + [0.04, -0.03, 0.02], target
+
+
+def test_rigid_align_query_runs_all_scales_and_rounds(spark, cloud, monkeypatch):
+    from kinetable.queries import skinning
+    source, target = _dense()
+    both = cloud(np.stack([source, target]))
+    monkeypatch.setattr(skinning.br, "clouds", lambda *_: both)
+    got = np.array([[p.x, p.y, p.z] for p in skinning.rigid_align(spark, "").orderBy("vertex_id").collect()])
+    want, used = _registered(source, target, [(0.05, 0.1, 50), (0.02, 0.04, 50), (0.01, 0.02, 50), (None, 0.005, 100)])
+    assert used > 5 and np.abs(want - target).max() < 1e-6  # the fixture can be registered, and not in five rounds
+    assert np.abs(got - want).max() < 1e-5
