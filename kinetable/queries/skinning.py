@@ -239,11 +239,18 @@ select seq_id, vertex_id, k, {r('w/sum(w) over (partition by seq_id, vertex_id)'
 select *, row_number() over (partition by seq_id, vertex_id order by w desc, k) as rk from (
 select seq_id, vertex_id, k, round(w/sum(w) over (partition by seq_id, vertex_id), 12) as w from h3 where w>0)) where rk<=8""", **_HEAT))
 def heat_weights(spark, sf):
-    """Three diffusion steps, which SQL can unroll; the default of thirty is tested against a direct solve."""
+    """Three diffusion steps, which SQL can unroll: vertices further from all heat have no row.  ``heat_weights_settled`` is whole."""
     w = wt.heat_weights(rest_of(spark, sf), rest_joints(spark, sf), iterations=3)
     return w.select("seq_id", "vertex_id", "k", rnd("w").alias("w"))
 
 
+@query("heat_weights_settled")
+def heat_weights_settled(spark, sf):
+    """Diffusion until settled, which SQL cannot follow."""
+    w = wt.heat_weights(rest_of(spark, sf), rest_joints(spark, sf))
+    return w.select("seq_id", "vertex_id", "k", rnd("w").alias("w"))
+
+
 # ---- blending
 _LBS = f"""select t.seq_id, t.frame_id, v.vertex_id, {', '.join(f'sum(w.w*(r{i}0*v.x+r{i}1*v.y+r{i}2*v.z+t{a})) as {a}' for i, a in enumerate('xyz'))}
 from rest v join weights w on v.seq_id=w.seq_id and v.vertex_id=w.vertex_id and w.w>1e-6 join (select * from xf where (seq_id, frame_id) in (select seq_id, frame_id from clouds)) t on t.seq_id=v.seq_id and t.k=w.k group by 1, 2, 3"""

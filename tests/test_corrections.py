@@ -136,3 +136,29 @@ def test_rigid_align_query_runs_all_scales_and_rounds(spark, cloud, monkeypatch)
     want, used = _registered(source, target, [(0.05, 0.1, 50), (0.02, 0.04, 50), (0.01, 0.02, 50), (None, 0.005, 100)])
     assert used > 5 and np.abs(want - target).max() < 1e-6  # the fixture can be registered, and not in five rounds
     assert np.abs(got - want).max() < 1e-5
+
+
+def test_heat_query_solves_the_system_far_from_the_joints(spark, cloud, monkeypatch):
+    from kinetable.queries import skinning
+    n = 60
+    strip = np.zeros((n, 3))
+    strip[:, 0] = np.arange(n) * 0.1 + 0.03 * np.sin(np.arange(n))
+    ends = strip[[0, n - 1]]
+    monkeypatch.setattr(skinning.br, "clouds", lambda *_: cloud(strip[None]))
+    monkeypatch.setattr(skinning.br, "joints", lambda *_: cloud(ends[None]).withColumnRenamed("vertex_id", "k"))
+    d = np.linalg.norm(strip[:, None] - strip[None], axis=2)
+    w = np.zeros((n, n))
+    for i in range(n):
+        for j in np.argsort(d[i], kind="stable")[1:9]:
+            w[i, j] = w[j, i] = 1 / (d[i, j] + 1e-8)
+    b = np.zeros((n, 2))
+    for k in range(2):
+        near = np.argsort(np.linalg.norm(strip - ends[k], axis=1), kind="stable")[:3]
+        dist = np.linalg.norm(strip[near] - ends[k], axis=1)
+        b[near[dist < 0.1], k] = np.exp(-10 * dist[dist < 0.1])
+    want = np.linalg.solve(np.eye(n) + 0.01 * (np.diag(w.sum(1)) - w), b)
+    want /= want.sum(1, keepdims=True)
+    got = np.zeros((n, 2))
+    for r in skinning.heat_weights_settled(spark, "").collect():
+        got[r.vertex_id, r.k] = r.w
+    assert np.allclose(got.sum(1), 1, atol=1e-5) and np.allclose(got, want, atol=1e-4)
