@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import op1_near_vectors, op2_warc, op3_sharding, op4_packing, op5_prefix_forest, op6_bpe, op7_language, op8_token_counts, op9_jaccard, op10_pii
+from . import op1_near_vectors, op2_warc, op3_sharding, op4_packing, op5_prefix_forest, op6_bpe, op7_language, op8_token_counts, op9_jaccard, op10_pii, op11_filter_audit
 from ..plans.lineage import state_dir
 from .common import table
 
@@ -115,3 +115,8 @@ def span_digests(found: DataFrame) -> DataFrame:
     of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     counts = [of(k).alias(f"n_{k}") for k in op10_pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+@query("op11_filter_audit", op11_filter_audit.sql())
+def filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return op11_filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
