@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import op1_near_vectors, op2_warc, op3_sharding, op4_packing, op5_prefix_forest, op6_bpe, op7_language, op8_token_counts, op9_jaccard, op10_pii, op11_filter_audit, op12_byte_bpe
+from . import op1_near_vectors, op2_warc, op3_sharding, op4_packing, op5_prefix_forest, op6_bpe, op7_language, op8_token_counts, op9_jaccard, op10_pii, op11_filter_audit, op12_byte_bpe, op13_importance
 from ..plans.lineage import state_dir
 from .common import table
 
@@ -127,3 +127,8 @@ def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = op12_byte_bpe.encode(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_importance_resampling", op13_importance.sql())
+def importance(spark: SparkSession, sf: str) -> DataFrame:
+    return op13_importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
