@@ -21,6 +21,7 @@ task totals, so no task holds all.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,56 +49,117 @@ def crc_table() -> np.ndarray:
 _TABLE = crc_table()
 
 
-def crc_columns(rows: np.ndarray) -> np.ndarray:
-    """CRCs of the rows of a matrix of bytes, all moved on together, column by column."""
-    crc = np.full(len(rows), 0xFFFFFFFF, np.uint32)
-    for column in rows.T:
+class Features:
+    """Distinct features: the bytes of all, one after the other with a space behind each, and where each starts and how
+    long it is."""
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.start, self.size = flat, start, size
+
+    @classmethod
+    def of(cls, names: list[bytes]) -> Features:
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        flat = np.frombuffer(b" ".join([*names, b""]), np.uint8)
+        return cls(flat, np.cumsum(size + 1) - size - 1, size)
+
+    def matrices(self, longest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The features of each length: which they are, and their bytes, a column each."""
+        for at, size in by_size(self.size, longest):
+            yield at, np.stack([self.flat[self.start[at] + j] for j in range(size)])
+
+    def name(self, i: int) -> bytes:
+        return self.flat[self.start[i]:self.start[i] + self.size[i]].tobytes()
+
+
+class Runs(Features):
+    """Each of ``heads`` and, behind a space, each of ``tails``: the bytes are taken from theirs, a length at a time."""
+
+    def __init__(self, heads: Features, head: np.ndarray, tails: Features, tail: np.ndarray) -> None:
+        self.heads, self.head, self.tails, self.tail = heads, head, tails, tail
+        self.size = heads.size[head] + 1 + tails.size[tail]
+
+    def matrices(self, longest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        behind = len(self.heads.flat)
+        flat = np.concatenate([self.heads.flat, self.tails.flat])
+        for at, size in by_size(self.size, longest):
+            begin, first = self.heads.start[self.head[at]], self.heads.size[self.head[at]]
+            after = behind + self.tails.start[self.tail[at]] - first - 1
+            yield at, np.stack([flat[np.where(j <= first, begin, after) + j] for j in range(size)])
+
+    def name(self, i: int) -> bytes:
+        return self.heads.name(self.head[i]) + b" " + self.tails.name(self.tail[i])
+
+    def gathered(self) -> Features:
+        start = np.cumsum(self.size + 1) - self.size - 1
+        flat = np.full(int(self.size.sum()) + len(self.size), 0x20, np.uint8)
+        for at, columns in self.matrices():
+            for j, column in enumerate(columns):
+                flat[start[at] + j] = column
+        return Features(flat, start, self.size)
+
+
+def by_size(size: np.ndarray, longest: int | None = None) -> Iterator[tuple[np.ndarray, int]]:
+    """Which are of each length, up to the ``longest`` that counts."""
+    order = np.argsort(size, kind="stable")
+    if longest is not None:
+        order = order[:np.searchsorted(size[order], longest, "right")]
+    edges = np.flatnonzero(np.diff(size[order], prepend=-1, append=-1))
+    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield order[begin:end], int(size[order[begin]])
+
+
+def crc_columns(columns: np.ndarray) -> np.ndarray:
+    """CRCs of equally long byte strings, given a column of all of them after the other: each moves all on together."""
+    crc = np.full(columns.shape[1], 0xFFFFFFFF, np.uint32)
+    for column in columns:
         crc = _TABLE[(crc ^ column) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
     return ~crc
 
 
-def crcs(features: list[bytes], long: int = LONG) -> np.ndarray:
+def crcs(features: Features, long: int = LONG) -> np.ndarray:
     """CRC-32 of each feature, none of them empty: one matrix per length, results scattered back."""
-    out = np.empty(len(features), np.uint32)
-    sizes = np.fromiter(map(len, features), np.int64, len(features))
-    order = np.argsort(sizes, kind="stable")
-    edges = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=-1))
-    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        at, size = order[begin:end], int(sizes[order[begin]])
-        if size > long:
-            out[at] = [zlib.crc32(features[i]) for i in at.tolist()]
-        else:
-            flat = np.frombuffer(b"".join([features[i] for i in at.tolist()]), np.uint8)
-            out[at] = crc_columns(np.ascontiguousarray(flat.reshape(len(at), size).T).T)
+    out = np.empty(len(features.size), np.uint32)
+    for i in np.flatnonzero(features.size > long).tolist():
+        out[i] = zlib.crc32(features.name(i))
+    for at, columns in features.matrices(long):
+        out[at] = crc_columns(columns)
     return out
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return list(filter(None, text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split(b" "))) if text else []
+    return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split() if text else []
+
+
+class _Numbers(dict):
+    """Numbers things in the order in which they are first looked up."""
+
+    def __missing__(self, key: bytes) -> int:
+        out = self[key] = len(self)
+        return out
 
 
 def buckets_of(texts: list[str | None], buckets: int = BUCKETS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of every feature and the text it is of, and the number of words of each text."""
-    words: list[bytes] = []
+    number, word = _Numbers(), array("q")
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         found = words_of(text)
         counts[i] = len(found)
-        words += found
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    names = list(number)
-    word = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        word.extend(map(number.__getitem__, found))
+    word = np.frombuffer(word, np.int64)
     text_of = np.repeat(np.arange(len(texts)), counts)
-    found, owners = [(crcs(names) % np.uint32(buckets))[word]], [text_of]
-    run, run_names = word, names  # the run of n - 1 words that starts at each place
+    words = Features.of(list(number))
+    found, owners = [(crcs(words) % np.uint32(buckets))[word]], [text_of]
+    heads, run = words, word  # the run of n - 1 words that starts at each place
     for n in range(2, gram + 1):
         starts = np.flatnonzero(text_of[:max(0, len(word) - n + 1)] == text_of[n - 1:])
-        kinds, which = np.unique(run[starts] * len(names) + word[starts + n - 1], return_inverse=True)
-        run_names = [b"%b %b" % (run_names[k // len(names)], names[k % len(names)]) for k in kinds.tolist()]
-        found.append((crcs(run_names) % np.uint32(buckets))[which])
+        kinds, which = np.unique(run[starts] * len(number) + word[starts + n - 1], return_inverse=True)
+        runs = Runs(heads, kinds // max(1, len(number)), words, kinds % max(1, len(number)))
+        found.append((crcs(runs) % np.uint32(buckets))[which])
         owners.append(text_of[starts])
-        run = np.zeros(len(word), np.int64)
-        run[starts] = which
+        if n < gram:
+            heads, run = runs.gathered(), np.zeros(len(word), np.int64)
+            run[starts] = which
     return np.concatenate(found), np.concatenate(owners), counts
 
 

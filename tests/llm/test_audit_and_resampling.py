@@ -140,9 +140,14 @@ def in_order(rows):
 def test_crc_matrices_equal_zlib():
     r = random.Random(1)
     some = [bytes(r.randrange(256) for _ in range(r.choice([1, 2, 5, 5, 5, 30, 256, 257, 900]))) for _ in range(3000)]
-    assert imp.crcs(some).tolist() == [zlib.crc32(f) for f in some]
-    assert imp.crcs(some, long=4).tolist() == imp.crcs(some).tolist()
-    assert imp.crcs([]).tolist() == []
+    features = imp.Features.of(some)
+    want = [zlib.crc32(f) for f in some]
+    assert imp.crcs(features).tolist() == want == imp.crcs(features, long=4).tolist()
+    assert imp.crcs(imp.Features.of([])).tolist() == []
+    head, tail = np.arange(2000), np.arange(2999, 999, -1)
+    runs = imp.Runs(features, head, features, tail)
+    want = [zlib.crc32(some[a] + b" " + some[b]) for a, b in zip(head, tail)]
+    assert imp.crcs(runs).tolist() == want == imp.crcs(runs, long=9).tolist() == imp.crcs(runs.gathered()).tolist()
 
 
 @pytest.mark.parametrize("gram", [1, 2, 3])
