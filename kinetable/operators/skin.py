@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.rotation import det3, matvec3
+from ..functions.rotation import det3, matmul3, matvec3
 from ..functions.space import apply_affine, norm3
-from ..plans.knn import knn_join, largest_groups
+from ..plans.knn import knn_join
 from ..plans.lineage import cut
 from ..plans.tiles import tile_join
 from ..schema import FRAME
@@ -124,12 +124,16 @@ def rotation_from_covariance(h: pd.Series) -> pd.Series:
     """Proper rotation that best turns the source into the target, from the 3x3 covariance source x target."""
     if len(h) == 0:
         return pd.Series([], dtype=object)
-    m = np.stack(h.to_numpy()).reshape(-1, 3, 3)
+    return pd.Series(list(rotations(np.stack(h.to_numpy()).reshape(-1, 3, 3)).reshape(-1, 9)))
+
+
+def rotations(m: np.ndarray) -> np.ndarray:
+    """Proper rotations [..., 3, 3] that best turn sources into targets, from covariances source x target."""
     u, _, vt = np.linalg.svd(m)
-    v, ut = np.swapaxes(vt, 1, 2), np.swapaxes(u, 1, 2)
-    d = np.ones((len(m), 3))
-    d[:, 2] = np.where(np.linalg.det(v @ ut) < 0, -1.0, 1.0)
-    return pd.Series(list(((v * d[:, None, :]) @ ut).reshape(-1, 9)))
+    v, ut = np.swapaxes(vt, -1, -2), np.swapaxes(u, -1, -2)
+    d = np.ones(m.shape[:-1])
+    d[..., 2] = np.where(np.linalg.det(v @ ut) < 0, -1.0, 1.0)
+    return (v * d[..., None, :]) @ ut
 
 
 def rigid_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,41 +168,129 @@ def fit_bone_motion(points: DataFrame, rest: DataFrame, weights: DataFrame) -> D
     return fit.select(*FRAME, "k", "r", "tx", "ty", "tz", compose(F.col("r"), F.col("tx"), F.col("ty"), F.col("tz")).alias("m"))
 
 
+#: Frames with at most this many points on both sides are registered inside one task.
+SMALL_CLOUD = 2048
+_MOTION = ["r", "tx", "ty", "tz"]
+
+
 def rigid_align(source: DataFrame, target: DataFrame, scales: tuple = (0.05, 0.02, 0.01), iterations: int = 50,
-                final_size: float = 0.005, final_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """Multi-scale point-to-point registration of ``source`` to ``target`` in every frame at once.
+                final_size: float = 0.005, final_iterations: int = 100, tolerance: float = 1e-6,
+                small: int = SMALL_CLOUD) -> DataFrame:
+    """Multi-scale point-to-point registration of ``source`` to ``target`` in every frame at once: moved source points.
 
     Each scale works on both clouds thinned to one point per cell and pairs points within twice the cell size;
-    the last stage uses all points within ``final_size``.  An iteration is one neighbour join, 16 sums per frame
-    and a 3x3 decomposition.  A stage ends early once no frame moves by more than ``tolerance``.
+    the last stage uses all points within ``final_size``.  A frame leaves a stage once it moves by no more than
+    ``tolerance``, or finds no pair.  A frame without target points stays where it is.
+
+    What goes from round to round is one motion per frame; points are moved once a stage.  Frames whose two clouds have at
+    most ``small`` points run their rounds inside one task each, all of them in one job.  The others are a work list: a
+    round is one neighbour join of the frames that still move, 16 sums and a 3x3 decomposition per frame.  Both go by the
+    same steps, so ``small`` changes no result beyond the last bits.
     """
-    current = cut(source.select(*FRAME, "vertex_id", "x", "y", "z"), "align")
+    source = cut(source.select(*FRAME, "vertex_id", "x", "y", "z"), "align")
     target = cut(target.select(*FRAME, "vertex_id", "x", "y", "z"), "align-target")
-    stages = [(s, 2 * s, iterations) for s in scales] + [(None, final_size, final_iterations)]
-    for size, reach, rounds in stages:
-        if size is None:
-            moving, fixed = current, target
-        else:
-            thin = lambda df: voxel_downsample(df, size).select(
-                *FRAME, _cell_id().alias("vertex_id"), "x", "y", "z")
-            moving, fixed = cut(thin(current), "align-thin"), cut(thin(target), "align-fixed")
-        sizes = largest_groups(moving, fixed, FRAME)
+    motion: DataFrame | None = None
+    for size, reach, rounds in [(s, 2 * s, iterations) for s in scales] + [(None, final_size, final_iterations)]:
+        moved = source if motion is None else _move(source, motion)
+        moving, fixed = (df if size is None else cut(_thin(df, size), "align-thin") for df in (moved, target))
+        moving = cut(moving, "align-moving") if size is None else moving
+        step = cut(_register(moving, fixed, reach, rounds, tolerance, small), "align-motion")
+        motion = step if motion is None else cut(_then(motion, step), "align-motion")
+    return _move(source, motion)
+
+
+def _thin(points: DataFrame, size: float) -> DataFrame:
+    return voxel_downsample(points, size).select(*FRAME, _cell_id().alias("vertex_id"), "x", "y", "z")
+
+
+def _register(moving: DataFrame, fixed: DataFrame, reach: float, rounds: int, tolerance: float, small: int) -> DataFrame:
+    """The motion of every frame with points on both sides that brings ``moving`` onto ``fixed``."""
+    count = lambda df, name: df.groupBy(*FRAME).agg(F.count(F.lit(1)).alias(name))
+    sizes = cut(count(moving, "n").join(count(fixed, "m"), FRAME), "align-sizes")
+    little = F.greatest("n", "m") <= small
+    most = sizes.where(~little).agg(F.max("n"), F.max("m")).first()
+    few = sizes.where(little).select(*FRAME)
+    done = _register_in_tasks(moving.join(few, FRAME, "left_semi"), fixed.join(few, FRAME, "left_semi"), reach, rounds, tolerance)
+    if most[0] is None:
+        return done
+    still = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
+    zero = F.lit(0.0)
+    active = cut(sizes.where(~little).select(*FRAME, still.alias("r"), zero.alias("tx"), zero.alias("ty"), zero.alias("tz")), "align-active")
+    moving, fixed = (cut(df.join(active.select(*FRAME), FRAME, "left_semi"), "align-large") for df in (moving, fixed))
+    settled = []
+    for _ in range(rounds):
+        there = fixed.join(active.select(*FRAME), FRAME, "left_semi")
+        hit = knn_join(_move(moving, active, "inner"), there, FRAME, 1, sizes=(most[0], most[1]), own=True).where(F.col("d2") <= reach * reach)
+        pairs = hit.select(*FRAME, *[F.col(f"l{c}").alias(f"p{c}") for c in "xyz"], *[F.col(f"r{c}").alias(f"q{c}") for c in "xyz"], F.lit(1.0).alias("w"))
+        step = cut(rigid_fit(pairs, FRAME), "align-step")
+        turn = F.abs(F.col("r")[0] - 1) + F.abs(F.col("r")[4] - 1) + F.abs(F.col("r")[8] - 1)
+        moves = step.where(turn + F.abs("tx") + F.abs("ty") + F.abs("tz") >= tolerance).select(*FRAME, F.lit(True).alias("moves"))
+        state = cut(_then(active, step).join(moves, FRAME, "left"), "align-active")
+        settled.append(state.where("moves IS NULL").select(*FRAME, *_MOTION))
+        active = state.where("moves").select(*FRAME, *_MOTION)
+        if active.isEmpty():
+            break
+    for part in [*settled, active]:
+        done = done.unionByName(part)
+    return done
+
+
+def _register_in_tasks(moving: DataFrame, fixed: DataFrame, reach: float, rounds: int, tolerance: float) -> DataFrame:
+    """The same rounds for frames of few points, a frame at a time."""
+    import pyarrow as pa
+
+    kinds = {f.name: f for f in moving.schema.fields}
+    schema = T.StructType([*[kinds[c] for c in FRAME], T.StructField("r", T.ArrayType(T.DoubleType())),
+                           *[T.StructField(c, T.DoubleType()) for c in ("tx", "ty", "tz")]])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: left.column(c).slice(0, 0) for c in FRAME} | {
+                "r": pa.array([], pa.list_(pa.float64())), **{c: pa.array([], pa.float64()) for c in ("tx", "ty", "tz")}})
+        right = right.sort_by("vertex_id")
+        p, q = (np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1) for t in (left, right))
+        r, t = np.eye(3), np.zeros(3)
         for _ in range(rounds):
-            hit = knn_join(moving, fixed, FRAME, 1, sizes=sizes).where(F.col("d2") <= reach * reach)
-            src = moving.select(*FRAME, F.col("vertex_id").alias("left_id"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
-            pairs = hit.join(src, [*FRAME, "left_id"]).select(
-                *FRAME, *[f"p{c}" for c in "xyz"], *[F.col(f"r{c}").alias(f"q{c}") for c in "xyz"], F.lit(1.0).alias("w"))
-            motion = cut(rigid_fit(pairs, FRAME), "align-motion")
-            current = _move(current, motion)
-            moving = cut(_move(moving, motion), "align-moving") if size is not None else cut(current, "align")
-            if size is None:
-                current = moving
-            turn = F.abs(F.col("r")[0] - 1) + F.abs(F.col("r")[4] - 1) + F.abs(F.col("r")[8] - 1)
-            step = motion.agg(F.max(turn + F.abs("tx") + F.abs("ty") + F.abs("tz"))).first()[0]
-            if step is None or step < tolerance:
+            at = p @ r.T + t
+            near, d2 = _nearest_rows(at, q)
+            met = d2 <= reach * reach
+            if not met.any():
+                break
+            turn, shift = _best_motion(at[met], q[near[met]])
+            r, t = turn @ r, turn @ t + shift
+            if np.abs(np.diag(turn) - 1).sum() + np.abs(shift).sum() < tolerance:
                 break
-        current = cut(current, "align")
-    return current
+        return pa.table({**{c: left.column(c).slice(0, 1) for c in FRAME}, "r": pa.array([r.ravel().tolist()], pa.list_(pa.float64())),
+                         **{f"t{c}": pa.array([float(v)]) for c, v in zip("xyz", t)}})
+
+    sides = [df.select(*FRAME, "vertex_id", "x", "y", "z") for df in (moving, fixed)]
+    theirs = sides[1].withColumnsRenamed({c: f"_{c}" for c in FRAME})
+    return sides[0].groupBy(*FRAME).cogroup(theirs.groupBy(*[f"_{c}" for c in FRAME])).applyInArrow(run, schema)
+
+
+def _nearest_rows(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    near, d2 = np.empty(len(p), np.int64), np.empty(len(p))
+    for s in range(0, len(p), 256):
+        gap = ((p[s:s + 256, None] - q) ** 2).sum(axis=2)
+        near[s:s + 256] = gap.argmin(axis=1)
+        d2[s:s + 256] = gap.min(axis=1)
+    return near, d2
+
+
+def _best_motion(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cp, cq = p.mean(axis=0), q.mean(axis=0)
+    turn = rotations((p - cp).T @ (q - cq))
+    return turn, cq - turn @ cp
+
+
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One motion per frame of ``first``: it and then that of ``second``, where there is one."""
+    s = second.select(*FRAME, *[F.col(c).alias(f"_{c}") for c in _MOTION])
+    turned = matvec3(F.col("_r"), F.col("tx"), F.col("ty"), F.col("tz"))
+    none = F.col("_r").isNull()
+    return first.join(s, FRAME, "left").select(
+        *FRAME, F.when(none, F.col("r")).otherwise(matmul3(F.col("_r"), F.col("r"))).alias("r"),
+        *[F.when(none, F.col(c)).otherwise(v + F.col(f"_{c}")).alias(c) for c, v in zip(("tx", "ty", "tz"), turned)])
 
 
 def _cell_id() -> Column:
@@ -214,10 +306,10 @@ def _cell_id() -> Column:
     return F.when(inside, packed).otherwise(-1 - far)
 
 
-def _move(points: DataFrame, motion: DataFrame) -> DataFrame:
-    """Apply each frame's rigid motion; frames without one stay."""
-    m = motion.select(*FRAME, "r", "tx", "ty", "tz")
-    j = points.join(m, FRAME, "left")
+def _move(points: DataFrame, motion: DataFrame, how: str = "left") -> DataFrame:
+    """Apply each frame's rigid motion; frames without one stay, or go where ``how`` is inner."""
+    m = motion.select(*FRAME, *_MOTION)
+    j = points.join(m, FRAME, how)
     turned = matvec3(F.col("r"), F.col("x"), F.col("y"), F.col("z"))
     return j.select(*FRAME, "vertex_id", *[
         F.when(F.col("r").isNull(), F.col(c)).otherwise(v + F.col(f"t{c}")).alias(c) for c, v in zip("xyz", turned)])

@@ -35,8 +35,8 @@ _A, _B = ["ax", "ay", "az"], ["bx", "by", "bz"]
 
 def knn_join(left: DataFrame, right: DataFrame, keys: list[str], k: int, left_id: str = "vertex_id",
              right_id: str = "vertex_id", exclude_self: bool = False, leaf: int = LEAF, direct: int = DIRECT,
-             sizes: tuple[int, int] | None = None) -> DataFrame:
-    """keys, left_id, rank (1..k), right_id, d2 and the right position (rx, ry, rz).
+             sizes: tuple[int, int] | None = None, own: bool = False) -> DataFrame:
+    """keys, left_id, rank (1..k), right_id, d2, the right position (rx, ry, rz) and, if ``own``, the left one (lx, ly, lz).
 
     Fewer than k right points give that many rows; a left point whose key has no right point gives none.  ``exclude_self`` skips pairs with equal ids.  ``sizes`` are
     upper bounds of the left and right points per key; without them one aggregate finds them.
@@ -48,7 +48,8 @@ def knn_join(left: DataFrame, right: DataFrame, keys: list[str], k: int, left_id
         lhs, rhs, group = whole_key_blocks(lhs, rhs, keys, most_left)
     else:
         lhs, rhs, group = _cell_blocks(lhs, rhs, keys, k + 1 if exclude_self else k, leaf)
-    return nearest_in_blocks(lhs, rhs, keys, group, k, ["lx", "ly", "lz"], ["rx", "ry", "rz"], ["rx", "ry", "rz"], exclude_self)
+    return nearest_in_blocks(lhs, rhs, keys, group, k, ["lx", "ly", "lz"], ["rx", "ry", "rz"], ["rx", "ry", "rz"], exclude_self,
+                             ["lx", "ly", "lz"] if own else [])
 
 
 def largest_groups(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -94,11 +95,12 @@ def _k_lowest(d2: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest_in_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], group: list[str], k: int, left_vec: list[str],
-                      right_vec: list[str], carry: list[str], exclude_self: bool = False) -> DataFrame:
-    """The k nearest right rows of each left row inside its block: keys, left_id, rank, right_id, d2, ``carry``."""
+                      right_vec: list[str], carry: list[str], exclude_self: bool = False, left_carry: list[str] = ()) -> DataFrame:
+    """The k nearest right rows of each left row inside its block: keys, left_id, rank, right_id, d2, ``carry`` of the right
+    row, ``left_carry`` of the left one."""
     kinds = {f.name: f for f in [*lhs.schema.fields, *rhs.schema.fields]}
     schema = T.StructType([*[kinds[c] for c in keys], kinds["left_id"], T.StructField("rank", T.IntegerType()),
-                           kinds["right_id"], T.StructField("d2", T.DoubleType()), *[kinds[c] for c in carry]])
+                           kinds["right_id"], T.StructField("d2", T.DoubleType()), *[kinds[c] for c in [*carry, *left_carry]]])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         hits, cols, ranks, dist = [], [], [], []
@@ -130,11 +132,11 @@ def nearest_in_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], group: li
         return pa.table({
             **{c: lt.column(c) for c in keys}, "left_id": lt.column("left_id"),
             "rank": pa.array(join(ranks, np.int32)[keep]), "right_id": rt.column("right_id"), "d2": pa.array(d[keep]),
-            **{c: rt.column(c) for c in carry}})
+            **{c: rt.column(c) for c in carry}, **{c: lt.column(c) for c in left_carry}})
 
     # the right block columns get names of their own, so a table can meet itself
     theirs = [F.col(c).alias(f"_of_{c}") for c in group]
-    a = lhs.select(*dict.fromkeys([*group, "left_id", *left_vec])).groupBy(*group)
+    a = lhs.select(*dict.fromkeys([*group, "left_id", *left_vec, *left_carry])).groupBy(*group)
     b = rhs.select(*theirs, *dict.fromkeys(["right_id", *right_vec, *carry])).groupBy(*[f"_of_{c}" for c in group])
     blocks = a.cogroup(b)
     return blocks.applyInArrow(compare, schema)

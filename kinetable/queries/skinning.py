@@ -333,6 +333,21 @@ def rigid_align(spark, sf):
     return sk.rigid_align(src, nxt).select(*FRAME, "vertex_id", *rnds("x", "y", "z"))
 
 
+_SLIGHT = "0.002*(1+frame_id%3)"
+
+
+@query("rigid_align_known", sql(f"""
+select seq_id, frame_id, vertex_id, {r('cos(a)*x-sin(a)*y+0.001e0', 'x', 5)}, {r('sin(a)*x+cos(a)*y-0.002e0', 'y', 5)}, {r('z+0.0015e0', 'z', 5)}
+from (select *, {_SLIGHT} as a from clouds)"""))
+def rigid_align_known(spark, sf):
+    """Every frame registered to itself after a slight turn about z and a shift, which the registration must find."""
+    c = br.clouds(spark, sf)
+    a = F.expr(_SLIGHT)
+    moved = c.select(*FRAME, "vertex_id", (F.cos(a) * F.col("x") - F.sin(a) * F.col("y") + 0.001).alias("x"),
+                     (F.sin(a) * F.col("x") + F.cos(a) * F.col("y") - 0.002).alias("y"), (F.col("z") + 0.0015).alias("z"))
+    return sk.rigid_align(c, moved).select(*FRAME, "vertex_id", *rnds("x", "y", "z", n=5))
+
+
 # ---- interpolation
 def _pairs(spark, sf, df=None):
     return ip.consecutive_pairs(br.points(spark, sf) if df is None else df)
