@@ -1,20 +1,23 @@
-"""Exact k-nearest-neighbour join that adapts to the density of the data.
-
-Both sides are put into nested cubic cells per match key (a frame, a frame pair).  Pairs of cells are refined
-level by level, all keys at once:
-
-* a cell pair (A, B) bounds every point distance by the gap and the span of the two cells;
-* the smallest span within which A's partners hold k points is an upper bound for the k-th neighbour of every
-  point in A, so partners whose gap exceeds it are dropped;
-* A is finished once its remaining partners hold at most ``leaf`` points; otherwise A and its partners are
-  replaced by their non-empty children.
-
-Then Spark shuffles both sides into blocks, one per finished cell and about ``ROWS`` left points, and each block is
-compared with NumPy.  Keys with at most ``DIRECT`` right points are blocks by themselves.  However dense or skewed
-the clouds are, no task sees a large frame and no left point meets more than max(leaf, DIRECT) right ones, unless
-distinct points are closer together than the finest cells.  Copies of one right position beyond the k with the
-lowest ids can never be among the k nearest and are removed first.  Cell arithmetic is on integers, so pruning is
-safe; the ranking uses double squared distances and, for ties, the lowest right id.  Positions are finite.
+"""Exact k-nearest-neighbour join that adapts to the density of the data, key by key.
+
+Keys (a frame, a frame pair) with at most ``DIRECT`` right points are blocks by themselves.  In the others both sides get
+one order along a space-filling curve, whose axes are cut at quantiles of the right points, so that a point far off takes
+no room from the rest.  Positions in that order are the index: 16 neighbours make a node, 16 nodes one of the next level,
+up to at most 16 per key.  A node has the true boxes and counts of its left and of its right points, rolled up once.
+
+* Inside each page of 256 points every left point finds its k nearest right ones: an upper bound that is mostly close.
+* From the top down a left node meets right nodes.  The gap between two boxes bounds all distances from below; the bound of
+  the left node's points, or the span within which its partners hold k points, bounds the k-th one from above.  What is
+  further goes.
+* A left node of at most 4096 points is finished once its partners hold at most ``leaf`` points; otherwise it and they are
+  replaced by their children, which are looked up for open nodes only.  A right node goes down to pages, a left one to
+  single points.
+
+Then Spark shuffles both sides into blocks, one per finished node, and each is compared with NumPy.  A single point that
+still has more partners meets them in several blocks, whose results are merged, so no task sees a large frame however dense
+or skewed the clouds are.  Copies of one right position beyond the k with the lowest ids can never be among the k nearest
+and are removed first.  Boxes and distances are rounded alike, so pruning is safe; the ranking uses double squared distances
+and, for ties, the lowest right id.  Positions are finite.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .lineage import cut
-from .ranking import top_k
+from .ranking import position_in_order, top_k
 
-LEAF = 1024    # right points a finished left cell may still face
-DIRECT = 4096  # keys with at most this many right points need no cells
+LEAF = 8192    # right points a finished left node may still face
+DIRECT = 4096  # keys with at most this many right points need no index
 ROWS = 4096    # left points per block
-MAX_LEVEL = 24
-_A, _B = ["ax", "ay", "az"], ["bx", "by", "bz"]
+FAN = 4        # bits of a position that one level of the index takes off
+PAGE = 2       # the level whose nodes are pages
+EDGES = 6      # bits of an axis that go by quantiles
+FINE = 14      # further bits inside a quantile
 
 
 def knn_join(left: DataFrame, right: DataFrame, keys: list[str], k: int, left_id: str = "vertex_id",
@@ -44,12 +49,19 @@ def knn_join(left: DataFrame, right: DataFrame, keys: list[str], k: int, left_id
     lhs = left.select(*keys, F.col(left_id).alias("left_id"), *[F.col(a).alias(f"l{a}") for a in "xyz"])
     rhs = right.select(*keys, F.col(right_id).alias("right_id"), *[F.col(a).alias(f"r{a}") for a in "xyz"])
     most_left, most_right = largest_groups(lhs, rhs, keys) if sizes is None else sizes
+
+    def compare(lhs: DataFrame, rhs: DataFrame, group: list[str]) -> DataFrame:
+        return nearest_in_blocks(lhs, rhs, keys, group, k, ["lx", "ly", "lz"], ["rx", "ry", "rz"], ["rx", "ry", "rz"], exclude_self,
+                                 ["lx", "ly", "lz"] if own else [])
+
     if most_right <= direct:
-        lhs, rhs, group = whole_key_blocks(lhs, rhs, keys, most_left)
-    else:
-        lhs, rhs, group = _cell_blocks(lhs, rhs, keys, k + 1 if exclude_self else k, leaf)
-    return nearest_in_blocks(lhs, rhs, keys, group, k, ["lx", "ly", "lz"], ["rx", "ry", "rz"], ["rx", "ry", "rz"], exclude_self,
-                             ["lx", "ly", "lz"] if own else [])
+        return compare(*whole_key_blocks(lhs, rhs, keys, most_left))
+    counts = cut(rhs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "knn-counts")
+    few, many = (counts.where(c).select(*keys) for c in (F.col("_n") <= direct, F.col("_n") > direct))
+    small = compare(*whole_key_blocks(lhs.join(few, keys, "left_semi"), rhs.join(few, keys, "left_semi"), keys, most_left))
+    nodes, points = _indexed(lhs.join(many, keys, "left_semi"), rhs.join(many, keys, "left_semi"), keys,
+                             k + 1 if exclude_self else k, most_left + most_right)
+    return small.unionByName(nodes_joined(nodes, points, keys, k, k + 1 if exclude_self else k, leaf, compare))
 
 
 def largest_groups(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -142,93 +154,145 @@ def nearest_in_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], group: li
     return blocks.applyInArrow(compare, schema)
 
 
-# ---- cells
-def _cell(side: str, level: int) -> list:
-    return [F.shiftright(F.col(f"{side}c{a}"), MAX_LEVEL - level) for a in "xyz"]
+# ---- the index
+_AXES = "xyz"
 
 
-def _with_cells(df: DataFrame, side: str, box: DataFrame, keys: list[str]) -> DataFrame:
-    top = (1 << MAX_LEVEL) - 1
-    placed = df.join(box, keys)
-    for a in "xyz":
-        at = F.floor((F.col(f"{side}{a}") - F.col(f"_min_{a}")) / F.col("_h")).cast("int")
-        placed = placed.withColumn(f"{side}c{a}", F.least(F.greatest(at, F.lit(0)), F.lit(top)))
-    return placed.drop("_h", "_min_x", "_min_y", "_min_z")
+def _spread() -> list:
+    """Steps that put two zeros before each of a number's lowest 21 bits."""
+    steps = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+    return [lambda c, n=n, m=m: c.bitwiseOR(F.shiftleft(c, n)).bitwiseAND(F.lit(m)) for n, m in steps]
 
 
-def _boxes(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> DataFrame:
-    both = lhs.select(*keys, *[F.col(f"l{a}").alias(a) for a in "xyz"]).unionByName(
-        rhs.select(*keys, *[F.col(f"r{a}").alias(a) for a in "xyz"]))
-    ends = both.groupBy(*keys).agg(*[f(a).alias(f"_{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in "xyz"])
-    extent = F.greatest(*[F.col(f"_max_{a}") - F.col(f"_min_{a}") for a in "xyz"])
-    side = F.when(extent > 0, extent / float(1 << MAX_LEVEL)).otherwise(F.lit(1.0))
-    return ends.select(*keys, "_min_x", "_min_y", "_min_z", side.alias("_h"))
+def _with_code(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``code``, the place on the curve; ``edges`` has 2^EDGES + 1 values per axis, ends included."""
+    df = points.join(edges, keys)
+    for a in _AXES:
+        e, at = F.col(f"_e{a}"), F.col("_at")
+        df = df.withColumn("_at", F.lit(0))
+        for b in reversed(range(EDGES)):
+            df = df.withColumn("_at", at + F.when(F.col(a) >= F.element_at(e, at + (1 << b) + 1), 1 << b).otherwise(0))
+        low, high = F.element_at(e, at + 1), F.element_at(e, at + 2)
+        inside = F.when(high > low, (F.col(a) - low) / (high - low)).otherwise(0.0)
+        fine = F.least(F.greatest(F.floor(inside * (1 << FINE)), F.lit(0)), F.lit((1 << FINE) - 1)).cast("long")
+        df = df.withColumn(f"_c{a}", at.cast("long") * (1 << FINE) + fine)
+        for step in _spread():
+            df = df.withColumn(f"_c{a}", step(F.col(f"_c{a}")))
+    code = F.shiftleft(F.col("_cx"), 2).bitwiseOR(F.shiftleft(F.col("_cy"), 1)).bitwiseOR(F.col("_cz"))
+    return df.withColumn("code", code).drop("_at", *[f"_{n}{a}" for n in "ec" for a in _AXES])
 
 
-def _cell_blocks(lhs: DataFrame, rhs: DataFrame, keys: list[str], need: int, leaf: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    leaf = max(leaf, 4 * need)  # a cell's partners hold at least ``need`` points, so a smaller leaf is never reached
+def _indexed(lhs: DataFrame, rhs: DataFrame, keys: list[str], need: int, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """Nodes by level, from 1 on, and the points of both sides with their position ``pos``."""
     rhs = top_k(rhs, [*keys, "rx", "ry", "rz"], ["right_id"], need)
-    box = _boxes(lhs, rhs, keys)
-    lhs = cut(_with_cells(lhs, "l", box, keys), "knn-left")
-    rhs = cut(_with_cells(rhs, "r", box, keys), "knn-right")
-
-    root = [F.lit(0).alias(c) for c in _A + _B]
-    open_pairs = lhs.select(*keys).distinct().join(rhs.select(*keys).distinct(), keys).select(*keys, *root)
-    group = [*keys, "_level", *_A]
-    blocks = [*group, "_part"]
-    lefts, rights = None, None
-    for level in range(1, MAX_LEVEL + 1):
-        state = cut(_refine(open_pairs, lhs, rhs, keys, need, level), "knn-cells")
-        done = F.lit(True) if level == MAX_LEVEL else F.col("held") <= leaf
+    inner = [i / (1 << EDGES) for i in range(1, 1 << EDGES)]
+    ends = lambda a: F.concat(F.array(F.min(a)), F.percentile_approx(a, inner, 1000), F.array(F.max(a)))
+    edges = cut(rhs.groupBy(*keys).agg(*[ends(f"r{a}").alias(f"_e{a}") for a in _AXES]), "knn-edges")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = lhs.select(*keys, "left_id", none(rhs, "right_id"), *[F.col(f"l{a}").alias(a) for a in _AXES]).unionByName(
+        rhs.select(*keys, none(lhs, "left_id"), "right_id", *[F.col(f"r{a}").alias(a) for a in _AXES]))
+    coded = _with_code(both, edges, keys)
+    points = cut(position_in_order(coded, keys, ["code", "left_id", "right_id"], "pos").drop("code"), "knn-points")
+    kinds = {f.name: f for f in points.schema.fields}
+    number = lambda n, t=T.DoubleType(): T.StructField(n, t)
+    boxes = [f"{s}{end}{a}" for s in "lr" for end in ("lo", "hi") for a in _AXES]
+    schema = T.StructType([*[kinds[c] for c in keys], number("id", T.LongType()), number("nl", T.LongType()), number("nr", T.LongType()),
+                           number("bound"), *[number(c) for c in boxes]])
+
+    def summed(page: pa.Table) -> pa.Table:
+        page = page.sort_by("pos")
+        xyz = np.stack([page.column(a).to_numpy() for a in _AXES], axis=1)
+        right = page.column("right_id").is_valid().to_numpy()
+        ids = page.column("pos").to_numpy() >> FAN
+        start = np.flatnonzero(np.diff(ids, prepend=-1))
+        bound = np.full(len(ids), -np.inf)
+        gap = np.zeros((int((~right).sum()), int(right.sum())))
+        for axis in range(3):
+            d = xyz[~right, axis, None] - xyz[right, axis]
+            gap += d * d
+        bound[~right] = np.partition(gap, need - 1, axis=1)[:, need - 1] if gap.shape[1] >= need else np.inf
+        out = {"id": ids[start], "nl": np.add.reduceat(~right, start, dtype=np.int64), "nr": np.add.reduceat(right, start, dtype=np.int64),
+               "bound": np.maximum.reduceat(bound, start)}
+        for side, of in (("l", ~right), ("r", right)):
+            for i, a in enumerate(_AXES):
+                out[f"{side}lo{a}"] = np.minimum.reduceat(np.where(of, xyz[:, i], np.inf), start)
+                out[f"{side}hi{a}"] = np.maximum.reduceat(np.where(of, xyz[:, i], -np.inf), start)
+        return pa.table({**{c: page.column(c).take(pa.array(start)) for c in keys}, **out})
+
+    pages = points.withColumn("_page", F.shiftright("pos", FAN * PAGE)).groupBy(*keys, "_page")
+    levels = [cut(pages.applyInArrow(summed, schema), "knn-nodes")]
+    merge = {**{c: F.min for c in boxes if c[1:3] == "lo"}, **{c: F.max for c in boxes if c[1:3] == "hi"}, "bound": F.max, "nl": F.sum, "nr": F.sum}
+    while most >> (FAN * len(levels)) >= 1 << FAN or len(levels) < PAGE:
+        up = levels[-1].withColumn("id", F.shiftright("id", FAN)).groupBy(*keys, "id")
+        levels.append(cut(up.agg(*[f(c).alias(c) for c, f in merge.items()]), "knn-nodes"))
+    return levels, points
+
+
+def _met(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], need: int) -> DataFrame:
+    """Of the pairs (a, b, bound) those that may hold one of the ``need`` nearest points, and how many each a still meets.
+
+    A window runs over the partners of one node, a number bounded by geometry."""
+    a = left.select(*keys, F.col("id").alias("a"), F.col("bound").alias("own"), *[f"l{e}{x}" for e in ("lo", "hi") for x in _AXES])
+    b = right.select(*keys, F.col("id").alias("b"), "nr", *[f"r{e}{x}" for e in ("lo", "hi") for x in _AXES])
+    gaps = [F.greatest(F.col(f"rlo{x}") - F.col(f"lhi{x}"), F.col(f"llo{x}") - F.col(f"rhi{x}"), F.lit(0.0)) for x in _AXES]
+    spans = [F.greatest(F.abs(F.col(f"rhi{x}") - F.col(f"llo{x}")), F.abs(F.col(f"lhi{x}") - F.col(f"rlo{x}"))) for x in _AXES]
+    squares = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+    of_a = Window.partitionBy(*keys, "a")
+    near = pairs.join(b, [*keys, "b"]).join(a, [*keys, "a"]).select(
+        *keys, "a", "b", "nr", F.least("bound", "own").alias("bound"), squares(gaps).alias("gap"), squares(spans).alias("span"))
+    near = near.where(F.col("gap") <= F.col("bound")).withColumn("within", F.sum("nr").over(of_a.orderBy("span")))
+    tight = F.least("bound", F.coalesce(F.min(F.when(F.col("within") >= need, F.col("span"))).over(of_a), F.lit(float("inf"))))
+    near = near.withColumn("bound", tight).where(F.col("gap") <= F.col("bound"))
+    return near.select(*keys, "a", "b", "bound", F.sum("nr").over(of_a).alias("held"))
+
+
+def nodes_joined(levels: list[DataFrame], points: DataFrame, keys: list[str], k: int, need: int, leaf: int, compare) -> DataFrame:
+    """The neighbours of all left points of an index; ``compare`` finds those inside blocks."""
+    level = len(levels)
+    lefts, rights = points.where("left_id IS NOT NULL"), points.where("right_id IS NOT NULL")
+    single = lefts.select(*keys, F.col("pos").alias("id"), F.lit(float("inf")).alias("bound"), *[F.col(x).alias(f"l{e}{x}") for e in ("lo", "hi") for x in _AXES])
+    at = lambda n: single if n == 0 else levels[n - 1].where("nl > 0")
+    page = lambda n: levels[max(n, PAGE) - 1].where("nr > 0")
+    pairs = at(level).select(*keys, F.col("id").alias("a")).join(page(level).select(*keys, F.col("id").alias("b")), keys).withColumn(
+        "bound", F.lit(float("inf")))
+    found: list[DataFrame] = []
+    while True:
+        state = cut(_met(pairs, at(level), page(level), keys, need), "knn-pairs")
+        done = F.lit(level == 0) | (F.lit((1 << FAN * level) <= ROWS) & (F.col("held") <= leaf))
         # two flags come back to the driver: is anything finished here, is anything still open
-        flags = state.agg(F.max(done), F.max(~done)).first()
-        if flags[0]:
-            pairs = state.where(done).withColumn("_level", F.lit(level))
-            cells = pairs.select(*group, F.ceil(F.col("mine") / ROWS).cast("int").alias("_parts")).distinct()
-            met = pairs.join(_at_level(rhs, "r", _B, level), [*keys, *_B]).select(
-                *group, F.ceil(F.col("mine") / ROWS).cast("int").alias("_parts"), "right_id", "rx", "ry", "rz")
-            mine = _at_level(lhs, "l", _A, level).withColumn("_level", F.lit(level))
-            a, b, blocks = _split(mine, met, cells, group)
-            lefts = a if lefts is None else lefts.unionByName(a)
-            rights = b if rights is None else rights.unionByName(b)
-        if not flags[1]:
+        ended, more = state.agg(F.max(done), F.max(~done)).first()
+        if ended:
+            found.append(_blocks_of(state.where(done), lefts, rights, keys, k, level, leaf, compare))
+        if not more:
             break
-        open_pairs = state.where(~done).select(*keys, *_A, *_B)
-    if lefts is None:  # no key is on both sides
-        empty = lambda df, side: _at_level(df, side, _A, 0).withColumns({"_level": F.lit(0), "_part": F.lit(0)}).limit(0)
-        return empty(lhs, "l"), empty(rhs, "r"), blocks
-    return lefts, rights, blocks
-
+        opened = state.where(~done)
+        child = at(level - 1).select(*keys, F.shiftright("id", FAN).alias("a"), F.col("id").alias("_a"))
+        pairs = opened.select(*keys, "a", "b", "bound").join(child, [*keys, "a"]).drop("a").withColumnRenamed("_a", "a")
+        if level > PAGE:
+            child = page(level - 1).select(*keys, F.shiftright("id", FAN).alias("b"), F.col("id").alias("_b"))
+            pairs = pairs.join(child, [*keys, "b"]).drop("b").withColumnRenamed("_b", "b")
+        level -= 1
+    none = lefts.limit(0).withColumn("_level", F.lit(0))
+    out = found[0] if found else compare(_named(none, "l"), _named(rights.limit(0).withColumn("_level", F.lit(0)), "r"), [*keys, "_level"])
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
-def _at_level(df: DataFrame, side: str, names: list[str], level: int) -> DataFrame:
-    cells = [c.alias(n) for c, n in zip(_cell(side, level), names)]
-    return df.select("*", *cells).drop(*[f"{side}c{a}" for a in "xyz"])
 
+def _named(points: DataFrame, side: str) -> DataFrame:
+    """Columns as the comparison has them; the other side's id goes."""
+    return points.drop("right_id" if side == "l" else "left_id").withColumnsRenamed({x: f"{side}{x}" for x in _AXES})
 
-def _refine(pairs: DataFrame, lhs: DataFrame, rhs: DataFrame, keys: list[str], need: int, level: int) -> DataFrame:
-    """Children of the open pairs that can still hold one of the ``need`` nearest points.
 
-    ``held`` counts the right points of a left cell's partners, ``mine`` the left points of the cell.  Windows run
-    over the partners of one cell, a number bounded by geometry.
-    """
-    up = lambda names, parents: [F.shiftright(F.col(n), 1).alias(p) for n, p in zip(names, parents)]
-    a_child, b_child = ["cax", "cay", "caz"], ["cbx", "cby", "cbz"]
-    count = lambda df, side, names, n: df.groupBy(*keys, *[c.alias(m) for c, m in zip(_cell(side, level), names)]).agg(
-        F.count(F.lit(1)).alias(n))
-    a_cells = count(lhs, "l", a_child, "mine").select("*", *up(a_child, _A))
-    b_cells = count(rhs, "r", b_child, "n").select("*", *up(b_child, _B))
-    grown = pairs.join(b_cells, [*keys, *_B]).drop(*_B).join(a_cells, [*keys, *_A]).drop(*_A)
-    apart = [F.abs(F.col(a) - F.col(b)).cast("long") for a, b in zip(a_child, b_child)]
-    sq = lambda c: c * c
-    near = [F.greatest(d - 1, F.lit(0)) for d in apart]
-    gap = sq(near[0]) + sq(near[1]) + sq(near[2])
-    span = sq(apart[0] + 1) + sq(apart[1] + 1) + sq(apart[2] + 1)
-    of_a = Window.partitionBy(*keys, *a_child)
-    kept = (
-        grown.select("*", gap.alias("gap"), span.alias("span"))
-        .withColumn("within", F.sum("n").over(of_a.orderBy("span")))
-        .withColumn("bound", F.min(F.when(F.col("within") >= need, F.col("span"))).over(of_a))
-        .where(F.col("bound").isNull() | (F.col("gap") <= F.col("bound")))
-        .withColumn("held", F.sum("n").over(of_a))
-    )
-    return kept.select(*keys, *[F.col(c).alias(n) for c, n in zip(a_child + b_child, _A + _B)], "held", "mine")
+def _blocks_of(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, keys: list[str], k: int, level: int, leaf: int, compare) -> DataFrame:
+    parts = F.when(F.lit(level == 0), F.ceil(F.col("held") / leaf)).otherwise(F.lit(1)).cast("int")
+    nodes = pairs.select(*keys, "a", parts.alias("_parts")).distinct()
+    left = lefts.withColumn("a", F.shiftright("pos", FAN * level)).join(nodes, [*keys, "a"]).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    right = rights.withColumn("b", F.shiftright("pos", FAN * max(level, PAGE))).join(
+        pairs.select(*keys, "a", "b", parts.alias("_parts")), [*keys, "b"]).withColumn("_part", F.pmod(F.xxhash64("pos"), F.col("_parts")).cast("int"))
+    out = compare(_named(left, "l"), _named(right, "r"), [*keys, "a", "_part"])
+    if level > 0:
+        return out
+    # a point that met its partners in several blocks has the k nearest of each
+    return top_k(out.drop("rank"), [*keys, "left_id"], ["d2", "right_id"], k, rank="rank").select(*out.columns)
