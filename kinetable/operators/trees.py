@@ -7,7 +7,7 @@ graph are bounded; the number of graphs is not, and every loop step advances all
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rotation import matmul3, matvec3
 from ..functions.space import hash_unit, softplus
@@ -259,30 +259,37 @@ def sanitize_parents(bones: DataFrame) -> DataFrame:
 
 
 def forward_kinematics(rotations: DataFrame, tree: DataFrame, offsets: DataFrame, roots: DataFrame, inverse: bool = False) -> DataFrame:
-    """Global rotation and position of every joint, one tree level per step for all frames.
+    """Global rotation and position of every joint.
 
     ``rotations(seq_id, frame_id, k, r)``, ``tree(k, parent, depth)``, ``offsets(seq_id, k, ox, oy, oz)``,
     ``roots(seq_id, frame_id, x, y, z)``.  R(child) = R(parent) R_local (reversed when ``inverse``);
-    position(child) = R(child) offset + position(parent).
+    position(child) = R(child) offset + position(parent).  A joint whose parent a frame lacks is left out.
+
+    The few joints of a frame are packed by depth, and one fold from the roots down adds each to a map of those before
+    it: one shuffle, however deep the tree.
     """
     local = rotations.join(tree.select("k", "parent", "depth"), "k").join(offsets, ["seq_id", "k"], "left")
-    local = cut(local, "fk", by="depth")
-    levels = local.agg(F.max("depth")).first()[0] or 0
-    here = local.where("depth = 0").join(roots, FRAME).select(*FRAME, "k", F.col("r").alias("rg"), "x", "y", "z")
-    done = [here]
-    for d in range(1, levels + 1):
-        up = here.select(*FRAME, F.col("k").alias("parent"), F.col("rg").alias("rp"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
-        j = local.where(F.col("depth") == d).join(up, [*FRAME, "parent"])
-        pair = (F.col("r"), F.col("rp")) if inverse else (F.col("rp"), F.col("r"))
-        j = j.withColumn("rg", matmul3(*pair))
-        moved = matvec3(F.col("rg"), F.col("ox"), F.col("oy"), F.col("oz"))
-        # each level is read twice, as a result and as the next level's parents
-        here = cut(j.select(*FRAME, "k", "rg", *[(v + F.col(f"p{c}")).alias(c) for c, v in zip("xyz", moved)]), "fk-level")
-        done.append(here)
-    out = done[0]
-    for df in done[1:]:
-        out = out.unionByName(df)
-    return out
+    packed = local.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("depth", "k", "parent", "r", "ox", "oy", "oz"))).alias("_js"))
+    kind = "struct<rg:array<double>,x:double,y:double,z:double>"
+    key = local.schema["k"].dataType.simpleString()
+
+    def placed(e: Column, up: Column) -> Column:
+        pair = (e["r"], up["rg"]) if inverse else (up["rg"], e["r"])
+
+        def child(rg: Column) -> Column:
+            moved = matvec3(rg, e["ox"], e["oy"], e["oz"])
+            return F.struct(rg.alias("rg"), *[(v + up[c]).alias(c) for c, v in zip("xyz", moved)])
+
+        return F.transform(F.array(matmul3(*pair)), child)[0]
+
+    def step(done: Column, e: Column) -> Column:
+        root = F.struct(e["r"].alias("rg"), F.col("x"), F.col("y"), F.col("z"))
+        below = F.transform(F.array(F.try_element_at(done, e["parent"])), lambda up: F.when(up.isNotNull(), placed(e, up)))[0]
+        return F.map_concat(done, F.create_map(e["k"], F.when(e["depth"] == 0, root).otherwise(below)))
+
+    none = F.map_from_arrays(F.array().cast(f"array<{key}>"), F.array().cast(f"array<{kind}>"))
+    met = packed.join(roots.select(*FRAME, "x", "y", "z"), FRAME).select(*FRAME, F.aggregate("_js", none, step).alias("_done"))
+    return met.select(*FRAME, F.explode("_done").alias("k", "_j")).where("_j IS NOT NULL").select(*FRAME, "k", "_j.rg", "_j.x", "_j.y", "_j.z")
 
 
 def bone_offsets(directions: DataFrame, lengths: DataFrame) -> DataFrame:

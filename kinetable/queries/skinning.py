@@ -387,8 +387,9 @@ def interpolate_skeleton(spark, sf):
 
 
 @query("interpolate_joints", sql(f"""
-select a.seq_id, a.frame_id as frame_a, b.frame_id as frame_b, cast(s.v as integer) as step, a.k, {', '.join(r(f'(1-s.v/4e0)*a.{c}+s.v/4e0*b.{c}', c) for c in 'xyz')}
-from keypoints a join keypoints b on a.seq_id=b.seq_id and a.k=b.k and b.frame_id=a.frame_id+1, {_STEPS}"""))
+select seq_id, frame_id as frame_a, frame_id+1 as frame_b, cast(step as integer) as step, k, {', '.join(r(f'(1-step/4e0)*{c}+step/4e0*n{c}', c) for c in 'xyz')}
+from (select *, unnest([0, 1, 2, 3, 4]) as step from stepped where nf=frame_id+1)""",
+    stepped="select *, " + ", ".join(f"lead({c}) over w as n{c}" for c in "xyz") + ", lead(frame_id) over w as nf from keypoints window w as (partition by seq_id, k order by frame_id)"))
 def interpolate_joints(spark, sf):
     k = br.keypoints(spark, sf)
     return ip.interpolate_joints(k, _pairs(spark, sf, k), 4).select(*ip.PAIR, "step", "k", *rnds("x", "y", "z"))

@@ -165,16 +165,16 @@ def has_cycle(spark, sf):
     return tg.has_cycle(_loose(spark, sf))
 
 
-_JUMP = {"j0": "select skeleton_id, k, case when parent<0 or parent=k then null else parent end as to_ from loose"}
-for _i in range(1, 22):
-    _JUMP[f"j{_i}"] = f"select a.skeleton_id, a.k, b.to_ as to_ from j{_i-1} a left join j0 b on a.skeleton_id=b.skeleton_id and a.to_=b.k"
+_JUMP = {"j0": "select skeleton_id, k, k as low, case when parent<0 or parent=k then null else parent end as to_ from loose"}
+for _i in range(1, 6):  # 32 steps pass through any cycle of 21 bones
+    _JUMP[f"j{_i}"] = f"select a.skeleton_id, a.k, least(a.low, b.low) as low, b.to_ as to_ from j{_i-1} a left join j{_i-1} b on a.skeleton_id=b.skeleton_id and a.to_=b.k"
 
 
 @query("sanitize_parents", sql("""
-select l.skeleton_id, l.k, cast(case when l.parent=l.k or c.k is not null then -1 else l.parent end as bigint) as parent
-from loose l left join (select skeleton_id, k from walk group by 1, 2 having min(to_)>=k and max(back)) c on c.skeleton_id=l.skeleton_id and c.k=l.k""",
-    loose=_LOOSE, **_JUMP,
-    walk="select *, to_=k as back from (" + " union all ".join(f"select skeleton_id, k, to_ from j{i} where to_ is not null" for i in range(21)) + ")"))
+select l.skeleton_id, l.k, cast(case when l.parent=l.k or (c.k is not null and j.low=l.k) then -1 else l.parent end as bigint) as parent
+from loose l join j5 j on j.skeleton_id=l.skeleton_id and j.k=l.k
+left join (select distinct skeleton_id, to_ as k from j5 where to_ is not null) c on c.skeleton_id=l.skeleton_id and c.k=l.k""",
+    loose=_LOOSE, **_JUMP))
 def sanitize_parents(spark, sf):
     return tg.sanitize_parents(_loose(spark, sf))
 
