@@ -65,6 +65,38 @@ def obj_round_trip(spark, sf):
     return v.select(*FRAME, F.col("vertex_id").cast("long").alias("vertex_id"), "p.x", "p.y", "p.z")
 
 
+def _obj_read(spark, sf):
+    """Every frame written as one OBJ file and read back with names and faces, by blocks where it is over a kilobyte."""
+    path = f"{state_dir(spark)}/obj-{uuid.uuid4().hex}"
+    p = br.points(spark, sf)
+    one = obj.obj_lines(p, br.faces(p)).groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("kind", "ord", "value"))).alias("l"))
+    file = F.format_string("frame_%05d.obj", F.col("frame_id"))
+    sinks.write_named_texts(one.select(F.concat_ws("/", "seq_id", file).alias("file"), F.concat_ws("\n", F.col("l.value")).alias("text")), path)
+    return obj.read_obj_frames(spark, path, whole=1024)
+
+
+@query("obj_frames", sql("""
+select seq_id, cast(row_number() over (partition by seq_id order by frame_id)-1 as bigint) as frame_id, printf('frame_%05d', frame_id) as name
+from (select distinct seq_id, frame_id from points)"""))
+def obj_frames(spark, sf):
+    return _obj_read(spark, sf)[0].select(*FRAME, "name")
+
+
+_RANKS = "select seq_id, frame_id, cast(dense_rank() over (partition by seq_id order by frame_id)-1 as bigint) as rk, {0} from {1}"
+
+
+@query("obj_points", sql("select seq_id, rk as frame_id, vertex_id, x, y, z from ranks", ranks=_RANKS.format("vertex_id, x, y, z", "points")))
+def obj_points(spark, sf):
+    return _obj_read(spark, sf)[1]
+
+
+@query("obj_faces", sql("""
+select f.seq_id, r.rk as frame_id, f.face_id, f.v0, f.v1, f.v2 from faces f join (select distinct seq_id, frame_id, rk from ranks) r
+on r.seq_id=f.seq_id and r.frame_id=f.frame_id""", ranks=_RANKS.format("vertex_id", "points")))
+def obj_faces(spark, sf):
+    return _obj_read(spark, sf)[2]
+
+
 @query("materialize_frames", sql("select seq_id, frame_id, i, j, k, n from voxels"))
 def materialize_frames(spark, sf):
     """Half of the frames are cached first; the second call adds only the others."""

@@ -15,6 +15,23 @@ def write_interpolation(meshes: DataFrame, pairs: DataFrame, method: str, steps:
     manifest(pairs, method, steps).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
+def write_named_texts(files: DataFrame, path: str) -> None:
+    """One file below ``path`` per row of ``files(file, text)``, under its own name, in any store that Arrow can open.
+
+    A task that runs again writes the same bytes to the same name."""
+    def write(rows) -> None:
+        from pyarrow.fs import FileSystem
+
+        store, root = FileSystem.from_uri(path)
+        for row in rows:
+            name = f"{root}/{row['file']}"
+            store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(name) as f:
+                f.write(row["text"].encode())
+
+    files.select("file", "text").foreachPartition(write)
+
+
 def write_metric_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path)
 

@@ -27,6 +27,27 @@ def test_obj_reader(spark, tmp_path):
     assert tri == [(0, 0, 0, 1, 2), (1, 0, 0, 1, 2), (1, 1, 0, 1, 2), (1, 2, 0, 2, 3)]
 
 
+def test_obj_file_of_several_blocks(spark, tmp_path):
+    """A file read by blocks of 4 kB gives what it gives as one row, and so does one beside it that is small."""
+    rng = np.random.default_rng(3)
+    d = tmp_path / "seq"
+    d.mkdir()
+    lines = [f"v {x:.6f} {y:.6f} {z:.6f}" if i % 3 else f"f {i % 9 + 1}/2 -1 {i % 5 + 1}//3" + " 4" * (i % 3 + i % 2) for i, (x, y, z) in enumerate(rng.normal(size=(4000, 3)))]
+    lines[50:50] = ["# note", "", "vn 0 0 1", "  v\t7  8 9 ", "f 1 2"]
+    (d / "big.obj").write_text("\n".join(lines))
+    (d / "a.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        names, points, faces = obj.read_obj_frames(spark, str(tmp_path), whole=1000)
+        assert spark.read.text(str(tmp_path), recursiveFileLookup=True).rdd.getNumPartitions() > 10
+        got = [sorted(map(tuple, df.collect())) for df in (names, points, faces)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [sorted(map(tuple, df.collect())) for df in obj.read_obj_frames(spark, str(tmp_path))]
+    assert len(got[1]) > 2000
+
+
 def test_obj_writer(spark, cloud, tmp_path):
     faces = spark.createDataFrame([("s", f, 0, 0, 1, 2) for f in range(3)], "seq_id string, frame_id long, face_id long, v0 long, v1 long, v2 long")
     obj.write_obj_frames(cloud(stretched()), faces, str(tmp_path / "o"))
