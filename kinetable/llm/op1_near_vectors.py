@@ -210,17 +210,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """vec_id, n_links, component_id, kept for every row.
 
     Null, zero and partly null or non-finite vectors link with nothing; vectors of different length neither.  Copies link
-    with each other.  Rows that repeat an id are one node, whose links are counted over all its rows."""
+    with each other.  A row is a vector: of rows that share an id each has the links of its own vector, to other rows; in
+    components an id is one node."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     src = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
-    good = src.where(usable() & F.col("vec_id").isNotNull())
-    keyed = good.select("vec_id", "embedding", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
-    first = cut(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight"),
-                                              F.any_value("embedding").alias("embedding")), "vectors")
+    takes_part = usable() & F.col("vec_id").isNotNull()
+    keys = {"k1": F.when(takes_part, F.xxhash64("embedding")), "k2": F.when(takes_part, F.xxhash64(F.lit(1), "embedding"))}
+    keyed = src.withColumns(keys)
+    first = keyed.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(
+        F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.any_value("embedding").alias("embedding"))
+    # a vector has a number of its own: two of them may have one smallest id
+    first = cut(first.withColumn("node", F.monotonically_increasing_id()), "vectors")
     count = directions_for(first.count())
     tail, width = calibrate(count, threshold)
-    listed = cut(first.select("first", "embedding", "weight").mapInArrow(_listed(count, tail), LISTED), "lists")
+    listed = cut(first.select("node", "embedding", "weight").mapInArrow(_listed(count, tail), LISTED), "lists")
     sizes = cut(listed.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     groups = max(1, listed.count() // GROUP_ROWS)
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
@@ -232,12 +236,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                            F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"))
     counted = cut(placed.groupBy("group", "x", "y").applyInArrow(_count_group(width, threshold), "vec_id long, links long, peer long"), "links")
     links = counted.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    own = keyed.select("vec_id", "k1", "k2").join(first.drop("embedding"), ["k1", "k2"])
-    labels = components(counted.select(F.col("vec_id").alias("src"), F.col("peer").alias("dst")).unionByName(
-        own.select(F.col("vec_id").alias("src"), F.col("first").alias("dst")).where("src <> dst")))
-    own = own.join(links.withColumnRenamed("vec_id", "first"), "first", "left").groupBy("vec_id").agg(
-        F.sum(F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
-    out = src.select("vec_id").join(own, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    found = cut(first.select("node", "k1", "k2", "first", "weight").join(links.withColumnRenamed("vec_id", "node"), "node", "left").select(
+        "node", "k1", "k2", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "found")
+    smallest = lambda node, name: found.select(F.col("node").alias(node), F.col("first").alias(name))
+    across = counted.select("vec_id", "peer").join(smallest("vec_id", "src"), "vec_id").join(smallest("peer", "dst"), "peer").select("src", "dst")
+    good = keyed.where("k1 IS NOT NULL").select("vec_id", "k1", "k2").join(found, ["k1", "k2"])
+    labels = components(across.unionByName(good.select(F.col("vec_id").alias("src"), F.col("first").alias("dst")).where("src <> dst")))
+    rest = keyed.where("k1 IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"))
+    out = good.select("vec_id", F.col("n_links").cast("long").alias("n_links")).unionByName(rest)
+    out = out.join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", "n_links", component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
