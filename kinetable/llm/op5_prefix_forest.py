@@ -67,8 +67,11 @@ def _prefix(code: str, level: Column) -> Column:
     return F.call_function("shiftright", F.col(code), (F.lit(BITS) - level).cast("int"))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids."""
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, distinct: bool = True) -> np.ndarray:
+    """Places of the k largest scores, ties to smaller ids; of an id that is not ``distinct`` the largest alone."""
+    if not distinct:
+        order = np.lexsort([ids, -scores])
+        return order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
     if len(scores) > 4 * k:
         at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     else:
@@ -83,13 +86,14 @@ def _score(k: int):
         if len(data) and len(queries):
             data = data.sort_by([("code", "ascending"), ("vec_id", "ascending")])
             code, ids = data["code"].to_numpy(), data["vec_id"].to_numpy()
+            distinct = len(np.unique(ids)) == len(ids)
             x = np.array([np.frombuffer(v, np.float64) for v in data["vector"].to_pylist()])
             for q, vector, own, level in zip(*[queries[c].to_pylist() for c in ("query_id", "vector", "code", "level")], strict=True):
                 low = own >> (BITS - level) << (BITS - level)
                 a, b = np.searchsorted(code, [low, low + (1 << (BITS - level))])
                 # one product a row, whatever rows stand beside it: the same bits in every tree
                 s = np.einsum("ij,j->i", x[a:b], np.frombuffer(vector, np.float64))
-                near = _best(np.where(ids[a:b] == q, -np.inf, s), ids[a:b], k)
+                near = _best(np.where(ids[a:b] == q, -np.inf, s), ids[a:b], k, distinct)
                 near = near[ids[a:b][near] != q]
                 for col, v in zip(out, (np.full(len(near), q), ids[a:b][near], s[near]), strict=True):
                     col.append(v)
@@ -107,7 +111,8 @@ def _search(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    return top_k(found.dropDuplicates(["query_id", "vec_id"]), ["query_id"], [F.desc("score"), F.col("vec_id")], k, "rank")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return top_k(once, ["query_id"], [F.desc("score"), F.col("vec_id")], k, "rank")
 
 
 def _levels(rows: DataFrame, queries: DataFrame, length: float, dim: int, k: int) -> int:
@@ -141,8 +146,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """query_id, rank, vec_id, score: for each row where ``is_query`` holds its k nearest other rows by inner product.
 
     Vectors that are null, zero or partly null or non-finite, null ids, and vectors of another length than the most
-    common one take no part.  Of rows that repeat an id, each is a candidate, and a result lists an id once.  With fewer
-    than k other rows all are returned; an empty table gives an empty result."""
+    common one take no part.  Of rows that repeat an id, each is a candidate, and a result lists an id once, by its
+    nearest row; a query whose id repeats has the nearest of all its rows.  With fewer than k other ids all are returned; an empty table gives an empty result."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     src = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"),
@@ -155,9 +160,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     dim, length = shape["dim"], shape["l"] ** 0.5
     good = good.where(F.size("embedding") == dim)
     # of copies of one vector only the k + 1 smallest ids can be among a query's nearest
-    keyed = good.withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(1), "embedding")})
+    keyed = good.withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(1), "embedding")}).dropDuplicates(["k1", "k2", "vec_id"])
     rows = cut(top_k(keyed, ["k1", "k2"], ["vec_id"], k + 1), "vectors")
-    n = rows.count()
+    n, others = rows.agg(F.count(F.lit(1)), F.count_distinct("vec_id")).first()
     level = _levels(rows, good.where("is_query"), length, dim, k)
     data = _coded(rows, dim, length, False)
     queries = _coded(good.where("is_query"), dim, length, True).withColumnRenamed("vec_id", "query_id")
@@ -185,7 +190,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     # queries with too few candidates: all rows, in blocks
     full = good.where("is_query").select(F.col("vec_id").alias("query_id")).distinct()
     short = cut(full.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(
-        F.coalesce("n", F.lit(0)) < min(k, n - 1)).select("query_id"), "short")
+        F.coalesce("n", F.lit(0)) < min(k, others - 1)).select("query_id"), "short")
     if short.limit(1).count():
         split = max(1, n // BLOCK)
         one = data.where("tree = 0").withColumn("cell", F.lit(0).cast("long")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(split)).cast("int"))
