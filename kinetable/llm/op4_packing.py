@@ -138,22 +138,26 @@ def _batch(cols: list[list], id_type: pa.DataType) -> pa.RecordBatch:
 def pack(pieces_: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` from 1 to capacity, ``doc_id`` and ``start``.
 
-    All other columns come along through two shuffles; leave long ones (ids) away and join them by need.  Rows alike in
-    all columns are pieces of their own.  An empty input gives an empty output.  Lengths out of range raise."""
-    spark = pieces_.sparkSession
-    cols = pieces_.columns
-    src = cut(pieces_, "pieces")
+    All other columns come along, whatever their names, through two shuffles; leave long ones (ids) away and join them by
+    need; columns ``sequence_id`` and ``offset`` are replaced.  Rows alike in all columns, or without an id, are pieces of
+    their own and are dealt over the buckets like others.  An empty input gives an empty output.  Lengths out of range raise."""
+    pieces_ = pieces_.drop("sequence_id", "offset")
+    names = pieces_.columns
+    cols = [c if c in ("doc_id", "start", "length") else f"c{i}" for i, c in enumerate(names)]
+    inner = pieces_.toDF(*cols)
+    types = {f.name: f.dataType.simpleString() for f in inner.schema}
+    src = cut(inner.withColumn("_salt", F.monotonically_increasing_id()), "pieces")
     if src.where(~F.col("length").between(1, capacity) | F.col("length").isNull()).limit(1).count():
         raise ValueError(f"a piece has a length out of 1 to {capacity}")
     buckets = max(1, src.count() // bucket_rows)
     src = src.withColumn("_k", F.floor(F.lit(capacity) / F.col("length")).cast("int")).withColumn(
-        "_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+        "_bucket", F.pmod(F.xxhash64("doc_id", "start", "_salt"), F.lit(buckets)))
     totals = src.groupBy("_k", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     per_class = Window.partitionBy("_k")
     before = per_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut(totals.select("_k", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
                                F.sum("_n").over(per_class).alias("_all")), "class-totals")
-    inside = Window.partitionBy("_k", "_bucket").orderBy("doc_id", "start")
+    inside = Window.partitionBy("_k", "_bucket").orderBy("doc_id", "start", "_salt")
     ranked = src.withColumn("_row", F.row_number().over(inside)).join(totals, ["_k", "_bucket"]).withColumn(
         "_rank", F.col("_before") + F.col("_row") - 1)
     full = F.col("_rank") < F.col("_all") - F.col("_all") % F.col("_k")
@@ -163,7 +167,7 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET
         "sequence_id", (F.floor(F.col("_rank") / F.col("_k")) * 2 * capacity + F.col("_k")).cast("long"))
     whole = whole.withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0)).cast("long"))
     rest = ranked.where("NOT _full")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces_.schema)}, sequence_id long, offset long"
+    schema = f"{', '.join(f'{c} {types[c]}' for c in cols)}, sequence_id long, offset long"
 
     def first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -182,7 +186,7 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET
         yield rows.assign(sequence_id=np.array(seq) * 2 * capacity, offset=off)[[*cols, "sequence_id", "offset"]]
 
     last = cut(rest.drop("_full", "_k"), "rest").coalesce(1).mapInPandas(first_fit, schema)
-    return whole.select(*cols, "sequence_id", "offset").unionByName(last)
+    return whole.select(*cols, "sequence_id", "offset").unionByName(last).toDF(*names, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
