@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, pick, rows_of
+from .common import bounded_batches, cut, pick, rows_of
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
-PER_LABEL, MAX_LABELS, EPOCHS, RATE, REJECT_RATE = 500, 64, 8, 0.5, 0.001
+PER_LABEL, EPOCHS, RATE, REJECT_RATE = 500, 8, 0.5, 0.001
 UNKNOWN = "und"
 #: Chunks longer than this are not kept in the cache.
 LONG = 64
@@ -107,18 +107,14 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
           per_label: int = PER_LABEL, seed: int = 7) -> Model:
     """A model from the rows of ``docs`` where ``may_learn`` holds and text and label are not null.
 
-    Of more than ``MAX_LABELS`` labels the most frequent are learned.  Texts without a letter teach nothing; without any
+    Every label that occurs is learned, from about ``per_label`` texts.  Texts without a letter teach nothing; without any
     usable row the model knows no label and predicts ``und``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.where(may_learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     rows = pick(rows, id=id_col, text=text_col, label=label_col)
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
-    if not counts:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("label") == r["label"], F.lit(per_label / r["count"])).otherwise(share)
+    # a row per label, written, so that it is joined at its true size
+    counts = cut(rows.groupBy("label").agg((F.lit(float(per_label)) / F.count(F.lit(1))).alias("share")), "labels")
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +127,10 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int32())),
                                           pa.array(out[2], pa.list_(pa.float32()))], ["label", "ids", "part"])
 
-    got = rows.where(draw < share).select("label", "text").mapInArrow(features, "label string, ids array<int>, part array<float>").toArrow()
-    labels = sorted({r["label"] for r in counts})
+    got = rows.join(counts, "label").where(draw < F.col("share")).select("label", "text").mapInArrow(features, "label string, ids array<int>, part array<float>").toArrow()
+    labels = sorted(r["label"] for r in counts.select("label").collect())
+    if not labels:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     return fit([labels.index(x) for x in got["label"].to_pylist()],
                [(i.values.to_numpy(), p.values.to_numpy()) for i, p in zip(got["ids"], got["part"], strict=True)], labels, seed)
 
