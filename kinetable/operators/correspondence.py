@@ -170,15 +170,15 @@ def feature_nearest(ta: DataFrame, cb: DataFrame, keys: list[str], k: int, large
         m *= 4
 
 
-def unify_anchor(points: DataFrame, template: DataFrame) -> DataFrame:
-    """Every frame on the vertices of its sequence's template frame: frames of the template's size keep their
+def unify_anchor(points: DataFrame, template: DataFrame, shared_topology: str = "equal_count") -> DataFrame:
+    """Every frame on the vertices of its sequence's template frame: frames of its topology (``match_frames``) keep their
     points, others take the point nearest to each template vertex."""
     keys = FRAME
     frames = points.select(*FRAME).distinct()
     t = template.select("seq_id", F.col("frame_id").alias("_tf"))
     anchors = points.join(t, "seq_id").where(F.col("frame_id") == F.col("_tf")).drop("frame_id", "_tf")
     rows = anchors.join(frames, "seq_id").select(*FRAME, "vertex_id", "x", "y", "z")
-    matched = match_frames(rows, points, keys)
+    matched = match_frames(rows, points, keys, shared_topology=shared_topology)
     return matched.select(*FRAME, "vertex_id", *[F.col(f"b{c}").alias(c) for c in "xyz"])
 
 

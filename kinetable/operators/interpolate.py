@@ -7,11 +7,14 @@ result row carries its pair, its step and t.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import names
 from ..functions.rotation import add_nlerp, add_slerp, compose, quat_to_matrix
 from ..functions.space import from_unit, lerp
+from ..plans.lineage import cut, sized
+from ..plans.ranking import position_by_id
 from ..schema import FRAME
 from .correspondence import match_frames
 from .skin import linear_blend_skin, translation_skin
@@ -43,18 +46,18 @@ def to_world(df: DataFrame, box: DataFrame) -> DataFrame:
         {c: from_unit(F.col(c), F.col(f"bmin_{c}"), F.col("blen")) for c in "xyz"}).drop("bmin_x", "bmin_y", "bmin_z", "blen")
 
 
-def interpolate_direct(points: DataFrame, pairs: DataFrame, steps: int, method: str = "nearest") -> DataFrame:
-    """Straight lines from frame a's vertices to their matches in frame b (``nearest`` or ``idw``)."""
+def interpolate_direct(points: DataFrame, pairs: DataFrame, steps: int, method: str = "nearest", shared_topology: str = "equal_count") -> DataFrame:
+    """Straight lines from frame a's vertices to their matches in frame b (``nearest`` or ``idw``); ``shared_topology`` says
+    which frames match by id (``match_frames``)."""
     a, b = of_frame(points, pairs, "frame_a"), of_frame(points, pairs, "frame_b")
     pick = lambda df: df.select(*PAIR, "vertex_id", "x", "y", "z")
-    matched = match_frames(pick(a), pick(b), PAIR, method)
+    matched = match_frames(pick(a), pick(b), PAIR, method, shared_topology=shared_topology)
     return with_steps(matched, steps).select(
         *PAIR, "step", "t", "vertex_id", *[lerp(F.col(c), F.col(f"b{c}"), F.col("t")).alias(c) for c in "xyz"])
 
 
 def _numbered(pairs: DataFrame) -> DataFrame:
     """Pairs with a dense number inside their sequence, so they can be tiled."""
-    from ..plans.ranking import position_by_id
     return position_by_id(pairs.select(*PAIR), ["seq_id"], ["frame_a", "frame_b"], "pair")
 
 
@@ -146,19 +149,6 @@ def spline_coefficients(keys: np.ndarray, times: np.ndarray) -> np.ndarray:
         + (eye[seg] / hs - second[seg] * hs / 6) * u + (eye[seg + 1] / hs - second[seg + 1] * hs / 6) * v
 
 
-def spline_times(spark, keys: list[int], total: int) -> DataFrame:
-    """Output times with their key interval: (i, t, key_a, key_b, u); a time on a key belongs to the interval that
-    ends there, the first time to the first interval."""
-    t = np.linspace(keys[0], keys[-1], total)
-    k = np.asarray(keys, dtype=float)
-    seg = np.clip(np.searchsorted(k, t, side="left") - 1, 0, max(len(k) - 2, 0))
-    nxt = np.minimum(seg + 1, len(k) - 1)
-    span = np.where(k[nxt] > k[seg], k[nxt] - k[seg], 1.0)
-    u = np.clip((t - k[seg]) / span, 0.0, 1.0)
-    rows = [(i, float(t[i]), int(k[seg[i]]), int(k[nxt[i]]), float(u[i])) for i in range(total)]
-    return spark.createDataFrame(rows, "frame_id long, t double, key_a long, key_b long, u double")
-
-
 def spline_segments(times: DataFrame, keys: DataFrame) -> DataFrame:
     """Range lookup for keys that live in a table: every time meets the interval (key_a, key_b] it falls in.
 
@@ -175,28 +165,102 @@ def spline_segments(times: DataFrame, keys: DataFrame) -> DataFrame:
     return j.withColumn("u", u).drop("ks", "i")
 
 
-def interpolate_spline(bones: DataFrame, keys: list[int], total: int) -> DataFrame:
-    """Bone poses along key frames: translations by a cubic spline, rotations by piecewise slerp.
+#: Keys of one run of a spline, and keys on either side (fewer than a run has) that its solution looks at.
+RUN_KEYS, HALO_KEYS = 1024, 64
 
-    The spline weights depend only on the key times and form a total x keys table (both parameters); joined with
-    the key poses and summed they give all bones of all sequences at once.
-    """
-    if len(keys) < 2:
-        raise ValueError("at least two key frames")
-    spark = bones.sparkSession
-    times = np.linspace(keys[0], keys[-1], total)
-    c = spline_coefficients(np.asarray(keys, dtype=float), times)
-    table = spark.createDataFrame([(i, int(keys[j]), float(c[i, j])) for i in range(total) for j in range(len(keys))],
-                                  "out long, frame_id long, c double")
-    at_keys = bones.where(F.col("frame_id").isin([int(k) for k in keys]))
-    moved = at_keys.join(table, "frame_id").groupBy("seq_id", F.col("out").alias("frame_id"), "k").agg(
-        *[F.sum(F.col("c") * F.col(f"t{a}")).alias(f"t{a}") for a in "xyz"])
-    spots = spline_times(spark, keys, total)
-    pick = lambda name: at_keys.select("seq_id", F.col("frame_id").alias(f"key_{name}"), "k", F.col("q").alias(f"q{name}"))
-    turned = spots.join(pick("a"), "key_a").join(pick("b"), ["seq_id", "key_b", "k"])
-    turned = add_slerp(turned, "qa", "qb", "u", "q").select(*FRAME, "k", "q", "u")
-    return moved.join(turned, [*FRAME, "k"]).withColumn(
-        "m", compose(quat_to_matrix(F.col("q")), F.col("tx"), F.col("ty"), F.col("tz")))
+
+def second_derivatives(keys: np.ndarray, values: np.ndarray, starts: bool, ends: bool) -> np.ndarray:
+    """Second derivatives at the keys of the cubic through ``values`` [key, column], by elimination along the keys.
+
+    Where the keys start or end, the third derivative is the same on both sides of the next key; elsewhere the second
+    derivative is taken to be zero.  Two keys give a line, three at both ends the parabola through them."""
+    n = len(keys)
+    if n < 3:
+        return np.zeros_like(values)
+    h, slope = np.diff(keys), np.diff(values, axis=0) / np.diff(keys)[:, None]
+    if n == 3 and starts and ends:
+        return np.repeat(2 * (slope[1:] - slope[:1]) / (keys[2] - keys[0]), 3, axis=0)
+    low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    right = 6 * np.diff(slope, axis=0)
+    # the first and the last unknown, in terms of their two neighbours, go into the rows beside them
+    if starts:
+        mid[0] += h[0] * (h[0] + h[1]) / h[1]
+        up[0] -= h[0] * h[0] / h[1]
+    if ends:
+        mid[-1] += h[-1] * (h[-1] + h[-2]) / h[-2]
+        low[-1] -= h[-1] * h[-1] / h[-2]
+    out = np.zeros_like(values)
+    for i in range(1, n - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * up[i - 1]
+        right[i] -= f * right[i - 1]
+    out[n - 2] = right[-1] / mid[-1]
+    for i in range(n - 4, -1, -1):
+        out[i + 1] = (right[i] - up[i] * out[i + 2]) / mid[i]
+    if starts:
+        out[0] = ((h[0] + h[1]) * out[1] - h[0] * out[2]) / h[1]
+    if ends:
+        out[-1] = ((h[-1] + h[-2]) * out[-2] - h[-1] * out[-3]) / h[-2]
+    return out
+
+
+def spline_pieces(at_keys: DataFrame) -> DataFrame:
+    """One row per bone and interval between keys: the poses and the second derivatives of the translation at its ends.
+
+    Keys are cut into runs of bounded length.  What a key far off does to a cubic spline halves with every key between, so
+    a run that looks ``HALO_KEYS`` keys beyond its ends has the whole spline's derivatives to the last bit, and runs are
+    solved independently, in time linear in their keys."""
+    track, per_run = ["seq_id", "k"], RUN_KEYS
+    placed = cut(position_by_id(at_keys.select(*FRAME, "k", "q", "tx", "ty", "tz"), track, ["frame_id"], "pos"), "spline-keys")
+    counts = placed.groupBy(*track).agg(F.count(F.lit(1)).alias("n"))
+    run = lambda shift: F.floor((F.col("pos") + F.lit(shift)) / F.lit(per_run))
+    runs = placed.join(counts, track).withColumn("run", F.explode(F.array_distinct(F.array(run(-HALO_KEYS - 1), run(0), run(HALO_KEYS)))))
+    fields = {f.name: f for f in runs.schema.fields}
+    number = lambda c: T.StructField(c, T.DoubleType())
+    quat = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[fields[c] for c in track], T.StructField("key_a", T.LongType()), T.StructField("key_b", T.LongType()),
+                           T.StructField("qa", quat), T.StructField("qb", quat), *[number(f"{v}{c}{e}") for v in "tm" for c in "xyz" for e in "ab"]])
+
+    def solve(group: pa.Table) -> pa.Table:
+        group = group.sort_by("pos")
+        pos, keys = group["pos"].to_numpy(), group["frame_id"].to_numpy()
+        values = np.stack([group[f"t{c}"].to_numpy() for c in "xyz"], axis=1)
+        m = second_derivatives(keys.astype(np.float64), values, pos[0] == 0, pos[-1] == group["n"][0].as_py() - 1)
+        a = np.flatnonzero((pos[:-1] // per_run) == group["run"][0].as_py())
+        rows = group.take(pa.array(a))
+        return pa.table({**{c: rows[c] for c in track}, "key_a": keys[a], "key_b": keys[a + 1], "qa": rows["q"], "qb": group["q"].take(pa.array(a + 1)),
+                         **{f"{v}{c}{e}": arr[a + off, i] for v, arr in (("t", values), ("m", m)) for i, c in enumerate("xyz") for e, off in (("a", 0), ("b", 1))}})
+
+    return runs.groupBy(*track, "run").applyInArrow(solve, schema)
+
+
+def interpolate_spline(bones: DataFrame, keys: list[int] | DataFrame, total: int) -> DataFrame:
+    """Bone poses along key frames: translations by a cubic not-a-knot spline, rotations by piecewise slerp.
+
+    ``keys`` is a list for all sequences or a table (seq_id, key).  ``total`` frames are spread evenly from a sequence's first
+    key to its last; a time on a key belongs to the interval that ends there, the first time to the first interval.  A bone
+    without a pose at some key goes by those it has, and has no frames beyond them.
+
+    Each interval lists the output frames that fall into it, so times are not looked up."""
+    if isinstance(keys, list):
+        if len(keys) < 2:
+            raise ValueError("at least two key frames")
+        keys = bones.select("seq_id").distinct().withColumn("key", F.explode(F.array(*[F.lit(int(k)).cast("long") for k in keys])))
+    keys = keys.select("seq_id", F.col("key").cast("long").alias("frame_id")).distinct()
+    ends = sized(keys.groupBy("seq_id").agg(F.min("frame_id").alias("_first"), F.max("frame_id").alias("_last")), "spline-ends")
+    pieces = spline_pieces(bones.join(keys, ["seq_id", "frame_id"], "left_semi")).join(ends, "seq_id")
+    length = F.col("_last") - F.col("_first")
+    spot = lambda key: F.floor((F.col(key) - F.col("_first")) * F.lit(total - 1) / length).cast("long")
+    low = F.when(F.col("key_a") == F.col("_first"), 0).otherwise(spot("key_a") + 1)
+    each = pieces.where(low <= spot("key_b")).withColumn("frame_id", F.explode(F.sequence(low.cast("long"), spot("key_b"))))
+    t = F.col("_first") + F.col("frame_id") * (length / F.lit(float(max(1, total - 1))))
+    each = each.withColumn("u", (t - F.col("key_a")) / (F.col("key_b") - F.col("key_a")))
+    h, u, v = F.col("key_b") - F.col("key_a"), F.col("u"), 1 - F.col("u")
+    bend = lambda c: ((v * v * v - v) * F.col(f"m{c}a") + (u * u * u - u) * F.col(f"m{c}b")) * h * h / 6
+    each = each.select(*FRAME, "k", "qa", "qb", "u", *[(v * F.col(f"t{c}a") + u * F.col(f"t{c}b") + bend(c)).alias(f"t{c}") for c in "xyz"])
+    # written, so that the matrix is made of quaternions and not of all that they are made of
+    turned = cut(add_slerp(each, "qa", "qb", "u", "q").select(*FRAME, "k", "tx", "ty", "tz", "q", "u"), "spline-poses")
+    return turned.withColumn("m", compose(quat_to_matrix(F.col("q")), F.col("tx"), F.col("ty"), F.col("tz")))
 
 
 UNIFIED_ORDER = ["skeleton_driven", "nearest_neighbor", "original"]

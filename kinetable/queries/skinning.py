@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from . import query
@@ -414,7 +415,13 @@ query("interpolate_pose_linear", sql(f"select seq_id, frame_id, vertex_id, {rs('
 _KEYS = [0, 4, 9, 15, 22, 29]
 
 
-@query("spline_translation")
+_WEIGHTS = ", ".join(f"({i}, {k}, {c!r})" for i, row in enumerate(ip.spline_coefficients(np.array(_KEYS, float), np.linspace(_KEYS[0], _KEYS[-1], 40)))
+                     for k, c in zip(_KEYS, row.tolist()))
+
+
+@query("spline_translation", sql(f"""
+select seq_id, i as frame_id, k, {', '.join(r(f'sum(c*t{a})', f't{a}') for a in 'xyz')} from quat join (values {_WEIGHTS}) w(i, key, c) on frame_id=key
+where seq_id in (select seq_id from clouds) group by 1, 2, 3"""))
 def spline_translation(spark, sf):
     s = ip.interpolate_spline(bones_q(spark, sf, True), _KEYS, 40)
     return s.select(*FRAME, "k", *rnds("tx", "ty", "tz"))

@@ -139,6 +139,24 @@ def test_spline_weights():
     assert np.allclose(ip.spline_coefficients(three[:2], t) @ (3 * three[:2] + 1), 3 * t + 1)
 
 
+def test_spline_runs_equal_the_dense_solution(spark, monkeypatch):
+    """Keys of every sequence from a table, in runs of seventy; 2, 3, 4 and many keys, unevenly spaced."""
+    rng = np.random.default_rng(14)
+    monkeypatch.setattr(ip, "RUN_KEYS", 70)
+    keys = {s: np.sort(rng.choice(600, n, replace=False)) for s, n in (("a", 2), ("b", 3), ("c", 4), ("d", 90), ("e", 8), ("f", 9))}
+    pose = {(s, int(f)): rng.normal(size=3) for s, ks in keys.items() for f in ks}
+    rows = [(s, f, 0, [0.0, 0.0, 0.0, 1.0], *map(float, v)) for (s, f), v in pose.items()] + [("a", 601, 0, [0.0, 0.0, 0.0, 1.0], 9.0, 9.0, 9.0)]
+    bones = spark.createDataFrame(rows, "seq_id string, frame_id long, k long, q array<double>, tx double, ty double, tz double")
+    table = spark.createDataFrame([(s, int(f)) for s, ks in keys.items() for f in ks], "seq_id string, key long")
+    got: dict = {}
+    for x in ip.interpolate_spline(bones, table, 50).orderBy("frame_id").collect():
+        got.setdefault(x.seq_id, []).append((x.tx, x.ty, x.tz))
+    for s, ks in keys.items():
+        c = ip.spline_coefficients(ks.astype(float), np.linspace(ks[0], ks[-1], 50))
+        want = c @ np.array([pose[s, int(f)] for f in ks])
+        assert np.allclose(np.array(got[s]), want, atol=1e-8), s
+
+
 def test_rigid_fit_recovers_bone_motion(spark, cloud):
     rng = np.random.default_rng(7)
     rest = rng.normal(size=(12, 3))
