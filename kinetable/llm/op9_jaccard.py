@@ -5,16 +5,23 @@ token among the first n - ceil(t n) + 1 tokens of each, under any order of all t
 come last, by their document frequency, and the others by a hash; each order has a hash of its own.  A pair is verified
 only if it shares such a prefix token under every order.
 
-Components need no pair inside what is linked already.  So after copies of one set are joined, each document is first
-compared with one member of the lists it shares most tokens in; then come all pairs that share prefix tokens and lie in
-different components, verified exactly from the texts.
+Lists of the first order meet inside tasks.  A pair leaves the task only if the sizes allow similarity, the prefixes under the
+second order intersect, and the parity sketches differ in few bits: a bit is the parity of the tokens that fall on it, so at
+least as many tokens are on one side alone as bits differ, and similar sets have at most a ninth of their sizes' sum there.
+All three are exact bounds; what is left is verified from the texts.
+
+Components need no pair inside what is linked already.  So there are two rounds: in the first each list names leaders, and
+a row that passes with a leader joins it and meets no other row of the list; verified links are joined to components.  In the
+second all pairs of the lists that lie in different components and were not verified yet are compared.
 
 Scale, in passes over the texts:
 1. Tokens leave each batch sorted, counted and packed by hash range, and are counted per range.  Of those in more than ``FREQUENT`` documents the ``KNOWN`` most frequent (a bound on what tasks get) steer
    the orders; without them results would be the same.
-2. Sizes and signatures of the sets, and prefixes.  Frequent tokens become rows at once: no task gathers their lists; minima and counts are combined in the map
-   tasks and Spark splits large partitions of the joins.  Others go packed by range, to keep those that occur twice.
-3. Texts of documents in a pair, found through a semi-join, broadcast only below a checked number of ids.
+2. Signatures, sketches and second prefixes of the sets, and first prefixes.  Frequent tokens become rows at once: no task gathers their lists; counts are
+   combined in the map tasks.  Others go packed by range, to keep those that occur twice.
+3. Lists are dealt over hash buckets; one of more than ``BLOCK`` rows becomes tiles of two blocks each.  Pairs of such a list are
+   still compared in memory one by one, where its rows are of many components; only those that pass leave.
+4. Texts of documents in a pair, found through a semi-join, broadcast only below a checked number of ids.
 """
 
 from __future__ import annotations
@@ -33,6 +40,12 @@ WORDS, NUMERATOR, DENOMINATOR, ORDERS = 5, 4, 5, 2
 FREQUENT, KNOWN = 16, 1 << 20
 #: Tokens of one hash range, on average, and of a document, to choose the number of ranges.
 RANGE_TOKENS, DOC_TOKENS = 1 << 20, 512
+#: Rows of one block of a list, of one bucket of lists, and pairs compared at once.
+BLOCK, BUCKET_ROWS, PAIRS = 4096, 1 << 14, 1 << 17
+#: 64-bit words of a parity sketch: at least two bits a token between these sizes.
+SKETCH_WORDS = (8, 256)
+#: Words whose hashes a worker keeps, and the longest of them.
+KEPT_WORDS, KEPT_BYTES = 1 << 17, 64
 #: Ids that a semi-join broadcasts at most: 32 MB of them.
 BROADCAST_IDS = 1 << 22
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -43,7 +56,9 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_BYTES:
+            self[word] = out
         return out
 
 
@@ -68,7 +83,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     found = words_of(text)
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 1 << 19:
+    if len(_WORDS) > KEPT_WORDS:
         _WORDS.clear()
     h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
     if len(h) < words:
@@ -120,19 +135,32 @@ def place(tokens: np.ndarray, ranges: int) -> np.ndarray:
     return ((where << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
+def _by_range(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The ranges that occur in sorted keys, and where."""
+    found, first = np.unique(keys >> 32, return_index=True)
+    for r, start, end in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        yield r, slice(start, end)
+
+
+def sketch_of(s: np.ndarray) -> bytes:
+    """Parity bits of the tokens by their low bits, little-endian."""
+    words = SKETCH_WORDS[0]
+    while words < SKETCH_WORDS[1] and 32 * words < len(s):
+        words *= 2
+    odd = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def frequent(docs: DataFrame, ranges: int) -> dict[int, int]:
     """Document counts of the most frequent tokens, by range and bits: range * 2^32 + bits."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             keys, n = np.unique(place(np.concatenate(sets) if sets else np.zeros(0, np.uint64), ranges), return_counts=True)
-            edges = np.searchsorted(keys, np.arange(ranges + 1) * (1 << 32))
             rows = []
-            for r in range(ranges):
-                part = keys[edges[r]:edges[r + 1]]
-                if len(part):
-                    steps = np.diff(part, prepend=r << 32).astype(np.uint32)
-                    rows.append((r, len(part), _pack(steps), _pack(n[edges[r]:edges[r + 1]].astype(np.uint16))))
+            for r, part in _by_range(keys):
+                steps = np.diff(keys[part], prepend=r << 32).astype(np.uint32)
+                rows.append((r, len(steps), _pack(steps), _pack(n[part].astype(np.uint16))))
             yield _batches(rows, ["range", "n", "steps", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     def total(group: pa.Table) -> pa.Table:
@@ -152,81 +180,190 @@ def frequent(docs: DataFrame, ranges: int) -> dict[int, int]:
     return dict(zip(top["token"].to_pylist(), top["df"].to_pylist(), strict=True))
 
 
-def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles and the two halves of a signature that equal sets share, of every row; and ord, token, doc_id,
-    n: prefix tokens that more than one document has in its prefix, or that are frequent."""
+def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, n_shingles and the two halves of a signature that equal sets share, of every row; one row a distinct set: node
+    (its signature), a doc_id, n, sketch, second (32 bits of its tokens in the prefix of the second order); and token, node:
+    tokens of the first order's prefixes that more than one document has there, or that are frequent."""
     tokens = np.array(sorted(known), np.int64)
     counts = np.array([known[t] for t in tokens.tolist()], np.int64)
     frequency = docs.sparkSession.sparkContext.broadcast((tokens, counts))
-    # rows of three kinds: of a document (ord -1), of a frequent token, of a range of others
-    schema = "ord int, range long, token long, doc_id long, n long, sig1 long, sig2 long, tokens binary, docs binary, sizes binary"
-    names, types = [x.split()[0] for x in schema.split(", ")], [pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * 3]
+    # rows of three kinds: of a document (sig1), of a frequent token (token), of a range of others (range)
+    schema = "range long, token long, doc_id long, n long, sig1 long, sig2 long, sketch binary, second binary, tokens binary, nodes binary"
+    names, types = [x.split()[0] for x in schema.split(", ")], [*[pa.int64()] * 6, *[pa.binary()] * 4]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = frequency.value
         for b in batches:
-            seen: dict[bytes, int] = {}
-            light: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-            held: list[list[tuple[int, int, int]]] = [[] for _ in range(ORDERS)]
+            seen: set[tuple] = set()
+            light: list[np.ndarray] = []
+            held: list[tuple[int, int]] = []
             rows: list[tuple] = []
-            for doc_id, text in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0])):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text)
-                sums = [int(mix(s, k).sum(dtype=np.uint64).astype(np.int64)) for k in (7, 8)]
-                rows.append((-1, None, None, doc_id, len(s), *sums, None, None, None))
-                if not len(s) or doc_id is None or seen.setdefault(s.tobytes(), doc_id) != doc_id:
-                    continue  # copies within a batch: the first one stands for all
+                sums = tuple(int(mix(s, k).sum(dtype=np.uint64).astype(np.int64)) for k in (7, 8))
+                if not len(s) or doc_id is None or sums in seen:  # of copies within a batch the first one stands for all
+                    rows.append((None, None, doc_id, len(s), *sums, None, None, None, None))
+                    continue
+                seen.add(sums)
                 key = place(s, ranges)
                 at = np.minimum(np.searchsorted(tokens, key), max(0, len(tokens) - 1))
                 df = np.where(tokens[at] == key, counts[at], 0) if len(tokens) else np.zeros(len(s), np.int64)
                 size = prefix_size(len(s))
-                for o in range(ORDERS):
-                    order = (np.minimum(df, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (mix(s, 11 + o) >> np.uint64(24))
-                    pick_ = np.argpartition(order, size - 1)[:size]
-                    often = pick_[df[pick_] > 0]
-                    rows += [(o, None, k, doc_id, len(s), None, None, None, None, None) for k in key[often].tolist()]
-                    rare = key[pick_[df[pick_] == 0]]
-                    if len(rare):
-                        light[o].append(rare)
-                        held[o].append((doc_id, len(s), len(rare)))
+                first, second = ((np.minimum(df, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (mix(s, 11 + o) >> np.uint64(24)) for o in range(ORDERS))
+                first, second = np.argpartition(first, size - 1)[:size], np.argpartition(second, size - 1)[:size]
+                low = np.unique((s[second] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                rows.append((None, None, doc_id, len(s), *sums, sketch_of(s), low.tobytes(), None, None))
+                rows += [(None, k, None, None, sums[0], *[None] * 5) for k in key[first[df[first] > 0]].tolist()]
+                rare = key[first[df[first] == 0]]
+                if len(rare):
+                    light.append(rare)
+                    held.append((sums[0], len(rare)))
                 if len(rows) > 20_000:
                     yield _batches(rows, names, types)
                     rows = []
-            for o in range(ORDERS):
-                if not light[o]:
-                    continue
-                key = np.concatenate(light[o])
-                times = [h[2] for h in held[o]]
-                doc, size = np.repeat([h[0] for h in held[o]], times).astype(np.int64), np.repeat([h[1] for h in held[o]], times).astype(np.uint32)
+            if light:
+                key = np.concatenate(light)
+                node = np.repeat(np.array([h[0] for h in held], np.int64), [h[1] for h in held])
                 order = np.argsort(key >> 32, kind="stable")
-                key, doc, size = key[order], doc[order], size[order]
-                edges = np.searchsorted(key >> 32, np.arange(ranges + 1))
-                for r in range(ranges):
-                    part = slice(edges[r], edges[r + 1])
-                    if edges[r] < edges[r + 1]:
-                        rows.append((o, r, None, None, edges[r + 1] - edges[r], None, None, _pack((key[part] & 0xFFFFFFFF).astype(np.uint32)),
-                                     _pack(np.diff(doc[part], prepend=0)), _pack(size[part])))
+                key, node = key[order], node[order]
+                for r, part in _by_range(key):
+                    rows.append((r, None, None, part.stop - part.start, *[None] * 4, _pack((key[part] & 0xFFFFFFFF).astype(np.uint32)), _pack(node[part])))
             yield _batches(rows, names, types)
 
     def repeated(group: pa.Table) -> pa.Table:
-        o, r = group["ord"][0].as_py(), group["range"][0].as_py()
-        n = group["n"].to_pylist()
+        r, n = group["range"][0].as_py(), group["n"].to_pylist()
         token = np.concatenate([_unpack(x, k, "uint32") for x, k in zip(group["tokens"].to_pylist(), n, strict=True)]).astype(np.int64)
-        doc = np.concatenate([np.cumsum(_unpack(x, k, "int64")) for x, k in zip(group["docs"].to_pylist(), n, strict=True)])
-        size = np.concatenate([_unpack(x, k, "uint32") for x, k in zip(group["sizes"].to_pylist(), n, strict=True)]).astype(np.int64)
-        order = np.argsort(token, kind="stable")
-        token, doc, size = token[order], doc[order], size[order]
+        node = np.concatenate([_unpack(x, k, "int64") for x, k in zip(group["nodes"].to_pylist(), n, strict=True)])
+        order = np.lexsort((node, token))
+        token, node = token[order], node[order]
+        new = np.append(True, (np.diff(token) != 0) | (np.diff(node) != 0))[:len(token)]
+        token, node = token[new], node[new]
         same = np.diff(token, prepend=-1) == 0
         keep = same | np.append(same[1:], False) if len(same) else same
-        return pa.table({"ord": pa.array(np.full(keep.sum(), o), pa.int32()), "token": token[keep] + (r << 32), "doc_id": doc[keep], "n": size[keep]})
+        return pa.table({"token": token[keep] + (r << 32), "node": node[keep]})
 
     every = cut(docs.mapInArrow(prefixes, schema), "prefixes")
-    rare = every.where("range IS NOT NULL").groupBy("ord", "range").applyInArrow(repeated, "ord int, token long, doc_id long, n long")
-    often = every.where("token IS NOT NULL").select("ord", "token", "doc_id", "n")
-    about = every.where("ord = -1").select("doc_id", F.col("n").alias("n_shingles"), "sig1", "sig2")
-    return about, rare.unionByName(often)
-
+    rare = every.where("range IS NOT NULL").select("range", "n", "tokens", "nodes").groupBy("range").applyInArrow(repeated, "token long, node long")
+    often = every.where("token IS NOT NULL").select("token", F.col("sig1").alias("node")).distinct()
+    of_docs = every.where("sig2 IS NOT NULL")
+    about = of_docs.select("doc_id", F.col("n").alias("n_shingles"), "sig1", "sig2")
+    sets = of_docs.where("sketch IS NOT NULL").select(F.col("sig1").alias("node"), "doc_id", "n", "sketch", "second").dropDuplicates(["node"])
+    return about, cut(sets, "sets"), cut(rare.unionByName(often), "postings")
+
+
+class _Rows:
+    """Rows of a bucket of lists, by list, and which pairs of them may be similar."""
+
+    def __init__(self, group: pa.Table) -> None:
+        cols = {c: group[c].to_numpy() for c in ("token", "low", "high", "own", "doc_id", "n", "component")}
+        order = np.lexsort((cols["component"], cols["high"], cols["low"], cols["token"]))
+        for c, x in cols.items():
+            setattr(self, c, x[order])
+        change = (np.diff(self.token) != 0) | (np.diff(self.low) != 0) | (np.diff(self.high) != 0)
+        self.list = np.concatenate([[0], np.cumsum(change)])[:len(order)]
+        sketch = group["sketch"].take(pa.array(order)).to_pylist()
+        self.words = np.array([len(x) // 8 for x in sketch], np.int64)
+        self.level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.words).tolist():  # sizes of a pair that passes are alike, so its sketches differ by one halving at most
+            own, twice = np.flatnonzero(self.words == w), np.flatnonzero(self.words == 2 * w)
+            bits = [np.frombuffer(b"".join(sketch[i] for i in own), np.uint64).reshape(-1, w)]
+            if len(twice):
+                double = np.frombuffer(b"".join(sketch[i] for i in twice), np.uint64).reshape(-1, 2 * w)
+                bits.append(double[:, :w] ^ double[:, w:])
+            at = np.zeros(len(order), np.int64)
+            at[own], at[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            self.level[w] = at, np.concatenate(bits)
+        second = group["second"].take(pa.array(order)).to_pylist()
+        self.second = np.frombuffer(b"".join(second), np.uint32)
+        self.length = np.array([len(x) // 4 for x in second], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def passing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Indexes of the pairs that every bound lets through."""
+        n, m = self.n[a], self.n[b]
+        ok = np.flatnonzero((self.component[a] != self.component[b]) & (DENOMINATOR * n >= NUMERATOR * m) & (DENOMINATOR * m >= NUMERATOR * n))
+        keep = []
+        width = np.minimum(self.words[a[ok]], self.words[b[ok]])
+        for w in np.unique(width).tolist():
+            at, bits = self.level[w]
+            these = ok[width == w]
+            for i in range(0, len(these), 1 + PAIRS // w):
+                part = these[i:i + 1 + PAIRS // w]
+                apart = np.bitwise_count(bits[at[a[part]]] ^ bits[at[b[part]]]).sum(1, dtype=np.int64)
+                # of n + m, at most (1 - t) / (1 + t) lie on one side alone
+                keep.append(part[(NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (n[part] + m[part])])
+        ok = np.concatenate(keep) if keep else ok
+        return np.concatenate([part[self._meet(a[part], b[part])] for part in np.array_split(ok, 1 + len(ok) // 4096)])
+
+    def _meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the prefixes of the second order share a token, pair by pair."""
+        keys = []
+        for x in (a, b):
+            times = self.length[x]
+            pair = np.repeat(np.arange(len(x)), times)
+            inside = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
+            keys.append((pair.astype(np.int64) << 32) | self.second[self.start[x][pair] + inside].astype(np.int64))
+        keys = np.sort(np.concatenate(keys))
+        out = np.zeros(len(a), bool)
+        out[keys[1:][keys[1:] == keys[:-1]] >> 32] = True
+        return out
 
-@lru_cache(64)
+    def led(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """In each list the first row leads; rows that pass with it leave, and so on with the rest."""
+        left = np.arange(len(self.list))
+        while len(left):
+            first = np.append(True, np.diff(self.list[left]) != 0)
+            leader = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            a, b = leader[~first], left[~first]
+            got = self.passing(a, b)
+            yield a[got], b[got]
+            left = np.delete(b, got)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of the lists that lie in different components; of a tile, those across its blocks."""
+        same = np.flatnonzero(np.append(True, (np.diff(self.list) != 0) | (np.diff(self.component) != 0))[:len(self.list)])
+        run_end = np.repeat(np.append(same[1:], len(self.list)), np.diff(np.append(same, len(self.list))))
+        count = np.searchsorted(self.list, self.list, "right") - run_end  # rows of the list behind a row's own component
+        total = np.cumsum(count)
+        row = 0
+        while row < len(count):
+            end = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + PAIRS, "right")))
+            a = np.repeat(np.arange(row, end), count[row:end])
+            b = run_end[a] + np.arange(len(a)) - np.repeat(total[row:end] - count[row:end] - (total[row - 1] if row else 0), count[row:end])
+            across = (self.low[a] == self.high[a]) | (self.own[a] != self.own[b])
+            a, b = a[across], b[across]
+            got = self.passing(a, b)
+            yield a[got], b[got]
+            row = end
+
+
+def candidates(lists: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+    """src < dst of different components that share a list and pass all bounds: all of them, or those with a leader.
+
+    ``lists`` has token, node; ``sets`` node, doc_id, n, sketch, second, component."""
+    count = F.count(F.lit(1)).alias("size")
+    several = lists.join(sets.select("node", "component"), "node").groupBy("token").agg(
+        count, F.min("component").alias("least"), F.max("component").alias("most"))
+    blocks = F.ceil(F.col("size") / BLOCK)
+    open_ = cut(several.where("least < most").select("token", blocks.alias("blocks"), (F.col("size") * blocks).alias("rows")), "open")
+    rows = open_.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    tiles = lists.join(open_.select("token", "blocks"), "token").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = tiles.select("token", "node", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    tiles = tiles.withColumn("bucket", F.pmod(F.xxhash64("token", "low", "high"), F.lit(max(1, int(rows) // BUCKET_ROWS))))
+
+    def meet(group: pa.Table) -> pa.Table:
+        held = _Rows(group)
+        found = [(held.doc_id[a], held.doc_id[b]) for a, b in (held.pairs() if every else held.led()) if len(a)]
+        out = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2
+        both = np.unique(np.stack([np.minimum(*out), np.maximum(*out)], 1), axis=0)
+        return pa.table({"src": both[:, 0], "dst": both[:, 1]})
+
+    met = tiles.join(sets, "node").drop("node").groupBy("bucket").applyInArrow(meet, "src long, dst long")
+    return met.where("src <> dst").distinct()
+
+
+@lru_cache(16)
 def _set_of(text: str) -> np.ndarray:
     return shingles(text)
 
@@ -248,33 +385,6 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(both.where(linked("a", "b")).select("src", "dst"), "links")
 
 
-def near(a: str, b: str):
-    """Sizes that similarity allows."""
-    return (F.col(a) * DENOMINATOR >= F.col(b) * NUMERATOR) & (F.col(b) * DENOMINATOR >= F.col(a) * NUMERATOR)
-
-
-def _labelled(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Rows of the lists that meet several components, which ``links`` make; without links each document is its own."""
-    if links is None:
-        out = rows.withColumn("component", F.col("doc_id"))
-    else:
-        labels = components(links).withColumnRenamed("node", "doc_id")
-        out = rows.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = out.groupBy("ord", "token").agg((F.min("component") < F.max("component")).alias("_open")).where("_open")
-    return cut(out.join(several.select("ord", "token"), ["ord", "token"]), "open")
-
-
-def _star(rows: DataFrame, docs: DataFrame, seed: int = 1) -> DataFrame:
-    """Links of each document with the centre of the lists it shares most tokens with; centres are picked by a hash."""
-    rows = rows.where("ord = 0")
-    rank = F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("r"), F.col("doc_id").alias("to"), F.col("n").alias("m"), F.col("component").alias("c"))
-    centres = cut(rows.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.to", "x.m", "x.c"), "centres")
-    met = rows.join(centres, "token").where((F.col("component") != F.col("c")) & near("n", "m"))
-    met = met.groupBy("doc_id", "to").agg(F.count(F.lit(1)).alias("k"))
-    best = met.groupBy("doc_id").agg(F.max(F.struct("k", "to")).alias("x"))
-    return verified(best.select(F.col("x.to").alias("src"), F.col("doc_id").alias("dst")), docs)
-
-
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; ids are long.
 
@@ -284,24 +394,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     bounded_batches(spark)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     ranges = max(8, src.count() * DOC_TOKENS // RANGE_TOKENS)
-    about, rows = postings(src, frequent(src, ranges), ranges)
+    about, sets, lists = postings(src, frequent(src, ranges), ranges)
     full = about.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = cut(full.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("first")), "copies")
-    copies = full.join(first, ["sig1", "sig2", "n_shingles"]).where("doc_id <> first").select(
-        F.col("doc_id").alias("src"), F.col("first").alias("dst"))
-    single = first.select(F.col("first").alias("doc_id")).distinct()
-    rows = cut(rows.join(single, "doc_id", "left_semi").distinct(), "postings")
-    links = _star(_labelled(rows), src)
-    left = _labelled(rows, links)
-    # lists meet component by component, so nothing inside a component is paired
-    heads = left.select("ord", "token", "component").distinct()
-    other = heads.withColumnRenamed("component", "component2")
-    across = heads.join(other, ["ord", "token"]).where("component < component2")
-    a = left.select("ord", "token", "component", F.col("doc_id").alias("src"), F.col("n").alias("n1"))
-    b = left.select("ord", "token", F.col("component").alias("component2"), F.col("doc_id").alias("dst"), F.col("n").alias("n2"))
-    met = across.join(a, ["ord", "token", "component"]).join(b, ["ord", "token", "component2"]).where(near("n1", "n2"))
-    met = met.groupBy("src", "dst").agg(F.count_distinct("ord").alias("k")).where(F.col("k") == ORDERS)
-    links = links.unionByName(verified(met, src)).unionByName(copies)
+    first = full.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("first"))
+    copies = cut(full.join(first, ["sig1", "sig2", "n_shingles"]).where("doc_id <> first").select(
+        F.col("doc_id").alias("src"), F.col("first").alias("dst")).distinct(), "copies")
+    tried = cut(candidates(lists, sets.withColumn("component", F.col("doc_id")), every=False), "tried")
+    links = verified(tried, src).unionByName(copies)
+    labels = components(links).withColumnRenamed("node", "doc_id")
+    labelled = cut(sets.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+    more = candidates(lists, labelled, every=True).join(tried, ["src", "dst"], "left_anti")
+    links = links.unionByName(verified(more, src))
     labels = components(links).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     out = about.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
