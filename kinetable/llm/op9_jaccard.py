@@ -5,10 +5,10 @@ token among the first n - ceil(t n) + 1 tokens of each, under any order of all t
 come last, by their document frequency, and the others by a hash; each order has a hash of its own.  A pair is verified
 only if it shares such a prefix token under every order.
 
-Lists of the first order meet inside tasks.  A pair leaves the task only if the sizes allow similarity, the prefixes under the
-second order intersect, and the parity sketches differ in few bits: a bit is the parity of the tokens that fall on it, so at
-least as many tokens are on one side alone as bits differ, and similar sets have at most a ninth of their sizes' sum there.
-All three are exact bounds; what is left is verified from the texts.
+Lists of the first order meet inside tasks.  A pair leaves the task only if the sizes allow similarity and the
+parity sketches differ in few bits: a bit is the parity of the tokens that fall on it, so at least as many tokens are on one
+side alone as bits differ, and similar sets have at most a ninth of their sizes' sum there.  Then the prefixes under the
+second order must intersect.  All three are exact bounds; what is left is verified from the texts.
 
 Components need no pair inside what is linked already.  So there are two rounds: in the first each list names leaders, and
 a row that passes with a leader joins it and meets no other row of the list; verified links are joined to components.  In the
@@ -41,9 +41,9 @@ FREQUENT, KNOWN = 16, 1 << 20
 #: Tokens of one hash range, on average, and of a document, to choose the number of ranges.
 RANGE_TOKENS, DOC_TOKENS = 1 << 20, 512
 #: Rows of one block of a list, of one bucket of lists, and pairs compared at once.
-BLOCK, BUCKET_ROWS, PAIRS = 4096, 1 << 14, 1 << 17
-#: 64-bit words of a parity sketch: at least two bits a token between these sizes.
-SKETCH_WORDS = (8, 256)
+BLOCK, BUCKET_ROWS, PAIRS = 1 << 14, 1 << 15, 1 << 17
+#: 64-bit words of a parity sketch: at least two bits a token between these sizes.  It goes with each token of a prefix.
+SKETCH_WORDS = (2, 16)
 #: Words whose hashes a worker keeps, and the longest of them.
 KEPT_WORDS, KEPT_BYTES = 1 << 17, 64
 #: Ids that a semi-join broadcasts at most: 32 MB of them.
@@ -188,8 +188,8 @@ def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> tuple[DataF
     counts = np.array([known[t] for t in tokens.tolist()], np.int64)
     frequency = docs.sparkSession.sparkContext.broadcast((tokens, counts))
     # rows of three kinds: of a document (sig1), of a frequent token (token), of a range of others (range)
-    schema = "range long, token long, doc_id long, n long, sig1 long, sig2 long, sketch binary, second binary, tokens binary, nodes binary"
-    names, types = [x.split()[0] for x in schema.split(", ")], [*[pa.int64()] * 6, *[pa.binary()] * 4]
+    schema = "range long, token long, doc_id long, n long, sig1 long, sig2 long, sketch binary, second array<int>, tokens binary, nodes binary"
+    names, types = [x.split()[0] for x in schema.split(", ")], [*[pa.int64()] * 6, pa.binary(), pa.list_(pa.int32()), *[pa.binary()] * 2]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = frequency.value
@@ -211,8 +211,8 @@ def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> tuple[DataF
                 size = prefix_size(len(s))
                 first, second = ((np.minimum(df, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (mix(s, 11 + o) >> np.uint64(24)) for o in range(ORDERS))
                 first, second = np.argpartition(first, size - 1)[:size], np.argpartition(second, size - 1)[:size]
-                low = np.unique((s[second] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-                rows.append((None, None, doc_id, len(s), *sums, sketch_of(s), low.tobytes(), None, None))
+                low = s[second].astype(np.uint32).view(np.int32)
+                rows.append((None, None, doc_id, len(s), *sums, sketch_of(s), low, None, None))
                 rows += [(None, k, None, None, sums[0], *[None] * 5) for k in key[first[df[first] > 0]].tolist()]
                 rare = key[first[df[first] == 0]]
                 if len(rare):
@@ -273,13 +273,9 @@ class _Rows:
             at = np.zeros(len(order), np.int64)
             at[own], at[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
             self.level[w] = at, np.concatenate(bits)
-        second = group["second"].take(pa.array(order)).to_pylist()
-        self.second = np.frombuffer(b"".join(second), np.uint32)
-        self.length = np.array([len(x) // 4 for x in second], np.int64)
-        self.start = np.cumsum(self.length) - self.length
 
     def passing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Indexes of the pairs that every bound lets through."""
+        """Indexes of the pairs that sizes and sketches let through."""
         n, m = self.n[a], self.n[b]
         ok = np.flatnonzero((self.component[a] != self.component[b]) & (DENOMINATOR * n >= NUMERATOR * m) & (DENOMINATOR * m >= NUMERATOR * n))
         keep = []
@@ -292,21 +288,7 @@ class _Rows:
                 apart = np.bitwise_count(bits[at[a[part]]] ^ bits[at[b[part]]]).sum(1, dtype=np.int64)
                 # of n + m, at most (1 - t) / (1 + t) lie on one side alone
                 keep.append(part[(NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (n[part] + m[part])])
-        ok = np.concatenate(keep) if keep else ok
-        return np.concatenate([part[self._meet(a[part], b[part])] for part in np.array_split(ok, 1 + len(ok) // 4096)])
-
-    def _meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the prefixes of the second order share a token, pair by pair."""
-        keys = []
-        for x in (a, b):
-            times = self.length[x]
-            pair = np.repeat(np.arange(len(x)), times)
-            inside = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
-            keys.append((pair.astype(np.int64) << 32) | self.second[self.start[x][pair] + inside].astype(np.int64))
-        keys = np.sort(np.concatenate(keys))
-        out = np.zeros(len(a), bool)
-        out[keys[1:][keys[1:] == keys[:-1]] >> 32] = True
-        return out
+        return np.concatenate(keep) if keep else ok
 
     def led(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """In each list the first row leads; rows that pass with it leave, and so on with the rest."""
@@ -359,8 +341,20 @@ def candidates(lists: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
         both = np.unique(np.stack([np.minimum(*out), np.maximum(*out)], 1), axis=0)
         return pa.table({"src": both[:, 0], "dst": both[:, 1]})
 
-    met = tiles.join(sets, "node").drop("node").groupBy("bucket").applyInArrow(meet, "src long, dst long")
-    return met.where("src <> dst").distinct()
+    held = sets.select("node", "doc_id", "n", "component", "sketch")
+    met = tiles.join(held, "node").drop("node").groupBy("bucket").applyInArrow(meet, "src long, dst long")
+    met = cut(met.where("src <> dst").distinct(), "met")
+    second = _of_pairs(sets.select("doc_id", "second"), met)
+    both = met.join(second.select(F.col("doc_id").alias("src"), F.col("second").alias("a")), "src").join(
+        second.select(F.col("doc_id").alias("dst"), F.col("second").alias("b")), "dst")
+    return both.where(F.arrays_overlap("a", "b")).select("src", "dst").distinct()
+
+
+def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in a pair."""
+    ids = cut(pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return cut(rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "of-pairs")
 
 
 @lru_cache(16)
@@ -371,9 +365,7 @@ def _set_of(text: str) -> np.ndarray:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """src, dst of the pairs whose texts are similar; ``docs`` has doc_id and text."""
     pairs = cut(pairs.select("src", "dst"), "pairs")
-    ids = cut(pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = cut(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+    texts = _of_pairs(docs, pairs)
 
     @F.pandas_udf("boolean")
     def linked(a, b):
