@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,6 +24,28 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
+#: What each operator keeps in a worker between tasks, and the operator that worked there last.
+_KEPT: dict[str, Callable[[], None]] = {}
+_AT_WORK: list[str] = []
+
+
+def at_work(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called in a worker before an operator's first batch.  Workers outlive their tasks, so what other operators keep
+    there is forgotten and its memory given back; ``forget`` empties what this one keeps."""
+    if forget:
+        _KEPT[owner] = forget
+    if _AT_WORK == [owner]:
+        return
+    for other, clear in _KEPT.items():
+        if other != owner:
+            clear()
+    _AT_WORK[:] = [owner]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, pick, rows_of
+from .common import at_work, bounded_batches, pick, rows_of
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -407,6 +407,7 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("personal data")
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
@@ -423,11 +424,15 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     after the first.  A null text stays null; all rows and other columns stay."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(lambda t: t if t is None else mask(t, field))
+    at = docs.columns.index(text_col)
 
-    return docs.withColumn(text_col, masked(F.col(f"`{text_col}`")))
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("personal data")
+        for b in batches:
+            texts = pa.array([t if t is None else mask(t, field) for t in b.column(at).to_pylist()], b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1:]], schema=b.schema)
+
+    return docs.mapInArrow(masked, docs.schema)
 
 
 def mask(text: str, field: Field) -> str:

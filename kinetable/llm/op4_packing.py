@@ -18,13 +18,14 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded_batches, byte_symbols, cut, pick, rows_of
+from .common import at_work, bounded_batches, byte_symbols, cut, pick, rows_of
 
 CAPACITY, WASTE, END_ID = 2048, 1 / 32, 1
 #: Pre-tokens of byte-level vocabularies (fixed value).
@@ -35,18 +36,20 @@ _INNER_SPACE = re.compile(r" (?<=\S )(?=\S)")
 #: A space that is not between two other characters.
 _ODD_SPACE = re.compile(r" (?!\S)|[^\S ] |^ ")
 _ENCODERS: dict[str, ChunkEncoder] = {}
+#: Chunks that a worker keeps, and the longest of them: 40 MB at most.
+KEPT_CHUNKS, KEPT_CHARS = 1 << 17, 32
 
 
 class ChunkEncoder:
     """Ids of whole texts as the tokenizers library gives them, worked out only for chunks not met before.
 
     A byte-level pre-token starts with at most one space and ends before the next, so a text may be cut in front of any
-    single space between two other characters.  Chunks repeat, so most of a text is looked up; the cache is emptied when
-    it passes ``limit`` chunks.  New chunks of ASCII go through tiktoken with the file's own vocabulary, which merges the
+    single space between two other characters.  Chunks repeat, so most of a text is looked up; the cache holds short
+    chunks, and keeps the first half when it passes ``limit`` of them.  New chunks of ASCII go through tiktoken with the file's own vocabulary, which merges the
     same way and starts faster; others, whose classes of characters depend on a library's Unicode version, through
     tokenizers."""
 
-    def __init__(self, path: str, limit: int = 1 << 19) -> None:
+    def __init__(self, path: str, limit: int = KEPT_CHUNKS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -75,14 +78,14 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         known = self.known
-        if len(known) > self.limit:
-            known.clear()
+        if len(known) > self.limit:  # frequent chunks are met early
+            known = self.known = dict(islice(known.items(), self.limit // 2))
         head, *rest = _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         found = list(map(known.get, rest))
         if None in found:
-            for chunk in {*rest}.difference(known):
-                known[chunk] = self._ids(" " + chunk)
-            found = map(known.__getitem__, rest)
+            new = {chunk: self._ids(" " + chunk) for chunk in {*rest}.difference(known)}
+            found = [new[chunk] if ids is None else ids for chunk, ids in zip(rest, found, strict=True)]
+            known.update((chunk, ids) for chunk, ids in new.items() if len(chunk) <= KEPT_CHARS)
         return self._ids(head) + b"".join(found)
 
 
@@ -107,6 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("packing", _ENCODERS.clear)
         encoder, end = ChunkEncoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         out: list[list] = [[], [], [], [], []]
         held = 0

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, cut, pick, rows_of
+from .common import at_work, bounded_batches, cut, pick, rows_of
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 PER_LABEL, EPOCHS, RATE, REJECT_RATE = 500, 8, 0.5, 0.001
@@ -67,7 +67,7 @@ class Model:
         out[:, -1] = sizes
         return out
 
-    def learn(self, chunks: set[str], limit: int = 1 << 18) -> None:
+    def learn(self, chunks: set[str], limit: int = 1 << 17) -> None:
         """Put chunks into the cache, which is emptied first when it is full."""
         if len(self.known) > limit:
             self.known, self.sums = {}, self.sums[:0]
@@ -177,6 +177,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     id_type, kind = to_arrow_type(src.schema["doc_id"].dataType), src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("language")
         for b in batches:
             got = [model.predict(t or "") for t in b.column(1).to_pylist()]
             label, score = [g[0] for g in got], [g[1] for g in got]
@@ -191,13 +192,15 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """``docs`` without the rows that the model rejects; all columns and copies stay."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def kept(text):
-        import pandas as pd
-        got = [model.predict(t or "") for t in text]
-        return pd.Series([name != UNKNOWN and s >= model.threshold for name, s in got])
+    at = docs.columns.index(text_col)
 
-    return docs.where(kept(F.col(f"`{text_col}`")))
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("language")
+        for b in batches:
+            got = [model.predict(t or "") for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([name != UNKNOWN and s >= model.threshold for name, s in got], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

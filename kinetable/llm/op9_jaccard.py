@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, cut, pick, rows_of
+from .common import at_work, bounded_batches, cut, pick, rows_of
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR, ORDERS = 5, 4, 5, 2
@@ -45,7 +45,7 @@ BLOCK, BUCKET_ROWS, PAIRS = 1 << 14, 1 << 15, 1 << 17
 #: 64-bit words of a parity sketch: at least two bits a token between these sizes.  It goes with each token of a prefix.
 SKETCH_WORDS = (2, 16)
 #: Words whose hashes a worker keeps, and the longest of them.
-KEPT_WORDS, KEPT_BYTES = 1 << 17, 64
+KEPT_WORDS, KEPT_BYTES = 1 << 17, 48
 #: Ids that a semi-join broadcasts at most: 32 MB of them.
 BROADCAST_IDS = 1 << 22
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -154,6 +154,7 @@ def sketch_of(s: np.ndarray) -> bytes:
 def frequent(docs: DataFrame, ranges: int) -> dict[int, int]:
     """Document counts of the most frequent tokens, by range and bits: range * 2^32 + bits."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("jaccard", _WORDS.clear)
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             keys, n = np.unique(place(np.concatenate(sets) if sets else np.zeros(0, np.uint64), ranges), return_counts=True)
@@ -192,6 +193,7 @@ def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> tuple[DataF
     names, types = [x.split()[0] for x in schema.split(", ")], [*[pa.int64()] * 6, pa.binary(), pa.list_(pa.int32()), *[pa.binary()] * 2]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("jaccard", _WORDS.clear)
         tokens, counts = frequency.value
         for b in batches:
             seen: set[tuple] = set()
