@@ -49,11 +49,16 @@ def to_world(df: DataFrame, box: DataFrame) -> DataFrame:
 def interpolate_direct(points: DataFrame, pairs: DataFrame, steps: int, method: str = "nearest", shared_topology: str = "equal_count") -> DataFrame:
     """Straight lines from frame a's vertices to their matches in frame b (``nearest`` or ``idw``); ``shared_topology`` says
     which frames match by id (``match_frames``)."""
+    return with_steps(matched_pairs(points, pairs, method, shared_topology), steps).select(
+        *PAIR, "step", "t", "vertex_id", *[lerp(F.col(c), F.col(f"b{c}"), F.col("t")).alias(c) for c in "xyz"])
+
+
+def matched_pairs(points: DataFrame, pairs: DataFrame, method: str = "nearest", shared_topology: str = "equal_count") -> DataFrame:
+    """Frame a's vertices with their matches in frame b (bx, by, bz), keyed by the pair."""
+    pairs = sized(pairs, "pairs")
     a, b = of_frame(points, pairs, "frame_a"), of_frame(points, pairs, "frame_b")
     pick = lambda df: df.select(*PAIR, "vertex_id", "x", "y", "z")
-    matched = match_frames(pick(a), pick(b), PAIR, method, shared_topology=shared_topology)
-    return with_steps(matched, steps).select(
-        *PAIR, "step", "t", "vertex_id", *[lerp(F.col(c), F.col(f"b{c}"), F.col("t")).alias(c) for c in "xyz"])
+    return match_frames(pick(a), pick(b), PAIR, method, shared_topology=shared_topology)
 
 
 def _numbered(pairs: DataFrame) -> DataFrame:
@@ -305,11 +310,29 @@ def manifest(pairs: DataFrame, method: str, steps: int) -> DataFrame:
 def compare_methods(results: dict[str, DataFrame], reference: str) -> DataFrame:
     """Meshes and vertices per method, with the mean and largest change against the reference method."""
     key = [*PAIR, "step", "vertex_id"]
-    ref = results[reference].select(*key, *[F.col(c).alias(f"r{c}") for c in "xyz"])
+    return _by_method({name: df.select(*key, *"xyz").join(results[reference].select(*key, *[F.col(c).alias(f"r{c}") for c in "xyz"]), key, "left")
+                       for name, df in results.items()})
+
+
+def compare_matched(matched: dict[str, DataFrame], reference: str, steps: int) -> DataFrame:
+    """``compare_methods`` of straight lines between matches (``matched_pairs``): methods meet once per vertex, before the
+    steps between are made, and the reference does not meet itself."""
+    key = [*PAIR, "vertex_id"]
+    ends = ["x", "y", "z", "bx", "by", "bz"]
+    ref = matched[reference].select(*key, *[F.col(c).alias(f"r{c}") for c in ends])
+    both = {name: matched[name].select(*key, *ends, *[F.col(c).alias(f"r{c}") for c in ends]) if name == reference
+            else matched[name].select(*key, *ends).join(ref, key, "left") for name in matched}
+    return _by_method({name: with_steps(df, steps).select(
+        *PAIR, "step", "vertex_id", *[lerp(F.col(c), F.col(f"b{c}"), F.col("t")).alias(c) for c in "xyz"],
+        *[lerp(F.col(f"r{c}"), F.col(f"rb{c}"), F.col("t")).alias(f"r{c}") for c in "xyz"]) for name, df in both.items()})
+
+
+def _by_method(results: dict[str, DataFrame]) -> DataFrame:
+    """``results`` have the reference position rx, ry, rz, or null, beside x, y, z."""
     out = None
     for name, df in results.items():
         gap = F.greatest(*[F.abs(F.col(c) - F.col(f"r{c}")) for c in "xyz"])
-        part = df.join(ref, key, "left").withColumn("gap", gap).groupBy(*PAIR, "step").agg(
+        part = df.withColumn("gap", gap).groupBy(*PAIR, "step").agg(
             F.count(F.lit(1)).alias("n"), F.sum("gap").alias("s"), F.max("gap").alias("m"), F.count("gap").alias("c"))
         part = part.withColumn("method", F.lit(name))
         out = part if out is None else out.unionByName(part)

@@ -10,6 +10,7 @@ from .views import sql
 from ..functions.space import dist2
 from ..operators import correspondence as co, normalize as nz, voxels as vx
 from ..plans.knn import knn_join
+from ..plans.lineage import cut
 from ..schema import FRAME
 from ..sources import bridges as br
 
@@ -29,7 +30,7 @@ def next_frames(p):
 @query("knn_join", sql(f"select seq_id, frame_id, vertex_id as left_id, other as right_id, cast(rk as bigint) as rank, {r('d2', 'd2')} from ranked where rk<=3",
                        nxt=_NEXT, ranked=_RANKED))
 def knn(spark, sf):
-    p = br.points(spark, sf)
+    p = cut(br.points(spark, sf), "points")
     return knn_join(p, next_frames(p), FRAME, 3).select(
         *FRAME, "left_id", "right_id", F.col("rank").cast("long").alias("rank"), rnd("d2").alias("d2"))
 
@@ -51,7 +52,7 @@ from a join b on a.flag=b.flag and a.frame_id=b.frame_id) where rk=1""",
     b="select case seq_id when 'A' then 'N' when 'N' then 'R' else 'A' end as flag, frame_id, vertex_id, x, y, z from li_points"))
 def knn_lineitem(spark, sf):
     """Nearest neighbour of each return flag's points among the next flag's (A, R, N in turn) in every shared frame."""
-    p = br.lineitem_points(spark, sf).withColumnRenamed("seq_id", "flag")
+    p = cut(br.lineitem_points(spark, sf), "points").withColumnRenamed("seq_id", "flag")
     turn = F.when(F.col("flag") == "A", "N").when(F.col("flag") == "N", "R").otherwise("A")
     out = knn_join(p, p.withColumn("flag", turn), ["flag", "frame_id"], 1)
     return out.select("flag", "frame_id", "left_id", "right_id", rnd("d2", 4).alias("d2"))
@@ -73,13 +74,13 @@ MATCH_VIEWS = dict(nxt=_NEXT, ranked=_RANKED, sizes=_SIZES, mapped=MAPPED_NN, ma
 
 @query("nearest_map", sql("select seq_id, frame_id, vertex_id, x, y, z, bx, by_, bz from mapped", **MATCH_VIEWS))
 def nearest_map(spark, sf):
-    p = br.points(spark, sf)
+    p = cut(br.points(spark, sf), "points")
     return co.match_frames(p, next_frames(p), FRAME).withColumnRenamed("by", "by_")
 
 
 @query("idw_map", sql(f"select seq_id, frame_id, vertex_id, x, y, z, {rs('bx', 'by_', 'bz')} from mapped_idw", **MATCH_VIEWS))
 def idw_map(spark, sf):
-    p = br.points(spark, sf)
+    p = cut(br.points(spark, sf), "points")
     m = co.match_frames(p, next_frames(p), FRAME, "idw").withColumnRenamed("by", "by_")
     return m.select(*FRAME, "vertex_id", "x", "y", "z", *rnds("bx", "by_", "bz"))
 
@@ -96,7 +97,7 @@ select seq_id, frame_id, dst, src, d2 from selfk where rk<=8 and d2>0) group by
 
 @query("knn_graph", sql(f"select seq_id, frame_id, src, dst, {r('w', 'w')} from graph", selfk=_SELF.format(t="points"), graph=GRAPH))
 def knn_graph(spark, sf):
-    return co.knn_graph(br.points(spark, sf), FRAME, 8).select(*FRAME, "src", "dst", rnd("w").alias("w"))
+    return co.knn_graph(cut(br.points(spark, sf), "points"), FRAME, 8).select(*FRAME, "src", "dst", rnd("w").alias("w"))
 
 
 @query("joint_distances", sql(f"""
@@ -139,7 +140,7 @@ select a.seq_id, a.frame_id, a.vertex_id, b.vertex_id as other, b.x as ox, b.y a
 from feature a join feature b on a.seq_id=b.seq_id and a.frame_id=b.frame_id-1 and a.k=b.k
 group by a.seq_id, a.frame_id, a.vertex_id, b.vertex_id, a.x, a.y, a.z, b.x, b.y, b.z)) where rk<=3 group by 1, 2, 3""", feature=_FEATURE))
 def bone_guided_remap(spark, sf):
-    c, j = br.clouds(spark, sf), br.joints(spark, sf)
+    c, j = cut(br.clouds(spark, sf), "clouds"), br.joints(spark, sf)
     nc, nj = next_frames(c), next_frames(j)
     has_next = c.join(nc.select(*FRAME).distinct(), FRAME, "left_semi")
     out = co.bone_guided_remap(has_next, nc, j, nj, FRAME)
@@ -156,13 +157,13 @@ from (select *, n=tn as same from sz) s join points a on a.seq_id=s.seq_id and a
     tmpl="select seq_id, frame_id as tf, c as tn from (select *, row_number() over (partition by seq_id order by c desc, frame_id) as rn from (select seq_id, frame_id, count(*) as c from points group by 1, 2)) where rn=1",
     sz="select f.seq_id, f.frame_id, f.n, t.tf, t.tn from (select seq_id, frame_id, count(*) as n from points group by 1, 2) f join tmpl t on f.seq_id=t.seq_id"))
 def unify_anchor(spark, sf):
-    p = br.points(spark, sf)
+    p = cut(br.points(spark, sf), "points")
     return co.unify_anchor(p, nz.select_template(p)).select(*FRAME, "vertex_id", "x", "y", "z")
 
 
 @query("unify_chain")
 def unify_chain(spark, sf):
-    c, j = br.clouds(spark, sf), br.joints(spark, sf)
+    c, j = cut(br.clouds(spark, sf), "clouds"), br.joints(spark, sf)
     out = co.unify_chain(c, j, nz.select_template(c))
     return out.select(*FRAME, "vertex_id", *rnds("x", "y", "z"))
 
