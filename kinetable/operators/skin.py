@@ -9,7 +9,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.rotation import det3, matmul3, matvec3
 from ..functions.space import apply_affine, norm3
-from ..plans.knn import knn_join
+from ..plans.knn import _positions, knn_join
 from ..plans.lineage import cut
 from ..plans.tiles import tile_join
 from ..schema import FRAME
@@ -169,7 +169,7 @@ def fit_bone_motion(points: DataFrame, rest: DataFrame, weights: DataFrame) -> D
 
 
 #: Frames with at most this many points on both sides are registered inside one task.
-SMALL_CLOUD = 2048
+SMALL_CLOUD = 1 << 16
 _MOTION = ["r", "tx", "ty", "tz"]
 
 
@@ -249,11 +249,16 @@ def _register_in_tasks(moving: DataFrame, fixed: DataFrame, reach: float, rounds
                 "r": pa.array([], pa.list_(pa.float64())), **{c: pa.array([], pa.float64()) for c in ("tx", "ty", "tz")}})
         right = right.sort_by("vertex_id")
         p, q = (np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1) for t in (left, right))
+        order, number, start = _positions(p)
+        copy_of = np.empty(len(p), np.int64)
+        copy_of[order] = number
+        first = order[start]  # copies of a point go the same way
+        within = _Cells(q, reach)
         r, t = np.eye(3), np.zeros(3)
         for _ in range(rounds):
             at = p @ r.T + t
-            near, d2 = _nearest_rows(at, q)
-            met = d2 <= reach * reach
+            near = within.nearest(at[first])[copy_of]
+            met = near >= 0
             if not met.any():
                 break
             turn, shift = _best_motion(at[met], q[near[met]])
@@ -268,13 +273,59 @@ def _register_in_tasks(moving: DataFrame, fixed: DataFrame, reach: float, rounds
     return sides[0].groupBy(*FRAME).cogroup(theirs.groupBy(*[f"_{c}" for c in FRAME])).applyInArrow(run, schema)
 
 
-def _nearest_rows(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    near, d2 = np.empty(len(p), np.int64), np.empty(len(p))
-    for s in range(0, len(p), 256):
-        gap = ((p[s:s + 256, None] - q) ** 2).sum(axis=2)
-        near[s:s + 256] = gap.argmin(axis=1)
-        d2[s:s + 256] = gap.min(axis=1)
-    return near, d2
+class _Cells:
+    """The points of one frame by cells as wide as ``reach``: what lies within it is in a cell or beside it."""
+
+    def __init__(self, q: np.ndarray, reach: float, batch: int = 1 << 20) -> None:
+        order, _, start = _positions(q)
+        self.reach, self.batch = reach, batch
+        row = order[start]  # of equal points the first
+        self.width = reach * (1 + 1e-9)
+        self.low = np.floor(q.min(axis=0) / self.width)
+        cells = np.floor(q[row] / self.width) - self.low
+        self.size = cells.max(axis=0) + 1
+        if np.prod(self.size) >= 2.0 ** 62:  # points so far off that cells cannot be numbered: one cell
+            self.width, self.low, self.size, cells = np.inf, np.zeros(3), np.ones(3), np.zeros_like(cells)
+        code = self._code(cells)
+        by = np.lexsort((row, code))
+        self.row, self.code, self.q = row[by], code[by], q[row[by]]
+
+    def _code(self, cells: np.ndarray) -> np.ndarray:
+        n = self.size.astype(np.int64)
+        c = cells.astype(np.int64)
+        return (c[:, 0] * n[1] + c[:, 1]) * n[2] + c[:, 2]
+
+    def nearest(self, p: np.ndarray) -> np.ndarray:
+        """Row of the nearest point within ``reach``, the first on ties; -1 without one."""
+        found, best = np.full(len(p), -1), np.full(len(p), np.inf)
+        at = np.zeros_like(p) if np.isinf(self.width) else np.clip(np.floor(p / self.width) - self.low, -2, self.size + 1)
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                lane = at + [dx, dy, 0]
+                ok = np.flatnonzero(((lane[:, :2] >= 0) & (lane[:, :2] < self.size[:2])).all(axis=1) & (lane[:, 2] >= -1) & (lane[:, 2] <= self.size[2]))
+                lane = lane[ok]
+                below, above = lane.copy(), lane.copy()
+                below[:, 2], above[:, 2] = np.maximum(lane[:, 2] - 1, 0), np.minimum(lane[:, 2] + 1, self.size[2] - 1)
+                lo = np.searchsorted(self.code, self._code(below), side="left")
+                n = np.searchsorted(self.code, self._code(above), side="right") - lo
+                ok, lo, n = ok[n > 0], lo[n > 0], n[n > 0]
+                ends = np.cumsum(n)
+                s = 0
+                while s < len(ok):  # some candidates at a time
+                    e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + self.batch, side="right")))
+                    self._meet(p, ok[s:e], lo[s:e], n[s:e], found, best)
+                    s = e
+        found[best > self.reach * self.reach] = -1
+        return found
+
+    def _meet(self, p: np.ndarray, rows: np.ndarray, lo: np.ndarray, n: np.ndarray, found: np.ndarray, best: np.ndarray) -> None:
+        start = np.cumsum(n) - n
+        col = np.arange(n.sum()) + np.repeat(lo - start, n)
+        d2 = ((np.repeat(p[rows], n, axis=0) - self.q[col]) ** 2).sum(axis=1)
+        low = np.minimum.reduceat(d2, start)
+        first = np.minimum.reduceat(np.where(d2 == np.repeat(low, n), self.row[col], np.iinfo(np.int64).max), start)
+        better = (low < best[rows]) | ((low == best[rows]) & (first < found[rows]))
+        best[rows[better]], found[rows[better]] = low[better], first[better]
 
 
 def _best_motion(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
