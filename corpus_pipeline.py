@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinetable.llm import op7_language, op9_jaccard, op10_pii
-from kinetable.llm.common import table
+from kinetable.llm.common import cut, table
 from kinetable.llm.queries import pack_digests
 from kinetable.plans.lineage import state_dir
 
@@ -25,9 +25,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that repeat the smallest id the first by their other columns stays; rows with a null id all stay."""
     groups = op9_jaccard.join(docs).select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("component_id")).alias("_first"))
-    kept = groups.where("_first").select("_id").distinct()
+    kept = cut(groups.where("_first").select("_id").distinct(), "kept")  # written, so that the groups are made once
     out = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
-    repeated = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    repeated = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated")
     once = out.join(repeated, "doc_id", "left_anti")
     several = out.join(repeated, "doc_id", "left_semi")
     least = several.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))

@@ -10,9 +10,13 @@ parity sketches differ in few bits: a bit is the parity of the tokens that fall
 side alone as bits differ, and similar sets have at most a ninth of their sizes' sum there.  Then the prefixes under the
 second order must intersect.  All three are exact bounds; what is left is verified from the texts.
 
-Components need no pair inside what is linked already.  So there are two rounds: in the first each list names leaders, and
-a row that passes with a leader joins it and meets no other row of the list; verified links are joined to components.  In the
-second all pairs of the lists that lie in different components and were not verified yet are compared.
+Components need no pair inside what is linked already.  So there are rounds: in the first ones each list names leaders, and
+a row that passes with a leader joins it and meets no other row of the list; verified links are joined to components, and
+a list names leaders again until a round finds few links.  In the last one all pairs of the lists that lie in different
+components and were not verified yet are compared.
+
+Near copies share many tokens, so many lists hold the same documents.  One of each such group of lists is kept, as the others
+name the same pairs.
 
 Scale, in passes over the texts:
 1. Tokens leave each batch sorted, counted and packed by hash range, and are counted per range.  Of those in more than ``FREQUENT`` documents the ``KNOWN`` most frequent (a bound on what tasks get) steer
@@ -46,6 +50,8 @@ BLOCK, BUCKET_ROWS, PAIRS = 1 << 14, 1 << 15, 1 << 17
 SKETCH_WORDS = (2, 16)
 #: Words whose hashes a worker keeps, and the longest of them.
 KEPT_WORDS, KEPT_BYTES = 1 << 17, 48
+#: Links for each set below which a round with leaders is the last of them.
+FEW_LINKS = 0.01
 #: Ids that a semi-join broadcasts at most: 32 MB of them.
 BROADCAST_IDS = 1 << 22
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -184,7 +190,7 @@ def frequent(docs: DataFrame, ranges: int) -> dict[int, int]:
 def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id, n_shingles and the two halves of a signature that equal sets share, of every row; one row a distinct set: node
     (its signature), a doc_id, n, sketch, second (32 bits of its tokens in the prefix of the second order); and token, node:
-    tokens of the first order's prefixes that more than one document has there, or that are frequent."""
+    tokens of the first order's prefixes that more than one document has there, one for those that the same documents have."""
     tokens = np.array(sorted(known), np.int64)
     counts = np.array([known[t] for t in tokens.tolist()], np.int64)
     frequency = docs.sparkSession.sparkContext.broadcast((tokens, counts))
@@ -240,8 +246,14 @@ def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> tuple[DataF
         token, node = token[order], node[order]
         new = np.append(True, (np.diff(token) != 0) | (np.diff(node) != 0))[:len(token)]
         token, node = token[new], node[new]
-        same = np.diff(token, prepend=-1) == 0
-        keep = same | np.append(same[1:], False) if len(same) else same
+        first = np.flatnonzero(np.diff(token, prepend=-1))
+        size = np.diff(np.append(first, len(token)))
+        several = np.flatnonzero(size > 1)
+        if len(several):  # one of the lists of equal documents
+            sums = [np.add.reduceat(mix(node.view(np.uint64), k), first)[several] for k in (5, 6)]
+            _, one = np.unique(np.stack([size[several].astype(np.uint64), *sums], 1), axis=0, return_index=True)
+            several = several[np.sort(one)]
+        keep = np.isin(np.repeat(np.arange(len(first)), size), several)
         return pa.table({"token": token[keep] + (r << 32), "node": node[keep]})
 
     every = cut(docs.mapInArrow(prefixes, schema), "prefixes")
@@ -250,7 +262,15 @@ def postings(docs: DataFrame, known: dict[int, int], ranges: int) -> tuple[DataF
     of_docs = every.where("sig2 IS NOT NULL")
     about = of_docs.select("doc_id", F.col("n").alias("n_shingles"), "sig1", "sig2")
     sets = of_docs.where("sketch IS NOT NULL").select(F.col("sig1").alias("node"), "doc_id", "n", "sketch", "second").dropDuplicates(["node"])
-    return about, cut(sets, "sets"), cut(rare.unionByName(often), "postings")
+    return about, cut(sets, "sets"), cut(distinct_lists(cut(rare.unionByName(often), "postings")), "lists")
+
+
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """token, node of the lists of several nodes, one of those that hold the same nodes."""
+    held = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in range(2)]
+    about = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *[h.alias(f"held{k}") for k, h in enumerate(held)]).where("size > 1")
+    one = cut(about.groupBy("size", "held0", "held1").agg(F.min("token").alias("token")).select("token"), "distinct-lists")
+    return lists.join(one, "token", "left_semi")
 
 
 class _Rows:
@@ -321,12 +341,12 @@ class _Rows:
             row = end
 
 
-def candidates(lists: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+def candidates(lists: DataFrame, sets: DataFrame, parts: DataFrame, every: bool) -> DataFrame:
     """src < dst of different components that share a list and pass all bounds: all of them, or those with a leader.
 
-    ``lists`` has token, node; ``sets`` node, doc_id, n, sketch, second, component."""
+    ``lists`` has token, node; ``sets`` node, doc_id, n, sketch, second; ``parts`` node, component."""
     count = F.count(F.lit(1)).alias("size")
-    several = lists.join(sets.select("node", "component"), "node").groupBy("token").agg(
+    several = lists.join(parts, "node").groupBy("token").agg(
         count, F.min("component").alias("least"), F.max("component").alias("most"))
     blocks = F.ceil(F.col("size") / BLOCK)
     open_ = cut(several.where("least < most").select("token", blocks.alias("blocks"), (F.col("size") * blocks).alias("rows")), "open")
@@ -343,7 +363,7 @@ def candidates(lists: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
         both = np.unique(np.stack([np.minimum(*out), np.maximum(*out)], 1), axis=0)
         return pa.table({"src": both[:, 0], "dst": both[:, 1]})
 
-    held = sets.select("node", "doc_id", "n", "component", "sketch")
+    held = sets.select("node", "doc_id", "n", "sketch").join(parts, "node")
     met = tiles.join(held, "node").drop("node").groupBy("bucket").applyInArrow(meet, "src long, dst long")
     met = cut(met.where("src <> dst").distinct(), "met")
     second = _of_pairs(sets.select("doc_id", "second"), met)
@@ -393,11 +413,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     first = full.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("first"))
     copies = cut(full.join(first, ["sig1", "sig2", "n_shingles"]).where("doc_id <> first").select(
         F.col("doc_id").alias("src"), F.col("first").alias("dst")).distinct(), "copies")
-    tried = cut(candidates(lists, sets.withColumn("component", F.col("doc_id")), every=False), "tried")
-    links = verified(tried, src).unionByName(copies)
-    labels = components(links).withColumnRenamed("node", "doc_id")
-    labelled = cut(sets.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
-    more = candidates(lists, labelled, every=True).join(tried, ["src", "dst"], "left_anti")
+    parts, links, tried = sets.select("node", F.col("doc_id").alias("component")), copies, None
+    few = sets.count() * FEW_LINKS
+    while True:  # each round with links leaves fewer components
+        pairs = candidates(lists, sets, parts, every=False)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["src", "dst"], "left_anti"), "tried")
+        found = verified(pairs, src)
+        links, tried = links.unionByName(found), pairs if tried is None else tried.unionByName(pairs)
+        labels = components(links).withColumnRenamed("node", "doc_id")
+        parts = cut(sets.select("node", "doc_id").join(labels, "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component")), "parts")
+        if found.count() <= few:
+            break
+    more = candidates(lists, sets, parts, every=True).join(tried, ["src", "dst"], "left_anti")
     links = links.unionByName(verified(more, src))
     labels = components(links).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     out = about.select("doc_id", "n_shingles").join(labels, "doc_id", "left")

@@ -140,6 +140,35 @@ def test_jaccard(docs, odd):
     assert op9_jaccard.join(docs([])).count() == 0
 
 
+def test_jaccard_lists_of_equal_documents(docs):
+    base = sentence(70, 300)
+    pair = docs([(1, base), (2, edited(1, base, 1)), (3, sentence(71, 300))]).select("doc_id", "text")
+    assert op9_jaccard.postings(pair, {}, 8)[2].count() == 2
+
+
+def test_jaccard_leaders_until_settled(docs, monkeypatch):
+    """Copies of copies: leaders of several rounds link them, so that few pairs are left for the comparison of all."""
+    texts = [sentence(72, 120)]
+    for i in range(1, 300):
+        texts.append(edited(i, texts[random.Random(i).randrange(max(0, i - 12), i)], 1))
+    passed = []
+    whole = op9_jaccard.candidates
+
+    def counted(*args, **kwargs):
+        found = op9_jaccard.cut(whole(*args, **kwargs), "counted")
+        passed.append((kwargs["every"], found.count()))
+        return found
+
+    monkeypatch.setattr(op9_jaccard, "candidates", counted)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in op9_jaccard.join(docs(rows)).collect()}
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    edges = [(i, j) for i in range(300) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert got == roots(range(300), edges)
+    assert [e for e, _ in passed].count(False) > 1 and passed[-1][0]
+    assert passed[-1][1] < 300
+
+
 def test_shards(docs, odd):
     rows = odd + [(100 + i, sentence(i, i % 200)) for i in range(400)] + [(9999, "same row " * 30)] * 50
     limit = 4000
