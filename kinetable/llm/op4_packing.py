@@ -35,19 +35,21 @@ BUCKET_ROWS = 20_000
 _INNER_SPACE = re.compile(r" (?<=\S )(?=\S)")
 #: A space that is not between two other characters.
 _ODD_SPACE = re.compile(r" (?!\S)|[^\S ] |^ ")
+#: Characters beyond Latin letters and common punctuation, whose classes depend on a library's Unicode version.
+_BEYOND = re.compile("[^\x00-\u024f\u2010-\u2027]")
 _ENCODERS: dict[str, ChunkEncoder] = {}
 #: Chunks that a worker keeps, and the longest of them: 40 MB at most.
 KEPT_CHUNKS, KEPT_CHARS = 1 << 17, 32
 
 
 class ChunkEncoder:
-    """Ids of whole texts as the tokenizers library gives them, worked out only for chunks not met before.
+    """Ids of whole texts as the tokenizers library gives them.
 
+    Texts of characters that every Unicode version has in the same class go through tiktoken whole, with the file's own
+    vocabulary, which merges the same way and is faster.  Others are worked out only for chunks not met before.
     A byte-level pre-token starts with at most one space and ends before the next, so a text may be cut in front of any
     single space between two other characters.  Chunks repeat, so most of a text is looked up; the cache holds short
-    chunks, and keeps the first half when it passes ``limit`` of them.  New chunks of ASCII go through tiktoken with the file's own vocabulary, which merges the
-    same way and starts faster; others, whose classes of characters depend on a library's Unicode version, through
-    tokenizers."""
+    chunks, and keeps the first half when it passes ``limit`` of them.  New chunks of ASCII go through tiktoken, others through tokenizers."""
 
     def __init__(self, path: str, limit: int = KEPT_CHUNKS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,6 +79,8 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if not _BEYOND.search(text):
+            return self.quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
         known = self.known
         if len(known) > self.limit:  # frequent chunks are met early
             known = self.known = dict(islice(known.items(), self.limit // 2))

@@ -28,3 +28,15 @@ def test_a_full_cache_changes_no_ids():
         ids = np.frombuffer(small.encode(text), "<u4").tolist()
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids
         assert all(len(c) <= KEPT_CHARS for c in small.known)
+
+
+def test_texts_of_common_characters_are_encoded_whole():
+    path = vocabulary("byte_bpe_50k.json")
+    encoder = ChunkEncoder(path)
+    same = lambda t: np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    for c in map(chr, [*range(0x250), *range(0x2010, 0x2028)]):
+        assert same("".join(f"{a}{c}{a}{c}{c} {c}{a} {a}{c}  {c}" for a in ("a", "1", ".", " ", "\n", "'", "\u00e9"))), hex(ord(c))
+    assert not encoder.known
+    long = "x" * (KEPT_CHARS + 1)
+    assert all(same(f"a {long} b \u65e5\u672c c\u00e9 {t} d  e\nf g ") for t in ("", "h i", "\u65e5 j", " k"))
+    assert encoder.known
