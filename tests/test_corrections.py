@@ -162,3 +162,55 @@ def test_heat_query_solves_the_system_far_from_the_joints(spark, cloud, monkeypa
     for r in skinning.heat_weights_settled(spark, "").collect():
         got[r.vertex_id, r.k] = r.w
     assert np.allclose(got.sum(1), 1, atol=1e-5) and np.allclose(got, want, atol=1e-4)
+
+
+def _strip(spark, cloud, monkeypatch, gaps, at):
+    """Weights of ``heat_weights_settled`` on a strip and of a direct solve, vertex by joint."""
+    from kinetable.queries import skinning
+    n = len(gaps)
+    strip = np.zeros((n, 3))
+    strip[:, 0] = np.cumsum(gaps)
+    joints = strip[at]
+    monkeypatch.setattr(skinning.br, "clouds", lambda *_: cloud(strip[None]))
+    monkeypatch.setattr(skinning.br, "joints", lambda *_: cloud(joints[None]).withColumnRenamed("vertex_id", "k"))
+    d = np.abs(strip[:, None, 0] - strip[None, :, 0])
+    w = np.zeros((n, n))
+    for i in range(n):
+        for j in np.argsort(d[i], kind="stable")[1:9]:
+            w[i, j] = w[j, i] = 1 / (d[i, j] + 1e-8)
+    b = np.zeros((n, len(at)))
+    for k in range(len(at)):
+        near = np.argsort(np.abs(strip[:, 0] - joints[k, 0]), kind="stable")[:3]
+        b[near, k] = np.exp(-10 * np.abs(strip[near, 0] - joints[k, 0]))
+    want = np.linalg.solve(np.eye(n) + 0.01 * (np.diag(w.sum(1)) - w), b)
+    got = np.zeros((n, len(at)))
+    for r in skinning.heat_weights_settled(spark, "").collect():
+        got[r.vertex_id, r.k] = r.w
+    return got, want / want.sum(1, keepdims=True)
+
+
+def test_heat_far_from_all_joints_is_settled_in_proportion(spark, cloud, monkeypatch):
+    gaps = 0.001 * (1 + 0.3 * np.sin(np.arange(700)))
+    got, want = _strip(spark, cloud, monkeypatch, gaps, [0, 30])
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_heat_crosses_a_strip_on_which_it_falls_below_any_double(spark, cloud, monkeypatch):
+    gaps = 0.02 * (1 + 0.3 * np.sin(np.arange(6000)))
+    from kinetable.queries import skinning
+    strip = np.zeros((6000, 3))
+    strip[:, 0] = np.cumsum(gaps)
+    monkeypatch.setattr(skinning.br, "clouds", lambda *_: cloud(strip[None]))
+    monkeypatch.setattr(skinning.br, "joints", lambda *_: cloud(strip[[0, 40]][None]).withColumnRenamed("vertex_id", "k"))
+    rows = skinning.heat_weights_settled(spark, "").collect()
+    assert len({r.vertex_id for r in rows}) == 6000
+    far = {r.k: r.w for r in rows if r.vertex_id == 5999}
+    near = {r.k: r.w for r in rows if r.vertex_id == 3000}
+    assert abs(sum(far.values()) - 1) < 1e-6 and max(abs(far[k] - near[k]) for k in far) < 1e-5  # behind both joints shares stay
+
+
+def test_heat_of_wide_clouds_goes_by_steps(spark, cloud, monkeypatch):
+    from kinetable.operators import weights
+    monkeypatch.setattr(weights, "HEAT_DENSE", 0)
+    got, want = _strip(spark, cloud, monkeypatch, 0.02 * (1 + 0.3 * np.sin(np.arange(60))), [0, 59])
+    assert np.allclose(got, want, atol=1e-4)
