@@ -100,7 +100,7 @@ def interpolate_transforms(bones: DataFrame, pairs: DataFrame, n: int, method: s
     ``bones(seq_id, frame_id, k, q, tx, ty, tz)``.  Output frames are numbered consecutively over the pairs of a
     sequence (column frame_id) and carry the affine matrix m.
     """
-    seg = number_segments(pairs, n)
+    seg = sized(number_segments(pairs, n), "segments")
     key = ["seq_id", "pair", "k"]
     cols = ["q", "tx", "ty", "tz"]
     pick = lambda which, p: bones.withColumnRenamed("frame_id", which).join(seg, ["seq_id", which]).select(
@@ -108,10 +108,12 @@ def interpolate_transforms(bones: DataFrame, pairs: DataFrame, n: int, method: s
     both = pick("frame_a", "a").join(pick("frame_b", "b").drop("first"), key)
     both = both.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("t", F.col("i") / float(n + 1))
     turn = {"slerp": add_slerp, "linear": add_nlerp}[method]
-    both = turn(both, "aq", "bq", "t", "q").withColumn("r", quat_to_matrix(F.col("q")))
     moved = [lerp(F.col(f"at{c}"), F.col(f"bt{c}"), F.col("t")) for c in "xyz"]
-    return both.select("seq_id", (F.col("first") + F.col("i") - 1).cast("long").alias("frame_id"), "pair", "t", "k", "q",
-                       *[v.alias(f"t{c}") for c, v in zip("xyz", moved)]).withColumn(
+    # written, so that the matrix is made of quaternions and not of all that they are made of
+    turned = cut(turn(both, "aq", "bq", "t", "q").select(
+        "seq_id", (F.col("first") + F.col("i") - 1).cast("long").alias("frame_id"), "pair", "t", "k", "q",
+        *[v.alias(f"t{c}") for c, v in zip("xyz", moved)]), "turned-poses")
+    return turned.withColumn(
         "m", compose(quat_to_matrix(F.col("q")), F.col("tx"), F.col("ty"), F.col("tz")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.rotation import det3, matmul3, matvec3
 from ..functions.space import apply_affine, norm3
 from ..plans.knn import _positions, knn_join
-from ..plans.lineage import cut
+from ..plans.lineage import cut, sized
 from ..plans.tiles import tile_join
 from ..schema import FRAME
 from .clips import voxel_downsample
@@ -23,7 +23,8 @@ def _packed_vertices(rest: DataFrame, weights: DataFrame) -> DataFrame:
     packed = weights.where(F.col("w") > MIN_WEIGHT).groupBy("seq_id", "vertex_id").agg(
         F.sort_array(F.collect_list(F.struct("k", "w"))).alias("ws"))
     out = rest.select("seq_id", "vertex_id", "x", "y", "z").join(packed, ["seq_id", "vertex_id"], "left")
-    return out.withColumn("ws", F.coalesce("ws", F.array().cast(packed.schema["ws"].dataType)))
+    # written, as tiles need the vertices twice: for the runs of ids and for the rows
+    return cut(out.withColumn("ws", F.coalesce("ws", F.array().cast(packed.schema["ws"].dataType))), "skin-vertices")
 
 
 def _of_bone(table: Column, k: Column) -> Column:
@@ -32,15 +33,11 @@ def _of_bone(table: Column, k: Column) -> Column:
     return F.when(F.map_contains_key(table, k), F.try_element_at(table, k)).otherwise(missing)
 
 
-def _blend(ws: Column, term) -> Column:
-    """Sum over the weights of w * term(k) where term gives (x, y, z)."""
+def _blend(ws: Column, table: Column, term) -> Column:
+    """Sum over the weights of w * term(t) where t is the bone's value in ``table``, looked up once, and term gives (x, y, z)."""
+    found = F.transform(ws, lambda e: F.struct(e["w"].alias("w"), _of_bone(table, e["k"]).alias("t")))
     start = F.struct(*[F.lit(0.0).alias(c) for c in "xyz"])
-
-    def add(acc, e):
-        t = term(e["k"])
-        return F.struct(*[(acc[c] + e["w"] * v).alias(c) for c, v in zip("xyz", t)])
-
-    return F.aggregate(ws, start, add)
+    return F.aggregate(found, start, lambda acc, e: F.struct(*[(acc[c] + e["w"] * v).alias(c) for c, v in zip("xyz", term(e["t"]))]))
 
 
 def linear_blend_skin(rest: DataFrame, weights: DataFrame, transforms: DataFrame) -> DataFrame:
@@ -53,10 +50,11 @@ def linear_blend_skin(rest: DataFrame, weights: DataFrame, transforms: DataFrame
     each result row comes from one tiled join and a projection; nothing is shuffled after it.
     """
     frames = transforms.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("ms"))
+    frames = sized(frames, "skin-frames")
     met = tile_join(_packed_vertices(rest, weights), frames, "vertex_id", "frame_id")
-    term = lambda k: apply_affine(_of_bone(F.col("ms"), k), F.col("x"), F.col("y"), F.col("z"))
+    term = lambda m: apply_affine(m, F.col("x"), F.col("y"), F.col("z"))
     bound = F.size("ws") > 0
-    return met.withColumn("p", _blend(F.col("ws"), term)).select(
+    return met.withColumn("p", _blend(F.col("ws"), F.col("ms"), term)).select(
         *FRAME, "vertex_id", *[F.when(bound, F.col(f"p.{c}")).otherwise(F.col(c)).alias(c) for c in "xyz"])
 
 
@@ -64,9 +62,9 @@ def translation_skin(rest: DataFrame, weights: DataFrame, moves: DataFrame) -> D
     """p' = rest + sum_k w_k move_k for every frame of ``moves(seq_id, frame_id, k, x, y, z)``.
     At zero movement the result is the rest pose; so it is for a vertex without weights."""
     frames = moves.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("x", "y", "z")))).alias("js"))
+    frames = sized(frames, "skin-frames")
     met = tile_join(_packed_vertices(rest, weights), frames, "vertex_id", "frame_id")
-    at = lambda k: _of_bone(F.col("js"), k)
-    shift = _blend(F.col("ws"), lambda k: (at(k)["x"], at(k)["y"], at(k)["z"]))
+    shift = _blend(F.col("ws"), F.col("js"), lambda j: (j["x"], j["y"], j["z"]))
     return met.withColumn("d", shift).select(*FRAME, "vertex_id", *[(F.col(c) + F.col(f"d.{c}")).alias(c) for c in "xyz"])
 
 
