@@ -289,10 +289,17 @@ def original_unified(rest: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def interpolate_unified(unified: DataFrame, pairs: DataFrame, steps: int) -> DataFrame:
-    """Straight lines between frames that share their vertices."""
-    a = of_frame(unified, pairs, "frame_a").select(*PAIR, "vertex_id", "x", "y", "z")
-    b = of_frame(unified, pairs, "frame_b").select(*PAIR, "vertex_id", *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    return with_steps(a.join(b, [*PAIR, "vertex_id"]), steps).select(
+    """Straight lines between frames that share their vertices; ``unified`` has a vertex once in a frame.
+
+    The rows are made and shuffled once, by vertex; there each one goes to the pairs that its frame begins or ends."""
+    pairs = pairs.select(*PAIR)
+    ends = sized(pairs.withColumn("frame_id", F.col("frame_a")).withColumn("_ends", F.lit(0)).unionByName(
+        pairs.withColumn("frame_id", F.col("frame_b")).withColumn("_ends", F.lit(1))), "pair-ends")
+    rows = unified.select(*FRAME, "vertex_id", *"xyz").repartition("seq_id", "vertex_id").join(ends, FRAME)
+    of_end = lambda end, c, name: F.max(F.when(F.col("_ends") == end, F.col(c))).alias(name)
+    both = rows.groupBy(*PAIR, "vertex_id").agg(*[of_end(0, c, c) for c in "xyz"], *[of_end(1, c, f"b{c}") for c in "xyz"],
+                                                F.min("_ends").alias("_first"), F.max("_ends").alias("_last")).where("_first < _last")
+    return with_steps(both, steps).select(
         *PAIR, "step", "t", "vertex_id", *[lerp(F.col(c), F.col(f"b{c}"), F.col("t")).alias(c) for c in "xyz"])
 
 
