@@ -1,26 +1,64 @@
 """Connected components by contraction: nothing but edge and label tables, all of them distributed.
 
-In each round every node points to its neighbour of smallest random rank, if that is below its own; pointers are
-followed once more, the edges are renamed by them, and what became a loop goes.  Ranks change from round to round, so an
-expected constant share of the nodes goes each time, whatever the shape of the graph.  A star's centre is the key of a
+Each round begins with what its tasks can do alone: up to ``CHUNK`` edges as they are read become stars around the smallest
+node of each of their components, which links the same nodes.  Then every node points to its neighbour of smallest rank, if
+that is below its own; pointers are followed once more, the edges are renamed by them, and what became a loop goes.  Every other round has new random ranks, so
+an expected constant share of the nodes goes in it, whatever the shape of the graph; in the others, the first one among
+them, the ids are the ranks, so stars around their smallest node go at once.  A star's centre is the key of a
 minimum only, combined in the map tasks, and of joins whose large partitions Spark splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
+#: Edges that a task makes stars of at a time.
+CHUNK = 1 << 20
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= CHUNK:
+            yield _star(held)
+            held, rows = [], 0
+    if rows:
+        yield _star(held)
+
+
+def _star(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    both = pa.Table.from_batches(batches)
+    nodes, ends = np.unique(np.concatenate([both["src"].to_numpy(), both["dst"].to_numpy()]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    leaf = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[root[leaf]], pa.int64()), pa.array(nodes[leaf], pa.int64())], ["src", "dst"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of an edge; ``edges`` has src and dst.
 
     Loops and nulls count for nothing; repeated edges are one."""
-    edges = cut(edges.where("src <> dst").select("src", "dst"), "edges")
+    edges = cut(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), "edges")
     maps: list[DataFrame] = []
     while not edges.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("r"), F.col(c).alias("id"))
+        edges = cut(edges.mapInArrow(_stars, "src long, dst long"), "stars")
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(len(maps))) if len(maps) % 2 else F.lit(0)).alias("r"), F.col(c).alias("id"))
         both = edges.select("src", rank("dst").alias("to")).unionByName(
             edges.select(F.col("dst").alias("src"), rank("src").alias("to")))
         least = both.groupBy("src").agg(F.min("to").alias("to"))

@@ -186,3 +186,14 @@ def test_shards(docs, odd):
     for parent in {s[:-1] for s in names if s and len(s) < 60}:
         assert sum(r["n_bytes"] for r in got if r["shard"].startswith(parent)) > limit
     assert op3_sharding.shards(docs([]), limit).count() == 0
+
+
+def test_components_of_stars_and_paths_take_few_rounds(spark, monkeypatch):
+    import importlib
+    module = importlib.import_module("kinetable.llm.components")
+    labels, real = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, label="state", by=None: labels.append(label) or real(df, label, by))
+    edges = [(1000 * g + 500, 1000 * g + i) for g in range(4) for i in range(300)] + [(9000 + i, 9001 + i) for i in range(400)]
+    got = {r.node: r.component for r in module.components(spark.createDataFrame(edges, "src long, dst long").repartition(4)).collect()}
+    assert got == {n: 9000 if n >= 9000 else n // 1000 * 1000 for e in edges for n in e}
+    assert labels.count("pointers") <= 6
