@@ -14,7 +14,8 @@ queries have as zero.
 Scale: rows go to (tree, prefix at the fitted level); a prefix with more than ``BLOCK`` rows is split into blocks, which
 every query of the prefix visits.  Of copies of one vector only the smallest ids can be among the nearest, so more than
 k + 1 of them never leave their map task.  Each group returns at most k rows a query.  Queries that end up with fewer
-than k candidates are compared with all rows, in blocks.
+than k candidates are compared with all rows, in blocks.  Tables with a row per query, vector or prefix are joined by
+shuffles: their files are small, their rows in a driver are not.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .op1_near_vectors import usable
 TREES, BITS, SAMPLE, RECALL = 48, 24, 128, 0.96
 #: Levels at which queries look for enough candidates, above the fitted one.
 STRIDE, CROWD, BLOCK = 3, 4.0, 4096
+#: Cells of all trees up to which their numbers of blocks may be sent to all tasks.
+CELLS = 1 << 14
 SEED = 17
 
 
@@ -179,21 +182,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         crowd = crowd.groupBy("tree", up.alias("at")).agg(F.sum("n").alias("n")).withColumn("level", F.lit(stop))
         counts = counts.unionByName(crowd)
     at = queries.select("query_id", "tree", "code", F.explode(F.array(*map(F.lit, stops))).alias("level"))
-    at = at.withColumn("at", _prefix("code", F.col("level"))).join(counts, ["tree", "level", "at"])
+    at = at.withColumn("at", _prefix("code", F.col("level"))).join(counts.hint("merge"), ["tree", "level", "at"])
     stop = at.groupBy("query_id", "level").agg(F.sum("n").alias("n")).groupBy("query_id").agg(
         F.max(F.when((F.col("n") >= enough) | (F.col("level") == level), F.col("level"))).alias("level"))
-    queries = queries.join(stop, "query_id").withColumn("cell", _prefix("code", F.lit(level)))
+    queries = queries.join(stop.hint("merge"), "query_id").withColumn("cell", _prefix("code", F.lit(level)))
     blocks = cut(data.groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), "blocks")
+    blocks = blocks if blocks.count() <= CELLS else blocks.hint("merge")
     data = data.join(blocks, ["tree", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     visits = queries.join(blocks, ["tree", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     found = cut(_merge(_search(data.drop("blocks"), visits.drop("blocks"), k), k), "found")
     # queries with too few candidates: all rows, in blocks
     full = good.where("is_query").select(F.col("vec_id").alias("query_id")).distinct()
-    short = cut(full.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(
+    short = cut(full.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "query_id", "left").where(
         F.coalesce("n", F.lit(0)) < min(k, others - 1)).select("query_id"), "short")
     if short.limit(1).count():
         split = max(1, n // BLOCK)
         one = data.where("tree = 0").withColumn("cell", F.lit(0).cast("long")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(split)).cast("int"))
+        short = short.hint("merge")
         ask = queries.where("tree = 0").join(short, "query_id").withColumn("cell", F.lit(0).cast("long")).withColumn("level", F.lit(0)).withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
         found = found.join(short, "query_id", "left_anti").unionByName(_merge(_search(one.drop("blocks"), ask, k), k))
