@@ -9,7 +9,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.rotation import det3, matmul3, matvec3
 from ..functions.space import apply_affine, norm3
-from ..plans.knn import _positions, knn_join
+from ..plans.knn import _positions, _sides, _unpacked, knn_join, packed
 from ..plans.lineage import cut, sized
 from ..plans.tiles import tile_join
 from ..schema import FRAME
@@ -167,7 +167,7 @@ def fit_bone_motion(points: DataFrame, rest: DataFrame, weights: DataFrame) -> D
 
 
 #: Frames with at most this many points on both sides are registered inside one task.
-SMALL_CLOUD = 1 << 16
+SMALL_CLOUD = 1 << 19
 _MOTION = ["r", "tx", "ty", "tz"]
 
 
@@ -206,9 +206,9 @@ def _register(moving: DataFrame, fixed: DataFrame, reach: float, rounds: int, to
     count = lambda df, name: df.groupBy(*FRAME).agg(F.count(F.lit(1)).alias(name))
     sizes = cut(count(moving, "n").join(count(fixed, "m"), FRAME), "align-sizes")
     little = F.greatest("n", "m") <= small
-    most = sizes.where(~little).agg(F.max("n"), F.max("m")).first()
+    most = sizes.agg(*[F.max(F.when(~little, F.col(c))) for c in "nm"], F.count(F.when(little, 1))).first()
     few = sizes.where(little).select(*FRAME)
-    done = _register_in_tasks(moving.join(few, FRAME, "left_semi"), fixed.join(few, FRAME, "left_semi"), reach, rounds, tolerance)
+    done = _register_in_tasks(moving.join(few, FRAME, "left_semi"), fixed.join(few, FRAME, "left_semi"), most[2], reach, rounds, tolerance)
     if most[0] is None:
         return done
     still = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
@@ -233,8 +233,8 @@ def _register(moving: DataFrame, fixed: DataFrame, reach: float, rounds: int, to
     return done
 
 
-def _register_in_tasks(moving: DataFrame, fixed: DataFrame, reach: float, rounds: int, tolerance: float) -> DataFrame:
-    """The same rounds for frames of few points, a frame at a time."""
+def _register_in_tasks(moving: DataFrame, fixed: DataFrame, frames: int, reach: float, rounds: int, tolerance: float) -> DataFrame:
+    """The same rounds for the ``frames`` of few points, a frame at a time."""
     import pyarrow as pa
 
     kinds = {f.name: f for f in moving.schema.fields}
@@ -242,6 +242,7 @@ def _register_in_tasks(moving: DataFrame, fixed: DataFrame, reach: float, rounds
                            *[T.StructField(c, T.DoubleType()) for c in ("tx", "ty", "tz")]])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = _unpacked(left, FRAME), _unpacked(right, [f"_of_{c}" for c in FRAME])
         if not left.num_rows or not right.num_rows:
             return pa.table({c: left.column(c).slice(0, 0) for c in FRAME} | {
                 "r": pa.array([], pa.list_(pa.float64())), **{c: pa.array([], pa.float64()) for c in ("tx", "ty", "tz")}})
@@ -251,11 +252,11 @@ def _register_in_tasks(moving: DataFrame, fixed: DataFrame, reach: float, rounds
         copy_of = np.empty(len(p), np.int64)
         copy_of[order] = number
         first = order[start]  # copies of a point go the same way
-        within = _Cells(q, reach)
+        nearest = _Followed(_Cells(q, reach), len(first)).nearest
         r, t = np.eye(3), np.zeros(3)
         for _ in range(rounds):
             at = p @ r.T + t
-            near = within.nearest(at[first])[copy_of]
+            near = nearest(at[first])[copy_of]
             met = near >= 0
             if not met.any():
                 break
@@ -266,37 +267,81 @@ def _register_in_tasks(moving: DataFrame, fixed: DataFrame, reach: float, rounds
         return pa.table({**{c: left.column(c).slice(0, 1) for c in FRAME}, "r": pa.array([r.ravel().tolist()], pa.list_(pa.float64())),
                          **{f"t{c}": pa.array([float(v)]) for c, v in zip("xyz", t)}})
 
-    sides = [df.select(*FRAME, "vertex_id", "x", "y", "z") for df in (moving, fixed)]
-    theirs = sides[1].withColumnsRenamed({c: f"_{c}" for c in FRAME})
-    return sides[0].groupBy(*FRAME).cogroup(theirs.groupBy(*[f"_{c}" for c in FRAME])).applyInArrow(run, schema)
+    a, b = _sides(*[packed(df.select(*FRAME, "vertex_id", "x", "y", "z"), FRAME, frames) for df in (moving, fixed)], FRAME)
+    return a.cogroup(b).applyInArrow(run, schema)
 
 
 class _Cells:
-    """The points of one frame by cells as wide as ``reach``: what lies within it is in a cell or beside it."""
+    """The nearest points of one frame within ``reach``, by cells of several widths: a point looks into its cell and those
+    beside it, the narrowest first, where few points are; one without a hit within that width goes on to the next width."""
 
     def __init__(self, q: np.ndarray, reach: float, batch: int = 1 << 20) -> None:
         order, _, start = _positions(q)
-        self.reach, self.batch = reach, batch
         row = order[start]  # of equal points the first
-        self.width = reach * (1 + 1e-9)
-        self.low = np.floor(q.min(axis=0) / self.width)
-        cells = np.floor(q[row] / self.width) - self.low
+        self.q, self.reach = q, reach
+        # wider than the reach by a factor, so that a point without a hit may move a little before it is sought again
+        self.grids = [_Grid(q, row, 2 * reach, batch)]
+        while self.grids[-1].crowd > CROWD and np.isfinite(self.grids[-1].width):
+            finer = _Grid(q, row, self.grids[-1].width / 2, batch)
+            if not np.isfinite(finer.width) or len(self.grids) == 40:
+                break
+            self.grids.append(finer)
+
+    def search(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of the nearest point, the first on ties, or -1 without one within twice the reach; and a distance below
+        which there is no other."""
+        found, apart = np.full(len(p), -1), np.full(len(p), self.grids[0].width)
+        rows = np.arange(len(p))
+        for grid in reversed(self.grids):
+            at, best, second = grid.meet(p[rows])
+            hit = best <= grid.width ** 2
+            found[rows[hit]], apart[rows[hit]] = at[hit], np.minimum(np.sqrt(second[hit]), grid.width)
+            rows = rows[~hit]
+            if not len(rows):
+                break
+        return found, apart
+
+    def within(self, p: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``found`` without what is beyond the reach, and the distance to it, or the reach."""
+        d2 = ((p - self.q[found]) ** 2).sum(axis=1)
+        some = found >= 0
+        return np.where(some & (d2 <= self.reach * self.reach), found, -1), np.where(some, np.sqrt(d2), self.reach)
+
+    def nearest(self, p: np.ndarray) -> np.ndarray:
+        """Row of the nearest point within ``reach``, the first on ties; -1 without one."""
+        return self.within(p, self.search(p)[0])[0]
+
+
+#: Points of a cell, as its points see it, from which there are cells of half the width.
+CROWD = 4
+
+
+class _Grid:
+    """Points by cells of one width; all in one cell if they are so far off that cells cannot be numbered."""
+
+    def __init__(self, q: np.ndarray, row: np.ndarray, width: float, batch: int) -> None:
+        self.batch, self.width = batch, width
+        self.step = width * (1 + 1e-9)
+        self.low = np.floor(q[row].min(axis=0) / self.step)
+        cells = np.floor(q[row] / self.step) - self.low
         self.size = cells.max(axis=0) + 1
-        if np.prod(self.size) >= 2.0 ** 62:  # points so far off that cells cannot be numbered: one cell
+        if np.prod(self.size) >= 2.0 ** 62:
             self.width, self.low, self.size, cells = np.inf, np.zeros(3), np.ones(3), np.zeros_like(cells)
         code = self._code(cells)
         by = np.lexsort((row, code))
         self.row, self.code, self.q = row[by], code[by], q[row[by]]
+        many = np.diff(np.flatnonzero(np.concatenate([[True], self.code[1:] != self.code[:-1], [True]]))).astype(float)
+        self.crowd = (many * many).sum() / many.sum()
 
     def _code(self, cells: np.ndarray) -> np.ndarray:
         n = self.size.astype(np.int64)
         c = cells.astype(np.int64)
         return (c[:, 0] * n[1] + c[:, 1]) * n[2] + c[:, 2]
 
-    def nearest(self, p: np.ndarray) -> np.ndarray:
-        """Row of the nearest point within ``reach``, the first on ties; -1 without one."""
-        found, best = np.full(len(p), -1), np.full(len(p), np.inf)
-        at = np.zeros_like(p) if np.isinf(self.width) else np.clip(np.floor(p / self.width) - self.low, -2, self.size + 1)
+    def meet(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and squared distance of the nearest point in the cells around each of ``p``, and that of the second one."""
+        found, best, second = np.full(len(p), -1), np.full(len(p), np.inf), np.full(len(p), np.inf)
+        at = np.zeros_like(p) if np.isinf(self.width) else np.clip(np.floor(p / self.step) - self.low, -2, self.size + 1)
         for dx in (-1, 0, 1):
             for dy in (-1, 0, 1):
                 lane = at + [dx, dy, 0]
@@ -311,21 +356,41 @@ class _Cells:
                 s = 0
                 while s < len(ok):  # some candidates at a time
                     e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + self.batch, side="right")))
-                    self._meet(p, ok[s:e], lo[s:e], n[s:e], found, best)
+                    self._meet(p, ok[s:e], lo[s:e], n[s:e], found, best, second)
                     s = e
-        found[best > self.reach * self.reach] = -1
-        return found
+        return found, best, second
 
-    def _meet(self, p: np.ndarray, rows: np.ndarray, lo: np.ndarray, n: np.ndarray, found: np.ndarray, best: np.ndarray) -> None:
+    def _meet(self, p: np.ndarray, rows: np.ndarray, lo: np.ndarray, n: np.ndarray, found: np.ndarray, best: np.ndarray, second: np.ndarray) -> None:
         start = np.cumsum(n) - n
         col = np.arange(n.sum()) + np.repeat(lo - start, n)
         d2 = ((np.repeat(p[rows], n, axis=0) - self.q[col]) ** 2).sum(axis=1)
         low = np.minimum.reduceat(d2, start)
         first = np.minimum.reduceat(np.where(d2 == np.repeat(low, n), self.row[col], np.iinfo(np.int64).max), start)
+        d2[self.row[col] == np.repeat(first, n)] = np.inf
+        next_ = np.minimum.reduceat(d2, start)
         better = (low < best[rows]) | ((low == best[rows]) & (first < found[rows]))
+        second[rows] = np.minimum(np.minimum(second[rows], next_), np.maximum(best[rows], low))
         best[rows[better]], found[rows[better]] = low[better], first[better]
 
 
+class _Followed:
+    """The nearest points of points that move round by round.  One is sought again only if another may have become the
+    nearest: not while its distance and the way gone since are less than the distance of all others was then."""
+
+    def __init__(self, cells: _Cells, n: int) -> None:
+        self.cells, self.found, self.apart, self.since = cells, np.full(n, -1), np.full(n, -np.inf), np.zeros((n, 3))
+
+    def nearest(self, p: np.ndarray) -> np.ndarray:
+        near, d = self.cells.within(p, self.found)
+        gone = np.sqrt(((p - self.since) ** 2).sum(axis=1))
+        again = np.flatnonzero(~((d + gone) * (1 + 1e-9) < self.apart))
+        if len(again):
+            self.found[again], self.apart[again] = self.cells.search(p[again])
+            self.since[again] = p[again]
+            near[again] = self.cells.within(p[again], self.found[again])[0]
+        return near
+
+
 def _best_motion(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cp, cq = p.mean(axis=0), q.mean(axis=0)
     turn = rotations((p - cp).T @ (q - cq))
